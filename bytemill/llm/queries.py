@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, mixing, neardup, pii, quality, substrings, toxicity
+from . import embeddings, lines, mixing, neardup, packing, pii, quality, sampling, substrings, toxicity
 from .oracles import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_pieces(_read(spark, sf_dir, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.drop_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -70,7 +78,9 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_token_packing": op5_token_packing,
     "op6_mixing": op6_mixing,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op8_line_dedup": op8_line_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_suffix_dedup": op10_suffix_dedup,
