@@ -115,3 +115,16 @@ def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batc
     out = out.withColumn("_kept", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
     counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("_kept")).cast("long")}
     return out.withColumns(counts).withColumn("text", F.array_join("_kept", "\n")).drop("_kept", "_id", "_lost")
+
+
+def without_lines(docs: DataFrame, **options) -> DataFrame:
+    """``drop_lines`` with the input's own columns; n_chars, where there is one, is counted again; null texts stay null."""
+    columns = docs.columns
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in columns}
+    out = drop_lines(docs.withColumnsRenamed(own).withColumn("_null", F.col("text").isNull()), **options)
+    out = out.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()})
+    out = out.withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    if "n_chars" in columns:
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(count))
+    return out.select(*columns)
