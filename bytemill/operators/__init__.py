@@ -1,0 +1,3 @@
+"""All operators; importing the package registers their queries."""
+
+from . import profile, tables  # noqa: F401
