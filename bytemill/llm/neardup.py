@@ -6,11 +6,11 @@ apart by 64-bit hashes.
 
 1. Documents with equal sets (two 64-bit sums) fall into one class; its smallest doc_id stands for it from here on.
 2. Tokens are ordered by a sketch of their document counts, rare first. A pair that links shares one of the first
-   n - ceil(0.8 n) + 1 tokens of either document; documents that share such a token fall into one block, by links to
-   the first of them only, never pair by pair.
+   n - ceil(0.8 n) + 1 tokens of either document; documents that share such a token, by sizes that can link, fall into
+   one block, by links to the first of them only, never pair by pair.
 3. The most typical member of each block is compared with all others. Members that link with it need no comparison with
-   each other.
-4. The rest is compared with the whole block in tiles of bounded size. A tile pair multiplies its two incidence
+   each other. A block that fits a tile is settled where its members meet; larger ones are dealt out in parts.
+4. The rest is compared with the whole block, in tiles of bounded size where a block is larger than one. A tile pair multiplies its two incidence
    matrices block of columns by block of columns, adds up overlap counts, drops pairs whose sizes or remaining tokens
    cannot reach the bound, and returns no pairs but the links of a spanning forest.
 5. Connected components of all links.
@@ -34,8 +34,8 @@ from .components import connected_components, local_components, tile_pairs
 
 #: Links need NUM / DEN of the union; SHINGLE words make a token.
 NUM, DEN, SHINGLE = 80, 100, 5
-#: 2 ** SKETCH_BITS counters, whatever the input; rows of a tile; columns of a block of the product.
-SKETCH_BITS, TILE, COLUMNS = 18, 512, 4096
+#: 2 ** SKETCH_BITS counters in CHUNKS rows, whatever the input; rows of a tile; columns of a block of the product.
+SKETCH_BITS, CHUNKS, TILE, COLUMNS = 22, 64, 512, 4096
 _FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,23 +71,29 @@ def _segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document with its set's size and signature; at the end, the partition's sketch in chunks."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     names = ["doc_id", "n_shingles", "s1", "s2", "chunk", "counts"]
     for batch, data, offs in pieces(batches):
         h, bounds = shingle_sets(data, offs)
-        sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+        slot, times = np.unique((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+        sketch[slot] += times.astype(np.int32)
         sums = [_segment_sums(mix(h ^ f), bounds).view(np.int64) for f in _FACTORS[40:42]]
         none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, sums), *none], names)
     if sketch.any():
-        parts = sketch.reshape(64, -1)
-        none = [pa.nulls(64, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        # Two bytes are enough to rank tokens by; the sum over partitions is taken in eight.
+        parts = np.minimum(sketch, 65535).astype(np.uint16).reshape(CHUNKS, -1)
+        none = [pa.nulls(CHUNKS, pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
 
 def _add_sketches(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    """One chunk over all partitions, as classes: a byte for each counter, four to each doubling."""
+    total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_py(), np.uint16)
+    classes = np.floor(4 * np.log2(total + 1)).clip(0, 250).astype(np.uint8)
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
 def _ranked(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -95,11 +101,26 @@ def _ranked(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
 
 
+def chains(token: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which rows begin a chain, of rows sorted by token and low.
+
+    A row stands for documents of low to high tokens. It goes on with the chain before it if it shares its token and its
+    smallest size is within the bound of the largest so far: sizes too far apart can't link, and two that can are in one
+    chain, since all sizes between them are.
+    """
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = token[1:] != token[:-1]
+    group = np.cumsum(fresh)
+    largest = np.maximum.accumulate((group << 32) + high) - (group << 32)
+    fresh[1:] |= NUM * low[1:] > DEN * largest[:-1]
+    return fresh
+
+
 def _prefixes(classes: np.ndarray):
-    """Postings (token, doc) of the prefixes. Documents of one slice that share a token go by the slice's first one."""
+    """Postings (token, low, high, doc) of the prefixes. Chains of documents of one slice go by their first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in pieces(batches, 8 << 20):
+        for batch, data, offs in pieces(batches, 3 << 20):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             h, bounds = shingle_sets(data, offs)
             size = np.diff(bounds)
@@ -109,37 +130,46 @@ def _prefixes(classes: np.ndarray):
             token = token[order]
             first = np.arange(len(token)) - bounds[owner]
             take = first < (size - (NUM * size + DEN - 1) // DEN + 1)[owner]
-            token, doc = token[take], ids[owner[take]]
-            order = np.lexsort((doc, token))
-            token, doc = token[order], doc[order]
-            head = np.ones(len(token), bool)
-            head[1:] = token[1:] != token[:-1]
-            lead = doc[np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))]
-            far = doc != lead
-            pairs = np.unique(np.stack([doc[far], lead[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-            by_lead = mix(pairs[:, 1].view(np.uint64) ^ _FACTORS[44]) | np.uint64(0xFF << 56)
-            tokens = np.concatenate([token[head], by_lead, by_lead])
+            token, doc, n = token[take], ids[owner[take]], size[owner[take]]
+            order = np.lexsort((doc, n, token))
+            token, doc, n = token[order], doc[order], n[order]
+            fresh = chains(token, n, n)
+            head = np.flatnonzero(fresh)
+            last = np.append(head[1:], len(token)) - 1 if len(head) else head
+            lead = doc[head][np.cumsum(fresh) - 1] if len(head) else doc
+            pairs = _pairs(doc, lead)
+            # All that go by one document share a token of their own, which sizes don't cut.
+            own = mix(pairs[:, 1].view(np.uint64) ^ _FACTORS[44]) | np.uint64(0xFF << 56)
+            tokens = np.concatenate([token[head], own, own])
             docs = np.concatenate([doc[head], pairs[:, 0], pairs[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(docs)], ["token", "doc"])
+            low = np.concatenate([n[head], np.zeros(2 * len(own), np.int64)]).astype(np.int32)
+            high = np.concatenate([n[last], np.full(2 * len(own), 2**31 - 1)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens.view(np.int64), low, high, docs)], ["token", "low", "high", "doc"])
 
     return run
 
 
+def _pairs(doc: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    far = doc != lead
+    return np.unique(np.stack([doc[far], lead[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
+
+
 def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and document: links from each document to its token's first."""
-    token, lead = None, None
+    """Of postings sorted by token and low: links from each document to its chain's first."""
+    names, carried = ("token", "low", "high", "doc"), None
     for batch in batches:
-        t, d = (batch.column(c).to_numpy() for c in ("token", "doc"))
-        if not len(t):
+        if not batch.num_rows:
             continue
-        head = np.ones(len(t), bool)
-        head[1:] = t[1:] != t[:-1]
-        leads = d[np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))]
-        if token == t[0]:
-            leads[: np.append(np.flatnonzero(head)[1:], len(t))[0]] = lead
-        token, lead = t[-1], leads[-1]
-        far = d != leads
-        pairs = np.unique(np.stack([d[far], leads[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
+        columns = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+        if carried is not None:
+            columns = [np.append(x, c) for x, c in zip(carried, columns, strict=True)]
+        token, low, high, doc = columns
+        fresh = chains(token, low, high)
+        lead = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        # The last chain goes on as one row: its token, its largest size and its first document.
+        begin = int(np.flatnonzero(fresh)[-1])
+        carried = [token[-1:], low[-1:], high[begin:].max(keepdims=True), lead[-1:]]
+        pairs = _pairs(doc, lead)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -150,7 +180,8 @@ def _member_sets(classes: np.ndarray):
             rank = classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64)
             typical = _segment_sums(rank, bounds) / np.maximum(np.diff(bounds), 1)
             sets = pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), pa.array(np.diff(bounds)), pa.array(typical), sets], ["id", "block", "n", "typical", "tokens"])
+            columns = [batch.column("doc_id"), batch.column("component"), batch.column("n_block"), pa.array(np.diff(bounds)), pa.array(typical), sets]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "block", "n_block", "n", "typical", "tokens"])
 
     return run
 
@@ -206,10 +237,34 @@ def overlap_links(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 def _tile_links(table: pa.Table) -> pa.Table:
     """Links of a spanning forest among the rows of a tile pair: each linked row with the first that it reaches."""
-    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
+    side = table.column("side").to_numpy()
     x = np.flatnonzero(side == 0)
-    y = np.flatnonzero(side == 1) if (side == 1).any() else x
+    return _forest(table, x, np.flatnonzero(side == 1) if (side == 1).any() else x)
+
+
+def _small_blocks(table: pa.Table) -> pa.Table:
+    """Links (a, b) of a block that fits a tile; the rows of a part of a larger block as they are."""
+    members = ("id", "block", "n", "typical", "tokens")
+    n = table.num_rows
+    if table.column("n_block")[0].as_py() > TILE or n < 2:
+        rows = table if n > 1 else table.slice(0, 0)
+        return pa.table({"a": pa.nulls(rows.num_rows, pa.int64()), "b": pa.nulls(rows.num_rows, pa.int64())} | {c: rows.column(c) for c in members})
+    order = sorted(range(n), key=lambda i: (table.column("typical")[i].as_py(), table.column("n")[i].as_py(), -table.column("id")[i].as_py()))
+    table = table.take(order)
+    ids = table.column("id").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
+    linked = overlap_links(sets[-1:], sets[:-1])[0]
+    a, b = [ids[:-1][linked]], [np.full(linked.sum(), ids[-1])]
+    if n > 2 and not linked.all():
+        found = _forest(table, np.flatnonzero(~linked), np.arange(n))
+        a, b = [*a, found.column("a").to_numpy()], [*b, found.column("b").to_numpy()]
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": a, "b": b} | {c: pa.nulls(len(a), table.schema.field(c).type) for c in members})
+
+
+def _forest(table: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    ids = table.column("id").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
     linked = np.zeros((len(ids), len(ids)), bool)
     if len(x) and len(y):
         linked[np.ix_(x, y)] = overlap_links([sets[i] for i in x], [sets[i] for i in y])
@@ -225,11 +280,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     at = f"{ensure_checkpoint_dir(spark)}/shingles-{uuid.uuid4().hex}"
     docs.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary").write.parquet(f"{at}/signatures")
     signed = spark.read.parquet(f"{at}/signatures")
-    chunks = signed.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_sketches, "chunk int, counts binary")
-    counts = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
-    for row in chunks.collect():  # 2 ** SKETCH_BITS counters, whatever the input
-        counts[row.chunk] = np.frombuffer(row.counts, np.int64)
-    classes = np.floor(4 * np.log2(counts.ravel() + 1)).clip(0, 250).astype(np.uint8)
+    chunks = signed.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_sketches, "chunk int, classes binary")
+    classes = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
+    for row in chunks.collect():  # 2 ** SKETCH_BITS bytes, whatever the input
+        classes[row.chunk] = np.frombuffer(row.classes, np.uint8)
+    classes = classes.ravel()
 
     signed = signed.filter("chunk IS NULL").select("doc_id", "n_shingles", "s1", "s2")
     sets = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -237,28 +292,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classed = checkpointed(classed.select("doc_id", "n_shingles", "rep"))
     reps = classed.filter("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
-    postings = docs.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(classes), "token long, doc long")
-    firsts = postings.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_to_first, "a long, b long").distinct()
+    postings = docs.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(classes), "token long, low int, high int, doc long")
+    firsts = postings.repartition("token").sortWithinPartitions("token", "low").mapInArrow(_to_first, "a long, b long").distinct()
     for end in ("a", "b"):
         firsts = firsts.join(reps.withColumnRenamed("doc_id", end), end).drop(end).withColumnRenamed("rep", f"rep_{end}")
     blocks = connected_components(firsts.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
-    members = docs.join(blocks, F.col("doc_id") == F.col("node")).select("doc_id", "text", "component")
-    members.mapInArrow(_member_sets(classes), "id long, block long, n long, typical double, tokens binary").write.parquet(f"{at}/members")
-    members = spark.read.parquet(f"{at}/members")
+    blocks = blocks.join(blocks.groupBy("component").agg(F.count("*").alias("n_block")), "component").withColumnRenamed("node", "id")
+    members = docs.join(blocks, F.col("doc_id") == F.col("id")).select("doc_id", "text", "component", "n_block")
+    members = members.mapInArrow(_member_sets(classes), "id long, block long, n_block long, n long, typical double, tokens binary")
+    part = F.when(F.col("n_block") <= TILE, 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n_block") / TILE)))
+    schema = "a long, b long, id long, block long, n long, typical double, tokens binary"
+    members.withColumn("part", part).groupBy("block", "part").applyInArrow(_small_blocks, schema).write.parquet(f"{at}/blocks")
+    small = spark.read.parquet(f"{at}/blocks").filter("a IS NOT NULL").select("a", "b")
+
+    # Blocks larger than a tile: first their most typical member with all others, then tiles.
+    members = spark.read.parquet(f"{at}/blocks").filter("id IS NOT NULL").drop("a", "b")
     leaders = members.groupBy("block").agg(F.max_by(F.struct("id", "tokens"), F.struct("typical", "n", F.negative("id"))).alias("x"))
     leaders = leaders.select("block", F.col("x.id").alias("leader"), F.col("x.tokens").alias("leader_tokens"))
     compared = members.select("id", "block", "tokens").join(leaders, "block").filter("id <> leader")
     compared = checkpointed(compared.mapInArrow(_against_leader, "id long, block long, leader long, linked boolean"))
-
-    rest = compared.filter("NOT linked").select("id", "block")
-    again = rest.groupBy("block").agg(F.count("*").alias("n_rest")).join(members.groupBy("block").agg(F.count("*").alias("n_block")), "block")
-    again = again.filter("n_block > 2").select("block")
-    rows = members.select("id", "block", "n", "tokens").join(again, "block").join(rest.select("id", F.lit(True).alias("_open")).distinct(), "id", "left")
+    open_ = compared.filter("NOT linked").select("id", F.lit(True).alias("open")).distinct()
     cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
-    rows = rows.select("block", "id", "tokens", cell.alias("cell"), F.coalesce("_open", F.lit(False)).alias("open"))
+    rows = members.join(compared.filter("NOT linked").select("block").distinct(), "block").join(open_, "id", "left")
+    rows = rows.select("block", "id", "tokens", F.coalesce("open", F.lit(False)).alias("open"), cell.alias("cell"))
     tiled = tile_pairs(rows, "block", TILE).groupBy("block", "pair").applyInArrow(_tile_links, "a long, b long")
-    links = compared.filter("linked").select(F.col("id").alias("a"), F.col("leader").alias("b")).unionByName(tiled)
+    links = small.unionByName(compared.filter("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))).unionByName(tiled)
     found = connected_components(links).withColumnsRenamed({"node": "rep"})
     out = classed.join(found, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -125,6 +125,6 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The documents that the policy keeps, with their own columns only."""
-    columns = docs.columns
-    return ledger(docs.select(*columns, F.col("text").alias("_text")), "_text").filter(passes(policy)).select(*columns)
+    """The rows that the policy keeps, with their own columns only."""
+    rows = ledger(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text")
+    return rows.filter(passes(policy)).select("_row.*")
