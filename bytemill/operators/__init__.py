@@ -1,3 +1,3 @@
 """All operators; importing the package registers their queries."""
 
-from . import profile, tables  # noqa: F401
+from . import fusion, history, listing, metrics, profile, tables, verification  # noqa: F401
