@@ -113,7 +113,7 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     """
     m = mask(POLICIES[policy])
     patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m)).alias("bits")).agg(F.count("*").alias("n"))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("b"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))
     each = patterns.select("bits", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BITS[r]).alias("b")) for r in POLICIES[policy]])).alias("x"))
     each = each.select("bits", "n", "x.rule", "x.b")
     hit = F.col("bits").bitwiseAND(bit) != 0
