@@ -1,10 +1,11 @@
 """Personal data: four fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field labels the words of a sequence (a sentence of a line, 128 words at most) as
+The patterns give the base spans. The field labels the words of a sequence (a sentence of a line, however long) as
 the begin or inside of an e-mail, IP, card, phone or ID number, or as other. Its features are the shapes of a word and
 its neighbours and a few cue words; it is trained from the small labelled table below (rules and a seed, no corpus) and
 decoded by Viterbi over many sequences at once. Only sequences with a digit or an address sign can hold a label, which
-is part of the model. A decoded span is added where no base span overlaps it and the path beats "all other" by MARGIN.
+is part of the model. A decoded span is added where no base span overlaps it and the path beats "all other" by MARGIN
+over the runs of labelled words that begin less than NEAR words from it.
 
 Null and empty texts have no spans. Rows are judged one by one. An empty table gives an empty result.
 """
@@ -24,8 +25,8 @@ from .common import pieces, word_spans
 
 KINDS = ("email", "ip", "card", "phone", "id")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Words of a sequence; how much better a path with a span must be than "all other" (log odds).
-SEQUENCE, MARGIN = 128, 4.0
+#: How far evidence for a span may be (words); how much better a path with a span must be than "all other" (log odds).
+NEAR, MARGIN = 128, 4.0
 
 # The base patterns, in the order in which kinds are listed.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -243,32 +244,52 @@ def trained(rounds: int = 60, rate: float = 0.15, shrink: float = 2e-3) -> Field
     return Field(tuple({f: w[i + base[p]] for f, i in names[p].items()} for p in range(3)), steps + rule)
 
 
-def viterbi(emissions: np.ndarray, bounds: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best labels of sequences set end to end (``bounds``: where each begins), and by how much each beats "all other".
+def viterbi(emissions: np.ndarray, bounds: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Best labels of sequences set end to end (``bounds``: where each begins).
 
     Sequences advance together, longest first, so that step t handles those that are longer than t.
     """
     lengths = np.diff(bounds)
     order = np.argsort(-lengths, kind="stable")
     first, lengths = bounds[:-1][order], lengths[order]
+    longest = int(lengths[0]) if len(lengths) else 0
+    going = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()
     back = np.zeros((len(emissions), steps.shape[0]), np.int8)
-    labels, gain = np.zeros(len(emissions), np.int64), np.zeros(len(order))
+    labels = np.zeros(len(emissions), np.int64)
+    into = np.ascontiguousarray(steps.T)
     score = emissions[first] + steps[0]
-    plain = score[:, 0].copy()
-    for t in range(1, int(lengths[0]) if len(lengths) else 0):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        options = score[:live, :, None] + steps
-        best = options.argmax(axis=1)
-        back[first[:live] + t] = best
-        score[:live] = np.take_along_axis(options, best[:, None, :], 1)[:, 0] + emissions[first[:live] + t]
-        plain[:live] += steps[0, 0] + emissions[first[:live] + t, 0]
-    at = score.argmax(axis=1)
-    gain[order] = score[np.arange(len(at)), at] - plain
-    for t in range(int(lengths[0]) - 1 if len(lengths) else -1, -1, -1):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        labels[first[:live] + t] = at[:live]
-        at[:live] = back[first[:live] + t, at[:live]]
-    return labels, gain
+    for t in range(1, longest):
+        live = going[t]
+        options = score[:live, None, :] + into
+        at = first[:live] + t
+        back[at] = options.argmax(axis=2)
+        score[:live] = options.max(axis=2) + emissions[at]
+    best = score.argmax(axis=1)
+    for t in range(longest - 1, -1, -1):
+        live = going[t]
+        at = first[:live] + t
+        labels[at] = best[:live]
+        best[:live] = back[at, best[:live]]
+    return labels
+
+
+def near_gains(emissions: np.ndarray, labels: np.ndarray, bounds: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """By word with a label: by how much the path beats "all other" over the runs of its sequence that begin less than NEAR words from its run."""
+    before = np.append(0, labels[:-1])
+    before[bounds[:-1]] = 0
+    at = np.arange(len(labels))
+    gain = np.append(0.0, np.cumsum(emissions[at, labels] - emissions[:, 0] + steps[before, labels] - steps[0, 0]))
+    out = np.zeros(len(labels))
+    inside = labels > 0
+    opens = inside & (before == 0)
+    starts = np.flatnonzero(opens)
+    # A run's gain includes the step back to "other"; words between runs add nothing.
+    total = np.append(gain[starts], gain[-1])
+    # Sequences are set so far apart that none is near another.
+    place = starts + np.searchsorted(bounds, starts, side="right") * 2 * NEAR
+    low, high = np.searchsorted(place, place - NEAR, side="right"), np.searchsorted(place, place + NEAR, side="left")
+    out[inside] = (total[high] - total[low])[np.cumsum(opens)[inside] - 1]
+    return out
 
 
 _DIGIT_OR_SIGN = np.zeros(256, bool)
@@ -304,8 +325,6 @@ class Decoder:
         lines = np.concatenate([[0], np.cumsum(data == 10)])
         cut = np.ones(len(starts), bool)
         cut[1:] = (row[1:] != row[:-1]) | (lines[starts[1:]] != lines[ends[:-1]]) | _STOP[data[ends[:-1] - 1]]
-        head = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), 0))
-        cut |= (np.arange(len(cut)) - head) % SEQUENCE == 0
         sequence = np.cumsum(cut) - 1
         wanted = np.bincount(sequence, weights=active) > 0
         take = np.flatnonzero(wanted[sequence])
@@ -322,8 +341,8 @@ class Decoder:
         at = np.flatnonzero(inner)
         own[at] += before[at - 1]
         own[at - 1] += after[at]
-        labels, gain = viterbi(own, bounds, self.model.steps)
-        good = np.repeat(gain >= MARGIN, np.diff(bounds)) & (labels > 0)
+        labels = viterbi(own, bounds, self.model.steps)
+        good = (labels > 0) & (near_gains(own, labels, bounds, self.model.steps) >= MARGIN)
         for i in np.flatnonzero(good & (labels % 2 == 1)):
             j = i + 1
             while j < len(labels) and good[j] and labels[j] == labels[i] + 1 and inner[j]:

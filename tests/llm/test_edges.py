@@ -146,6 +146,16 @@ def test_personal_data(spark, odd, empty):
     assert pii.find_personal(odd).count() == len(ODD) and pii.find_personal(empty).count() == 0
 
 
+@pytest.mark.parametrize("span", ["bob [at] example [dot] com", "(415) 555-2671", "4111 1111 1111 1112"])
+def test_personal_data_on_long_lines(span):
+    """A span is found whole wherever it stands in a line: before, across and after words 128 and 256."""
+    texts = [" ".join([*["lorem"] * n, "contact", span, *["ipsum"] * 150]) for n in (3, *range(121, 130), *range(250, 257), 3000)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *map(len, texts)])
+    got = [(r, texts[r][a:b]) for r, _, a, b in pii.Decoder(pii.trained()).spans(data, offs)]
+    assert got == [(r, span) for r in range(len(texts))]
+
+
 def test_toxicity_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
