@@ -64,8 +64,8 @@ def asm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_size(n: Column) -> Column:
-    """B below 1024, KB with two places below a MB, else MB with two places."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.2f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / (1 << 20)))
+    """B below 1024, KB with two places below a MB, else MB with two places; null stays null."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.2f KB", n / 1024)).when(n >= 1 << 20, F.format_string("%.2f MB", n / (1 << 20)))
 
 
 def short_name(name: Column, most: int = 32) -> Column:
@@ -77,7 +77,7 @@ def short_name(name: Column, most: int = 32) -> Column:
 CASE WHEN length(url) > 32 THEN url[1:29] || '...' ELSE url END AS name, printf('%.2f%%', page_id % 1000 / 7.0) AS percent, least(1, greatest(0.1, 1.25 * (page_id % 100) / 100))::DOUBLE AS axis_top,
 replace(replace(replace(url[1:40], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages WHERE strlen(html) < 1048576""")
 def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").filter(F.octet_length("html") < 1 << 20)
+    p = table(spark, sf_dir, "pages")
     escaped = F.substring("url", 1, 40)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(a), F.lit(b))

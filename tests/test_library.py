@@ -110,6 +110,14 @@ def test_listing_profile(spark):
     assert listing.profile(spark.createDataFrame([(None,)], "t string"), "t").first().n_lines == 0
 
 
+def test_display_keeps_large_pages(spark, tmp_path):
+    sizes = {1: None, 2: 0, 3: 1023, 4: 1024, 5: (1 << 20) - 1, 6: 1 << 20, 7: 5 << 19}
+    rows = spark.createDataFrame(list(sizes.items()), "page_id long, n int").selectExpr("page_id", "'http://a/<b>' AS url", "repeat('x', n) AS html")
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    shown = {r.page_id: r["size"] for r in listing.display_format(spark, str(tmp_path)).collect()}
+    assert shown == {1: None, 2: "0 B", 3: "1023 B", 4: "1.00 KB", 5: "1024.00 KB", 6: "1.00 MB", 7: "2.50 MB"}
+
+
 def test_constant_columns_count_null_as_a_value(spark):
     rows = spark.createDataFrame([(1, None, None, 2), (1, None, 5, 3)], "a int, b int, c int, d int")
     assert {r.column: r.constant for r in verification.constant_columns(rows).collect()} == {"a": True, "b": True, "c": False, "d": False}
