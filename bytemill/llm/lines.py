@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table sorted by line hash: one row for each key with the number of documents that hold it and the largest of
-their ids. Each batch of documents becomes a run of level 0; once a level has ``fanout`` runs they are merged into one
-run of the next level, so a key is rewritten a logarithmic number of times. A new batch is anti-joined with the runs to
-tell the lines never seen before.
+their ids. Each batch of documents is anti-joined with the runs: the keys never seen before become a run of level 0, so
+a key stands in one run only, and what the batch says of known keys is kept as updates, since counts need all of them.
+Once a level has ``fanout`` runs they are merged into one run of the next level, so a key is rewritten a logarithmic
+number of times.
 
 A key is the line without white space at both ends and with A-Z lowered; it is told apart by two 64-bit hashes. Null and
 empty texts are one empty line. Rows that repeat a doc_id count as one document. Documents with a null doc_id neither
@@ -48,16 +49,17 @@ def line_hashes(docs: DataFrame, least_chars: int = 40) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs in the shared folder."""
+    """Levels of sorted runs in the shared folder, no key in two of them, and later batches' updates of their keys."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.path = path or f"{ensure_checkpoint_dir(spark)}/line-runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
+        self.updates: list[str] = []
         self._made = 0
 
-    def _write(self, rows: DataFrame, level: int) -> str:
-        out = f"{self.path}/level{level}-run{self._made}"
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        out = f"{self.path}/{kind}-run{self._made}"
         self._made += 1
         rows.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(out)
         return out
@@ -73,9 +75,14 @@ class LineRuns:
         return hashes
 
     def add(self, hashes: DataFrame) -> None:
-        """Add a batch of distinct (doc_id, h1, h2) as a run; merge levels that are full. Batches hold different documents."""
-        run = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        at = self._write(run, 0)
+        """Add a batch of distinct (doc_id, h1, h2): new keys as a run, known ones as updates; merge levels that are full. Batches hold different documents."""
+        batch = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        if any(self.levels):
+            batch = self.spark.read.parquet(self._write(batch, "batch"))
+            at = self._write(self.unseen(batch), "level0")
+            self.updates.append(self._write(batch.join(self.spark.read.parquet(at), list(KEY), "left_anti"), "updates"))
+        else:
+            at = self._write(batch, "level0")
         level = 0
         while True:
             if level == len(self.levels):
@@ -83,13 +90,13 @@ class LineRuns:
             self.levels[level].append(at)
             if len(self.levels[level]) < self.fanout:
                 return
-            at = self._write(self._merged(self.spark.read.parquet(*self.levels[level])), level + 1)
+            at = self._write(self.spark.read.parquet(*self.levels[level]), f"level{level + 1}")
             self.levels[level] = []
             level += 1
 
     def frequent(self, least_docs: int) -> DataFrame:
-        """The keys that at least so many documents hold, over all runs."""
-        runs = [r for level in self.levels for r in level]
+        """The keys that at least so many documents hold, over all runs and updates."""
+        runs = [r for level in self.levels for r in level] + self.updates
         return self._merged(self.spark.read.parquet(*runs)).filter(F.col("n_docs") >= least_docs)
 
 

@@ -76,6 +76,15 @@ def test_line_runs_grow_by_levels(spark):
     assert runs.unseen(spark.createDataFrame([(1, 2), (5, 5)], "h1 long, h2 long")).collect()[0].h1 == 5
 
 
+def test_line_runs_hold_a_key_once(spark):
+    runs = lines.LineRuns(spark)
+    for k in range(5):
+        runs.add(spark.createDataFrame([(10 * k + i, h, h) for i in range(2) for h in (0, k, i)] + [(10 * k, 99, -k)], "doc_id long, h1 long, h2 long").distinct())
+    held = spark.read.parquet(*(r for level in runs.levels for r in level)).collect()
+    assert len(held) == len({(r.h1, r.h2) for r in held}) == 10
+    assert {(r.h1, r.n_docs, r.max_doc) for r in runs.frequent(3).collect()} == {(0, 10, 41), (1, 6, 41)}
+
+
 def test_quality(spark, odd, empty):
     assert quality.ledger(odd).filter("NOT (fail_bits & 1 = 1 OR n_words >= 50)").count() == 0
     kept = quality.keep_clean(odd)
