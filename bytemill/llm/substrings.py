@@ -1,10 +1,11 @@
-"""Removal of repeated substrings over a logarithmic family of sampled suffix arrays.
+"""Removal of repeated substrings over levelled, hash-sorted fingerprints of sampled suffixes.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Each such string (window) picks the
 smallest hash among its substrings of K bytes: equal windows pick the same one, at the same place, so only suffixes that
-start at picked places (2 % of all) need an index. The suffix array of a batch of documents holds these suffixes in
-the order of the hash of their first K bytes. A new batch is merge-scanned against every level for equal entries, then
-becomes a level itself; levels of equal size merge, so an entry is rewritten a logarithmic number of times.
+start at picked places (2 % of all) need an index. A level holds the hashes of the first K bytes of these suffixes with
+their counts, in the order of the hash: no positions and no suffix order, so this is no suffix array. A new batch is
+joined with every level for equal hashes, then becomes a level itself; levels of equal size merge, so an entry is
+rewritten a logarithmic number of times. The suffixes with matched hashes are then joined from the table of all of them.
 
 Matched suffixes are then settled exactly. A suffix stands for the run of windows that picked it. If the bytes under the
 whole run are found twice, all its windows are repeated. Else the hashes of its windows are compared with those of the
