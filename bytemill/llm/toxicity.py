@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A learnt lexicon and small fixed lists map words to symbols (insult, threat, target, negation, reported speech). Four
+A learnt lexicon and small fixed lists map words to symbols (insult, threat, target, negation, reported speech). Three
 transducers rewrite and weigh the symbols of a clause: a target raises an insult or threat, negation and reported speech
-lower it; their composition is one transducer that reads each clause once. Only clauses that hold an insult or a threat
+lower it; their composition is one transducer that reads each clause once. Insults and threats have no transducers of
+their own: they are single words of the lexicon and the lists, and a threat that is not learnt as an insult has a fixed
+weight. Only clauses that hold an insult or a threat
 are read, found in the whole text. A document's evidence is its strongest clause and a little for each further one; a
 logistic curve maps it to a score.
 
