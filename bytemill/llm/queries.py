@@ -47,7 +47,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_pieces(_read(spark, sf_dir, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    rows = sampling.sample_pieces(_read(spark, sf_dir, "documents"), digest=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

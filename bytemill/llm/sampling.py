@@ -1,8 +1,8 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
 Pieces come from a public SentencePiece model file; a piece's weight falls with its rank (Zipf), to the power ALPHA. A
-text is cut into words (a run of spaces and what follows it, a newline by itself, MOST_BYTES bytes at most), which no
-piece crosses. A word's lattice has an edge for every piece that its bytes spell, and byte pieces for characters that no
+text is cut into words (a run of spaces and what follows it, a newline by itself, however long), which no piece
+crosses. A word's lattice has an edge for every piece that its bytes spell, and byte pieces for characters that no
 piece spells, so every text has a segmentation. Forward filtering sums the weights of all paths to each place, once for
 each distinct word of a batch; backward sampling then draws every occurrence's path from its end, in proportion to its
 weight. The random numbers come from the row key, the place in the text and a seed: reruns agree, however rows are
@@ -14,6 +14,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import mix, pieces, prefix_sums, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, SEED, MOST_BYTES, BATCH_BYTES = 1.0, 23, 256, 2 << 20
+ALPHA, SEED, BATCH_BYTES = 1.0, 23, 2 << 20
+#: So many words or fewer are read place by place, since array steps cost more.
+FEW = 16
 _TABLE_BITS = 20
 
 
@@ -100,17 +104,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     begins[1:] = (space[1:] & ~space[:-1]) | line[:-1]
     begins |= line
     begins[offs[:-1][offs[:-1] < n]] = True
-    at = np.flatnonzero(begins)
-    lengths = np.diff(np.append(at, n))
-    if len(lengths) and lengths.max() > MOST_BYTES:
-        # Very long words are cut, at the starts of characters.
-        more = [np.arange(a + MOST_BYTES, a + k, MOST_BYTES) for a, k in zip(at[lengths > MOST_BYTES], lengths[lengths > MOST_BYTES], strict=True)]
-        cuts = np.concatenate(more)
-        for _ in range(3):
-            inner = (data[cuts] & 0xC0) == 0x80
-            cuts[inner] -= 1
-        at = np.union1d(at, cuts)
-    return at
+    return np.flatnonzero(begins)
 
 
 def lattice(table: Pieces, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -162,9 +156,12 @@ def forward(start: np.ndarray, end: np.ndarray, weight: np.ndarray, bounds: np.n
     alpha = np.full(n_places, -np.inf)
     first = bounds[:-1] + np.arange(len(bounds) - 1)
     alpha[first] = 0.0
-    depth = (end - np.repeat(first, np.diff(bounds) + 1)[end]).astype(np.uint16)
+    sizes = np.diff(bounds)
+    shared = int(np.partition(sizes, -FEW - 1)[-FEW - 1]) if len(sizes) > FEW else 0
+    depth = np.minimum(end - np.repeat(first, sizes + 1)[end], shared + 1)
+    depth = depth.astype(np.uint16 if shared < 65535 else np.int64)
     by_depth = np.argsort(depth, kind="stable")
-    cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max()) + 2)) if len(depth) else np.zeros(1, int)
+    cuts = np.searchsorted(depth[by_depth], np.arange(1, shared + 2))
     share = np.empty(len(end))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b:
@@ -183,6 +180,32 @@ def forward(start: np.ndarray, end: np.ndarray, weight: np.ndarray, bounds: np.n
         running = np.cumsum(mass)
         running -= np.repeat(running[heads] - mass[heads], sizes)
         share[e] = running / np.repeat(np.where(total > 0, total, 1.0), sizes)
+    # Beyond the depth that more than FEW words reach: place by place, in the order of the ends.
+    rest = by_depth[cuts[-1] :]
+    sums: dict[int, float] = {}
+    shares: list[float] = []
+    at, values = -1, []
+
+    def close() -> None:
+        top = max(values, default=0.0)
+        top = top if math.isfinite(top) else 0.0
+        running = 0.0
+        for i, v in enumerate(values):
+            running += math.exp(v - top)
+            values[i] = running
+        sums[at] = top + math.log(running) if running > 0 else -math.inf
+        shares.extend(v / (running or 1.0) for v in values)
+
+    for origin, to, w, known in zip(start[rest].tolist(), end[rest].tolist(), weight[rest].tolist(), alpha[start[rest]].tolist(), strict=True):
+        if to != at:
+            if values:
+                close()
+            at, values = to, []
+        values.append(sums.get(origin, known) + w)
+    if values:
+        close()
+    share[rest] = shares
+    alpha[list(sums)] = list(sums.values())
     return alpha, share
 
 
@@ -208,7 +231,7 @@ def encode(table: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.ndarray,
     offset = (at - offs[row] - goal).astype(np.uint64)
     live = np.arange(len(at))
     steps = []
-    while len(live):
+    while len(live) > FEW:
         here = place[live]
         u = (mix(base[live] ^ mix(offset[live] + here.astype(np.uint64))) >> np.uint64(11)).astype(np.float64) / 2.0**53
         edge, last = edges_to[here], edges_to[here + 1] - 1
@@ -219,25 +242,51 @@ def encode(table: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.ndarray,
         steps.append((live, piece[edge]))
         place[live] = start[edge]
         live = live[place[live] > goal[live]]
+    tails = []
+    for w in live.tolist():
+        here, stop, drawn = int(place[w]), int(goal[w]), []
+        reach = np.arange(stop, here + 1)
+        u = ((mix(base[w] ^ mix(offset[w] + reach.astype(np.uint64))) >> np.uint64(11)).astype(np.float64) / 2.0**53).tolist()
+        low = int(edges_to[stop])
+        heads, shares, origins = edges_to[stop : here + 2].tolist(), share[low : edges_to[here + 1]].tolist(), start[low : edges_to[here + 1]].tolist()
+        while here > stop:
+            edge, last = heads[here - stop] - low, heads[here - stop + 1] - 1 - low
+            while edge < last and shares[edge] <= u[here - stop]:
+                edge += 1
+            drawn.append(edge + low)
+            here = origins[edge]
+        tails.append((w, piece[drawn]))
     counts = np.zeros(len(at), np.int64)
     for who, _ in steps:
         counts[who] += 1
+    begun = counts[live]
+    counts[live] += np.array([len(what) for _, what in tails], np.int64)
     ends = np.cumsum(counts)
     out = np.empty(int(ends[-1]), np.int32)
     for k, (who, what) in enumerate(steps):
         out[ends[who] - 1 - k] = what
+    for (w, what), n in zip(tails, begun.tolist(), strict=True):
+        out[ends[w] - n - len(what) : ends[w] - n] = what[::-1]
     per_row = np.bincount(row, weights=counts, minlength=n_rows).astype(np.int64)
     return out, np.concatenate([[0], np.cumsum(per_row)])
 
 
-def _encoding(path: str, alpha: float, seed: int):
+def _digests(table: Pieces, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """SHA-256 of the bytes that each row's pieces spell."""
+    raw = table.bytes_of(ids).tobytes()
+    ends = np.concatenate([[0], np.cumsum(table.lengths[ids])])[bounds].tolist()
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def _encoding(path: str, alpha: float, seed: int, digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path, alpha)
         for batch, data, offs in pieces(batches, BATCH_BYTES):
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
             ids, bounds = encode(table, data, offs, keys, seed)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+            more = {"decoded_sha256": _digests(table, ids, bounds)} if digest else {}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *more.values()], ["doc_id", "ids", *more])
 
     return run
 
@@ -255,11 +304,14 @@ def _decoding(path: str):
     return run
 
 
-def sample_pieces(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """doc_id and ids (array of int): one sampled segmentation of each text, reproducible by doc_id and seed."""
+def sample_pieces(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """doc_id and ids (array of int): one sampled segmentation of each text, reproducible by doc_id and seed.
+
+    With ``digest``, the pieces are decoded too: decoded_sha256 is that of the text where nothing was lost.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
-    return rows.mapInArrow(_encoding(model, alpha, seed), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(_encoding(model, alpha, seed, digest), f"doc_id {kind}, ids array<int>" + ", decoded_sha256 string" * digest)
 
 
 def join_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:

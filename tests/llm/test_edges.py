@@ -85,6 +85,35 @@ def test_line_runs_hold_a_key_once(spark):
     assert {(r.h1, r.n_docs, r.max_doc) for r in runs.frequent(3).collect()} == {(0, 10, 41), (1, 6, 41)}
 
 
+@pytest.mark.parametrize("n_words", [3, 40])
+def test_pieces_cross_every_place_of_long_words(n_words):
+    """Sums over the whole lattice against a plain recursion, and draws that are cut nowhere."""
+    table = sampling.piece_table(sampling.MODEL, sampling.ALPHA)
+    word = ("information" * 70).encode()
+    texts = [word + b"s" * i for i in range(n_words)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, end, _, weight = sampling.lattice(table, data, offs)
+    alpha, _ = sampling.forward(start, end, weight, offs)
+    want = np.full(len(alpha), -np.inf)
+    want[offs[:-1] + np.arange(n_words)] = 0.0
+    for a, b, w in zip(start, end, weight, strict=True):
+        want[b] = np.logaddexp(want[b], want[a] + w)
+    assert np.allclose(alpha, want)
+    cut = np.zeros(len(word), int)
+    for seed in range(60 // n_words):
+        ids, bounds = sampling.encode(table, data, offs, np.arange(n_words), seed)
+        assert table.bytes_of(ids).tobytes() == data.tobytes()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            edges = np.cumsum(table.lengths[ids[a:b]])
+            cut[edges[edges < len(word)]] += 1
+    assert (cut[[256, 512]] < 60 // n_words * n_words).all()
+
+
+def test_sampled_pieces_are_decoded(odd):
+    rows = sampling.sample_pieces(odd, digest=True).collect()
+    assert sorted(r.decoded_sha256 for r in rows) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in ODD)
+
+
 def test_quality(spark, odd, empty):
     assert quality.ledger(odd).filter("NOT (fail_bits & 1 = 1 OR n_words >= 50)").count() == 0
     kept = quality.keep_clean(odd)
