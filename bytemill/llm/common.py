@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,13 @@ IS_SEP[list(SEPARATORS)] = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only on a local master (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("bytemill"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp("bytemill"))
     return sc.getCheckpointDir()
 
 
@@ -33,6 +37,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The table written to ``path`` and read again with its own schema (also where it has no rows)."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    sc = spark.sparkContext
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def large_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its rows; nulls become empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,8 +99,6 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
 _BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -106,14 +127,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lowered."""
+    return _LOWER[data]
+
+
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans, eight bytes at a time, each block mixed into the hash of those before it."""
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    if not len(n):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live, at, left = np.arange(len(n)), starts, n
+    while len(live):
+        ok = left > 0
+        if not ok.all():
+            live, at, left = live[ok], at[ok], left[ok]
+        block = words[at] & _MASKS[np.minimum(left, 8)]
+        h[live] = mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + mix(block ^ np.uint64(0xD6E8FEB86659FD93)))
+        at, left = at + 8, left - 8
+    return h
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums: element i covers the first i bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _powers(_BASE, len(data)), out=out[1:])
+    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=out[1:])
     return out
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
+    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand.
+
+    The sums are polynomials modulo 2 ** 64, which certain structured strings of many hundred bytes share: only for
+    spans of 300 bytes at most. Longer spans need ``block_hashes``.
+    """
     back = _powers(_INVERSE, len(sums))
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))

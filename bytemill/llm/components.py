@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import discard, scratch, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,16 +15,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (each a min per node and a join, so hot nodes are combined map-side and
     split by AQE) until the edges are stars. A node without edges has no row.
     """
+    spark = edges.sparkSession
+    at, step, seen = scratch(spark, "components"), 0, None
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = checkpointed(e), None
+    e = written(e, f"{at}/0")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(down.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        step += 1
+        e = written(down.unionByName(low.withColumnRenamed("m", "v")).distinct(), f"{at}/{step}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(spark, f"{at}/{step - 1}")
         if now == seen:
             break
         seen = now
@@ -51,15 +55,16 @@ def local_components(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_pairs(rows: DataFrame, key: str, tile: int) -> DataFrame:
+def tile_pairs(rows: DataFrame, key: str, tile: int, weight: tuple[str, int] | None = None) -> DataFrame:
     """Deal rows to pairs of tiles, so that all rows of equal ``key`` whose cells differ by 1 at most meet once.
 
     ``rows`` have columns ``key``, cell (long), open (boolean) and id (long). Rows of one key and cell are cut into tiles
-    of about ``tile`` rows by a hash of their id; two tiles are paired unless both hold rows that are not open. The
-    result has ``key``, the pair's ``pair`` struct, ``side`` (0 or 1; a tile paired with itself comes once, with side 0)
+    of about ``tile`` rows by a hash of their id, or of a sum of about so much of a column (``weight``: its name and the
+    sum); two tiles are paired unless both hold rows that are not open. The result has ``key``, the pair's ``pair`` struct, ``side`` (0 or 1; a tile paired with itself comes once, with side 0)
     and the columns of ``rows``. Only the table of tiles is joined with itself, on equal keys.
     """
-    counts = rows.groupBy(key, "cell", "open").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    parts = F.count("*") / tile if weight is None else F.greatest(F.count("*") / tile, F.sum(weight[0]) / weight[1])
+    counts = rows.groupBy(key, "cell", "open").agg(F.ceil(parts).alias("tiles"))
     rows = rows.join(counts, [key, "cell", "open"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles"))).drop("tiles")
     tiles = counts.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")
     left = tiles.select(key, F.struct("cell", "open", "t").alias("x"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, prefix_sums, span_hashes
+from .common import block_hashes, mix, pieces, prefix_sums, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED, BATCH_BYTES = 1.0, 23, 2 << 20
@@ -217,7 +217,7 @@ def encode(table: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.ndarray,
     at = words(data, offs)
     till = np.append(at[1:], len(data))
     row = np.searchsorted(offs, at, side="right") - 1
-    _, pick, kind = np.unique(span_hashes(prefix_sums(data), at, till), return_index=True, return_inverse=True)
+    _, pick, kind = np.unique(block_hashes(data, at, till), return_index=True, return_inverse=True)
     sizes = (till - at)[pick]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     text = data[np.repeat(at[pick] - bounds[:-1], sizes) + np.arange(bounds[-1])]
