@@ -13,16 +13,16 @@ count nor lose lines. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, ensure_checkpoint_dir
+from .common import SEPARATORS, discard, scratch, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "".join(map(chr, SEPARATORS))
 KEY = ("h1", "h2")
+#: Frequent keys (24 bytes each) that are sent to all tasks at most; parts of a key's documents beyond that.
+MOST_SENT, SALTS = 500_000, 32
 
 
 def line_key(line: Column) -> Column:
@@ -53,7 +53,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
-        self.path = path or f"{ensure_checkpoint_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.path = path or scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
         self.updates: list[str] = []
         self._made = 0
@@ -78,9 +78,11 @@ class LineRuns:
         """Add a batch of distinct (doc_id, h1, h2): new keys as a run, known ones as updates; merge levels that are full. Batches hold different documents."""
         batch = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         if any(self.levels):
-            batch = self.spark.read.parquet(self._write(batch, "batch"))
+            made = [self._write(batch, "batch")]
+            batch = self.spark.read.parquet(*made)
             at = self._write(self.unseen(batch), "level0")
             self.updates.append(self._write(batch.join(self.spark.read.parquet(at), list(KEY), "left_anti"), "updates"))
+            discard(self.spark, *made)
         else:
             at = self._write(batch, "level0")
         level = 0
@@ -91,6 +93,7 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             at = self._write(self.spark.read.parquet(*self.levels[level]), f"level{level + 1}")
+            discard(self.spark, *self.levels[level])
             self.levels[level] = []
             level += 1
 
@@ -100,38 +103,56 @@ class LineRuns:
         return self._merged(self.spark.read.parquet(*runs)).filter(F.col("n_docs") >= least_docs)
 
 
-def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 4) -> DataFrame:
-    """``docs`` with text without the lines that too many documents hold, and n_lines and n_dropped.
+def found_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 4) -> DataFrame:
+    """Each document (``row``) with the text that is left, n_lines and n_dropped.
 
     A frequent line stays in the largest doc_id that holds it. The hashes are written once and dealt to ``batches``
     batches by doc_id; texts are read twice and never grouped by line.
     """
     spark = docs.sparkSession
-    at = f"{ensure_checkpoint_dir(spark)}/line-hashes-{uuid.uuid4().hex}"
+    at = scratch(spark, "line-hashes")
     line_hashes(docs, least_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).write.partitionBy("batch").parquet(at)
     schema = "doc_id long, h1 long, h2 long, batch long"
     hashes = spark.read.schema(schema).parquet(at)
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(hashes.filter(F.col("batch") == b).drop("batch"))
-    lost = hashes.drop("batch").join(runs.frequent(least_docs), list(KEY)).filter("doc_id <> max_doc")
-    lost = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(*KEY)).alias("_lost"))
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lost"), _hashed(x, least_chars)), F.lit(False)))
-    out = docs.join(lost, F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn("_kept", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
-    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("_kept")).cast("long")}
-    return out.withColumns(counts).withColumn("text", F.array_join("_kept", "\n")).drop("_kept", "_id", "_lost")
+    frequent = written(runs.frequent(least_docs), f"{at}-frequent")
+    lost = _with_hot_keys(hashes.drop("batch"), frequent).filter("doc_id <> max_doc")
+    lost = written(lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("lost")), f"{at}-lost")
+    discard(spark, at, runs.path, f"{at}-frequent")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).join(lost, F.col("id") == F.col("doc_id"), "left")
+    lines = _lines(F.col("row.text"))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), _hashed(x, least_chars)), F.lit(False)))
+    rows = rows.withColumn("kept", F.when(F.col("lost").isNull(), lines).otherwise(kept))
+    counts = F.size(lines).cast("long"), (F.size(lines) - F.size("kept")).cast("long")
+    return rows.select("row", F.array_join("kept", "\n").alias("text"), counts[0].alias("n_lines"), counts[1].alias("n_dropped"))
+
+
+def _with_hot_keys(hashes: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Each document's frequent keys with their largest document.
+
+    Frequent keys are few as a rule: they are sent to all tasks where MOST_SENT rows hold them. More of them are joined
+    by key and one of SALTS numbers of the document, so that a key that most documents hold meets many tasks.
+    """
+    if frequent.count() <= MOST_SENT:
+        return hashes.join(F.broadcast(frequent), list(KEY))
+    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return hashes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long"))).join(salted, [*KEY, "salt"])
+
+
+def drop_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with text without the lines that too many documents hold, and n_lines and n_dropped (in place of such columns)."""
+    found = found_lines(docs, **options)
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return found.select(*own, "text", "n_lines", "n_dropped")
 
 
 def without_lines(docs: DataFrame, **options) -> DataFrame:
     """``drop_lines`` with the input's own columns; n_chars, where there is one, is counted again; null texts stay null."""
-    columns = docs.columns
-    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in columns}
-    out = drop_lines(docs.withColumnsRenamed(own).withColumn("_null", F.col("text").isNull()), **options)
-    out = out.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()})
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    if "n_chars" in columns:
-        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(count))
-    return out.select(*columns)
+    found = found_lines(docs, **options)
+    text = F.when(F.col("row.text").isNotNull(), F.col("text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
