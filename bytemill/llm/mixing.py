@@ -2,7 +2,7 @@
 
 A source's target, divided by its words, is the number of copies that each of its documents should get on average. The
 whole part is given to all; the fractional rest becomes whole by pivotal steps: two documents exchange expected words,
-at random but without changing their sum, until the copies of one are whole. Documents are dealt by hash to leaves of
+at random but without changing their sum, until the copies of one are whole and the other meets the next. Documents are dealt by hash to leaves of
 bounded size; what a leaf leaves over (one document at most) meets the rest of other leaves one level up, until one
 document of each source remains, which is rounded to the nearest whole. A source's taken words therefore differ from
 its target by half of one document at most, and each document's expected copies stay as they were.
@@ -49,52 +49,47 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return rows.select("source", "rank", "n_docs", "source_size", target.alias("target"))
 
 
-def _unit(a: int, b: int, seed: int) -> float:
-    """A random number in [0, 1) that depends on two doc_ids and the seed only."""
-    with np.errstate(over="ignore"):
-        x = mix(np.array([a], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & 0xFFFFFFFF))
-        x = mix(x ^ np.array([b], np.int64).view(np.uint64))
-    return float(x[0] >> np.uint64(11)) / 2.0**53
+def _units(order: np.ndarray, seed: int) -> np.ndarray:
+    """Random numbers in [0, 1) that depend on the rows' hashes, their places among equal ones and the seed only."""
+    place = np.zeros(len(order), np.int64)
+    same = np.flatnonzero(np.append(False, order[1:] == order[:-1]))
+    for i in same:
+        place[i] = place[i - 1] + 1
+    x = mix(order.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & 0xFFFFFFFF))
+    return (mix(x + place.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def _settle(group: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Pivotal steps along one node's documents; one row at most keeps a fractional ``part``.
+def pivot(size: list[float], part: list[float], unit: list[float]) -> list[float]:
+    """Pivotal steps: the open document meets the next one until the copies of one of the two are whole.
 
-    Largest documents go first. While all parts are alike, a document's partner is the pool of all smaller ones, which
-    gives or takes what makes the document whole and stays alike; what the pool can't cover goes on pair by pair. What
-    is left over in the end is thus a small document.
+    The two exchange expected words, so that their sum stays; which of the two outcomes comes is drawn so that each
+    one's expected copies stay. One document at most is left with a fractional part.
     """
-    group = group.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-    size, part = group["size"].to_numpy(np.float64), group["part"].to_numpy(np.float64).copy()
-    ids = group["doc_id"].fillna(0).to_numpy(np.int64)
-    if np.ptp(part) < 1e-12:
-        pool, q = size.sum(), part[0]
-        for a in range(len(group)):
-            rest = pool - size[a]
-            if (1 - q) * size[a] > q * rest or q * size[a] > (1 - q) * rest:
-                part[a:] = q
-                break
-            whole = _unit(int(ids[a]), a, seed) < q
-            part[a] = float(whole)
-            q += (-(1 - q) if whole else q) * size[a] / rest
-            pool = rest
-    open_ = -1
-    for b in range(len(group)):
-        if part[b] <= 0 or part[b] >= 1:
+    part, open_ = list(part), -1
+    for b, (n, p) in enumerate(zip(size, part, strict=True)):
+        if p <= 0 or p >= 1:
             continue
         if open_ < 0:
             open_ = b
             continue
         a = open_
-        full_a, full_b, has_a, has_b = (1 - part[a]) * size[a], (1 - part[b]) * size[b], part[a] * size[a], part[b] * size[b]
+        m, q = size[a], part[a]
+        full_a, full_b, has_a, has_b = (1 - q) * m, (1 - p) * n, q * m, p * n
         to_a, to_b = min(full_a, has_b), min(has_a, full_b)
-        if _unit(int(ids[a]), int(ids[b]), seed) * (to_a + to_b) < to_b:
-            first, second = (1.0, part[b] - to_a / size[b]) if full_a <= has_b else (part[a] + to_a / size[a], 0.0)
+        if unit[b] * (to_a + to_b) < to_b:
+            first, second = (1.0, p - to_a / n) if full_a <= has_b else (q + to_a / m, 0.0)
         else:
-            first, second = (0.0, part[b] + to_b / size[b]) if has_a <= full_b else (part[a] - to_b / size[a], 1.0)
+            first, second = (0.0, p + to_b / n) if has_a <= full_b else (q - to_b / m, 1.0)
         part[a], part[b] = min(max(first, 0.0), 1.0), min(max(second, 0.0), 1.0)
         open_ = a if 0 < part[a] < 1 else b if 0 < part[b] < 1 else -1
-    group["part"] = part
+    return part
+
+
+def _settle(group: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """Pivotal steps along one node's documents, largest first, so that what is left over is a small one."""
+    group = group.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+    units = _units(group["order"].to_numpy(np.int64), seed)
+    group["part"] = pivot(group["size"].astype(float).tolist(), group["part"].tolist(), units.tolist())
     return group
 
 
@@ -109,7 +104,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     rows = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     want = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    order = F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(seed))
+    order = F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(seed), "size")
     leaves = F.ceil(F.col("n_docs") / LEAF)
     rows = rows.withColumns({"whole": F.floor(want), "part": F.when(F.col("size") > 0, want - F.floor(want)).otherwise(0.0), "order": order})
     rows = rows.withColumn("node", F.pmod(F.col("order"), leaves)).drop("n_docs")
@@ -125,10 +120,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 
 def repeat_to_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as the mix takes it; their columns stay. Rows equal in doc_id, source and size are repeated alike."""
-    columns = docs.columns
-    copies = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    rows = docs.withColumn("_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+    """The documents, each as often as the mix takes it; their columns stay, whatever their names.
+
+    Rows that agree in doc_id, source and size are numbered, and each takes the copies of its number.
+    """
+    key = ["id", "source", "words"]
+    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("id"), "source", F.col("size").alias("words"), "copies")
+    taken = taken.groupBy(*key).agg(F.count("*").alias("rows"), F.min("copies").alias("least"), F.sum("copies").alias("all")).filter("all > 0")
+    # The copies of equal rows differ by one at most: ``all - rows * least`` of them take one more.
+    taken = taken.select(*(F.col(c).alias(f"{c}_") for c in key), "rows", "least", (F.col("all") - F.col("rows") * F.col("least")).alias("more"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "source", words.alias("words"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key[:2]] + [F.col("words") == F.col("words_")]
+    rows = rows.join(taken, same[0] & same[1] & same[2])
+    single = rows.filter("rows = 1").withColumn("n", F.col("least") + F.col("more"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))
+    repeated = rows.filter("rows > 1").withColumn("n", F.col("least") + F.when(number <= F.col("more"), 1).otherwise(0))
+    return single.unionByName(repeated).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
