@@ -1,9 +1,11 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Vectors of equal label (not null) and length link when their cosine, in double precision, is 0.98 or more. Exactly equal
-vectors fall into one class first. The classes' vectors are rotated to principal axes, so that few leading dimensions
+vectors fall into one class first. All vectors are divided by their largest component, so that no norm over- or
+underflows. The classes' vectors are rotated to principal axes, so that few leading dimensions
 hold most of a product. Unit vectors with such a cosine differ by sqrt(2 - 2 * 0.98) at most in every coordinate, so
-cells of that width on the first axis are compared with themselves and the next one only, in tiles of bounded size. In
+cells of that width on the first axis are compared with themselves and the next one only, in tiles of bounded size,
+whose boxes on the next axes must come as near. In
 a tile pair the product grows by a few dimensions at a time; a pair is dropped once the product so far and the norms of
 what is left (Cauchy-Schwarz) cannot reach the threshold. What survives is computed again from the given components.
 
@@ -34,13 +36,18 @@ def principal_axes(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> dict[int, np
         by_size.setdefault(len(row.vector), []).append(row.vector)
     axes = {}
     for size, rows in by_size.items():
-        x = np.array(rows, np.float64)
+        x = scaled(np.array(rows, np.float64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         x -= x.mean(axis=0)
         axes[size] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
     return axes
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component, which changes no cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _rotated(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     return unit @ axes[x.shape[1]] if x.shape[1] in axes else unit
@@ -48,6 +55,7 @@ def _rotated(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, axes: dict[int, np.ndarray], threshold: float = THRESHOLD, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the pairs whose cosine reaches the threshold."""
+    a, b = scaled(a), scaled(b)
     x, y = _rotated(a, axes), _rotated(b, axes)
     rest = [np.sqrt(np.maximum(0, np.cumsum((z * z)[:, ::-1], axis=1)[:, ::-1])) for z in (x, y)]
     size, floor = x.shape[1], threshold - 1e-9
@@ -99,23 +107,27 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes = signed.filter("valid").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min_by(F.struct("vec_id", "label", "vector"), "vec_id").alias("x"))
     classes = checkpointed(classes.select("s1", "s2", "copies", F.col("x.vec_id").alias("id"), "x.label", "x.vector"))
     axes = principal_axes(classes)
-    lead = {size: np.ascontiguousarray(a[:, 0]) for size, a in axes.items()}
     width = float(np.sqrt(2 - 2 * THRESHOLD)) + 1e-6
 
     def with_cells(batches):
         for batch in batches:
             column = batch.column("vector")
-            at = []
-            for v in column:
-                x = np.array(v.as_py())
-                # Lengths that the axes were not fitted on: the first coordinate of the unit vector.
-                at.append(int(np.floor((x @ lead[len(x)] if len(x) in lead else x[0]) / np.linalg.norm(x) / width)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("copies"), column, pa.array(at, pa.int64()), pa.array([True] * len(at))], ["key", "id", "copies", "vector", "cell", "open"])
+            lengths = np.diff(column.offsets.to_numpy())
+            flat, begin = column.flatten().to_numpy(), np.cumsum(lengths) - lengths
+            at = np.zeros((3, len(lengths)), np.int64)
+            for size in np.unique(lengths):
+                rows = np.flatnonzero(lengths == size)
+                x = scaled(flat[begin[rows][:, None] + np.arange(size)])
+                # Lengths that the axes were not fitted on keep their coordinates.
+                places = np.floor(_rotated(x, axes)[:, :3] / width).astype(np.int64).T
+                at[: len(places), rows] = places
+            cells = {"cell": pa.array(at[0]), "box": pa.array(at[1]), "box2": pa.array(at[2])}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("key", "id", "copies")} | {"vector": column} | cells | {"open": pa.array(np.ones(len(lengths), bool))})
 
     keyed = classes.select(F.struct("label", F.size("vector").alias("size")).alias("key"), "id", "copies", "vector")
     kind = keyed.schema["key"].dataType.simpleString()
-    rows = keyed.mapInArrow(with_cells, f"key {kind}, id long, copies long, vector array<double>, cell long, open boolean")
-    tiled = tile_pairs(checkpointed(rows), "key", TILE).groupBy("key", "pair").applyInArrow(_tile_links(axes), "a long, b long, n long")
+    rows = keyed.mapInArrow(with_cells, f"key {kind}, id long, copies long, vector array<double>, cell long, box long, box2 long, open boolean")
+    tiled = tile_pairs(checkpointed(rows), "key", TILE, boxes=("box", "box2")).groupBy("key", "pair").applyInArrow(_tile_links(axes), "a long, b long, n long")
     tiled = checkpointed(tiled)
     found = connected_components(tiled.select("a", "b")).withColumnsRenamed({"node": "rep"})
     counts = tiled.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
