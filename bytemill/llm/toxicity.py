@@ -1,19 +1,26 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A learnt lexicon and small fixed lists map words to symbols (insult, threat, target, negation, reported speech). Three
-transducers rewrite and weigh the symbols of a clause: a target raises an insult or threat, negation and reported speech
-lower it; their composition is one transducer that reads each clause once. Insults and threats have no transducers of
-their own: they are single words of the lexicon and the lists, and a threat that is not learnt as an insult has a fixed
-weight. Only clauses that hold an insult or a threat
-are read, found in the whole text. A document's evidence is its strongest clause and a little for each further one; a
-logistic curve maps it to a score.
+A learnt lexicon and fixed lists in four languages map words to symbols. Five transducers rewrite and weigh the symbols
+of a clause, each reading what the one before it writes:
+
+* insult: an insulting word, or a phrase such as "piece of trash", becomes INSULT;
+* threat: an act announced against a target ("going to hurt you"), an act aimed at one ("hurt you", half the weight), or
+  a target's announced end ("you will die") becomes THREAT;
+* negation lowers an insult or threat for a few words; reported speech lowers those that follow it in the clause; a
+  target named before raises an insult.
+
+Their composition is one transducer that reads each clause once. Only clauses that hold a word of an insult or a threat
+are read, found in the whole text, however long. A document's evidence is its strongest clause and a little for each
+further one; a logistic curve maps it to a score.
 
 What is learnt, from FIT_ROWS labelled documents at most (chosen by hash, never held-out ones): insults, as words or word
-beginnings that toxic documents have and others lack, picked greedily until they cover the toxic ones; how far negation
-and reported speech lower them; the curve. Without labels, the fixed lists and a fixed curve remain.
+beginnings that toxic documents have and others lack, picked greedily until they cover the toxic ones; the weight of a
+threat; how far negation and reported speech lower them; the curve. Without labels, the fixed lists and a fixed curve
+remain.
 
 Null and empty texts have no evidence and get the curve's lowest score. Labels outside 0 and 1 and null ones are not
-learnt from; of repeated labels the largest holds. An empty table gives an empty result.
+learnt from; of repeated labels the largest holds. Repeated rows are scored alike. An empty table gives an empty result.
+A text is read whole by one task; its memory grows with its words.
 """
 
 from __future__ import annotations
@@ -31,19 +38,28 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Bounds: labelled documents to learn from, lexicon candidates, insults learnt.
-FIT_ROWS, MOST_CANDIDATES, MOST_LEARNT = 16_000, 4_000, 400
+#: Labelled documents to learn from, at most.
+FIT_ROWS = 16_000
 THRESHOLD = 0.3
 
 # The grammar's word lists.
-INSULTS = ("idiot", "moron", "scum", "loser", "stupid", "pathetic", "worthless", "disgusting", "trash", "imbecile", "vermin")
-THREATS = ("kill", "hurt", "destroy", "strangle", "stab", "murder", "beat")
-TARGETS = ("you", "your", "yourself", "u", "he", "she", "they", "them", "him", "her", "these", "those", "people", "everyone")
-NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "don't", "nobody", "without", "hardly", "neither")
-REPORTS = ("said", "says", "wrote", "called", "quoted", "reported", "claims", "claimed", "alleged", "according", "heard")
-
-FIRST, OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "first", "other", "insult", "threat", "target", "negation", "report"
+INSULTS = ("idiot", "moron", "scum", "loser", "stupid", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "dummkopf", "abschaum", "idiote", "imbécile", "ordure", "idiota", "imbécil", "escoria")
+HEADS = ("piece", "pile", "sack", "waste", "bag", "stück", "haufen", "tas", "pedazo", "montón")
+OF = ("of", "de", "d'", "von")
+FILTH = ("trash", "garbage", "rubbish", "dirt", "filth", "space", "dreck", "müll", "merde", "basura", "mierda")
+ANNOUNCED = ("will", "gonna", "going", "must", "should", "i'll", "we'll", "want", "werde", "werden", "vais", "allons", "voy", "vamos")
+ACTS = ("kill", "hurt", "destroy", "strangle", "stab", "murder", "beat", "töten", "schlagen", "tuer", "frapper", "matar", "golpear")
+ENDS = ("die", "dead", "regret", "suffer", "sterben", "mourir", "morir")
+TARGETS = ("you", "your", "yourself", "u", "he", "she", "they", "them", "him", "her", "these", "those", "people", "everyone", "you'll", "you're", "du", "dich", "euch", "ihr", "tu", "te", "toi", "vous", "tú", "ti", "usted", "ustedes")
+NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "don't", "won't", "nobody", "without", "hardly", "neither", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "sin")
+REPORTS = ("said", "says", "wrote", "called", "quoted", "reported", "claims", "claimed", "alleged", "according", "heard", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó")
+
+OTHER, INSULT, THREAT, HEAD, FROM, DIRT, SOON, ACT, END, TARGET, NEGATION, REPORT = "other", "insult", "threat", "head", "of", "filth", "announced", "act", "end", "target", "negation", "report"
+SYMBOLS = (OTHER, INSULT, THREAT, HEAD, FROM, DIRT, SOON, ACT, END, TARGET, NEGATION, REPORT)
+CLASSES = {HEAD: HEADS, FROM: OF, DIRT: FILTH, SOON: ANNOUNCED, ACT: ACTS, END: ENDS, TARGET: TARGETS, NEGATION: NEGATIONS, REPORT: REPORTS}
 HITS = (INSULT, THREAT)
+#: Words over which a negation, an announcement or an act reaches.
+REACH = 3
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.,;:!?\n|()]")
 
@@ -58,66 +74,105 @@ class Transducer:
     def step(self, state, symbol):
         return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
-    def states(self) -> set:
-        return {self.start, *(s for s, _ in self.arcs), *(a[0] for a in self.arcs.values())}
-
     def __matmul__(self, then: Transducer) -> Transducer:
-        """This one, then the other on what it writes; factors multiply."""
-        symbols = (OTHER, *HITS, TARGET, NEGATION, REPORT)
+        """This one, then the other on what it writes; factors multiply. Only states that can be reached are made."""
         out = Transducer((self.start, then.start))
-        for s in self.states():
-            for t in then.states():
-                for symbol in symbols:
-                    s2, middle, f = self.step(s, symbol)
-                    t2, last, g = then.step(t, middle)
-                    out.arcs[(s, t), symbol] = ((s2, t2), last, f * g)
+        front, seen = [out.start], {out.start}
+        while front:
+            s, t = front.pop()
+            for symbol in SYMBOLS:
+                s2, middle, f = self.step(s, symbol)
+                t2, last, g = then.step(t, middle)
+                out.arcs[(s, t), symbol] = ((s2, t2), last, f * g)
+                if (s2, t2) not in seen:
+                    seen.add((s2, t2))
+                    front.append((s2, t2))
         return out
 
 
-def grammar(negated: float, reported: float, targeted: float = 1.25, reach: int = 3) -> Transducer:
-    negation = Transducer("0")
-    for k in range(1, reach + 1):
-        state, nxt = str(k), str(k - 1)
-        for symbol in (OTHER, TARGET, REPORT):
-            negation.arcs[state, symbol] = (nxt, symbol, 1.0)
-        for symbol in HITS:
-            negation.arcs[state, symbol] = (nxt, symbol, negated)
-    for k in range(reach + 1):
-        negation.arcs[str(k), NEGATION] = (str(reach), OTHER, 1.0)
-    report = Transducer("plain", {("plain", REPORT): ("reported", OTHER, 1.0)})
-    for symbol in HITS:
-        report.arcs["reported", symbol] = ("reported", symbol, reported)
-    target = Transducer("none", {("none", TARGET): ("aimed", OTHER, 1.0)})
+def insults() -> Transducer:
+    """HEAD, "of" and a word for filth make an insult; such words alone are none."""
+    t = Transducer("0", {("0", HEAD): ("head", OTHER, 1.0), ("head", FROM): ("of", OTHER, 1.0), ("of", DIRT): ("0", INSULT, 1.0)})
+    for state in ("0", "head", "of"):
+        for symbol in SYMBOLS:
+            rewritten = OTHER if symbol in (HEAD, FROM, DIRT) else symbol
+            t.arcs.setdefault((state, symbol), ("head" if symbol == HEAD else "0", rewritten, 1.0))
+    return t
+
+
+def threats(weak: float = 0.5) -> Transducer:
+    """States are (what is open, words it still reaches): an announcement, an act with or without one, a target."""
+    t = Transducer(("calm", 0))
+    opens = {SOON: "soon", ACT: "act", TARGET: "target"}
+    for kind in ("calm", "soon", "act", "announced act", "target", "announced target"):
+        for left in range(1 if kind == "calm" else REACH + 1):
+            for symbol in SYMBOLS:
+                # Words between use up the reach; what is written is the symbol itself, without the threat's own words.
+                state = (kind, left - 1) if left > 1 else ("calm", 0)
+                written, factor = (OTHER if symbol in (SOON, ACT, END) else symbol), 1.0
+                if symbol in opens:
+                    state = (opens[symbol], REACH)
+                if symbol == ACT and kind == "soon":
+                    state = ("announced act", REACH)
+                if symbol == SOON and kind == "target":
+                    state = ("announced target", REACH)
+                if symbol == TARGET and kind in ("act", "announced act"):
+                    written, factor = THREAT, 1.0 if kind == "announced act" else weak
+                if symbol == END and kind in ("target", "announced target"):
+                    state, written, factor = ("calm", 0), THREAT, 1.0 if kind == "announced target" else weak
+                t.arcs[(kind, left), symbol] = (state, written, factor)
+    return t
+
+
+def negation(negated: float) -> Transducer:
+    t = Transducer(0)
+    for left in range(REACH + 1):
+        for symbol in SYMBOLS:
+            t.arcs[left, symbol] = (max(left - 1, 0), symbol, negated if left and symbol in HITS else 1.0)
+        t.arcs[left, NEGATION] = (REACH, OTHER, 1.0)
+    return t
+
+
+def report(reported: float) -> Transducer:
+    t = Transducer("plain", {("plain", REPORT): ("reported", OTHER, 1.0)})
     for symbol in HITS:
-        target.arcs["aimed", symbol] = ("aimed", symbol, targeted)
-    return negation @ report @ target
+        t.arcs["reported", symbol] = ("reported", symbol, reported)
+    return t
+
+
+def target(targeted: float) -> Transducer:
+    return Transducer("none", {("none", TARGET): ("aimed", OTHER, 1.0), ("none", THREAT): ("aimed", THREAT, 1.0), ("aimed", INSULT): ("aimed", INSULT, targeted)})
+
+
+def grammar(negated: float, reported: float, targeted: float = 1.25) -> Transducer:
+    return insults() @ threats() @ negation(negated) @ report(reported) @ target(targeted)
 
 
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 5.0))
     starts: dict[str, float] = field(default_factory=dict)
-    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, 0.5))
+    phrase: float = 5.0
+    threat: float = 3.0
     negated: float = 0.35
     reported: float = 0.5
     slope: float = 1.0
     bias: float = -3.0
 
     def finder(self) -> re.Pattern:
-        whole = sorted({*self.words, *self.threats}, key=lambda w: (-len(w), w))
+        whole = sorted({*self.words, *FILTH, *ACTS, *ENDS}, key=lambda w: (-len(w), w))
         begun = sorted(self.starts, key=lambda w: (-len(w), w))
         parts = [f"(?:{'|'.join(map(re.escape, whole))})(?![^\\W\\d_])"] + ([f"(?:{'|'.join(map(re.escape, begun))})[^\\W\\d_]"] if begun else [])
         return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(parts)})")
 
     def symbol(self, word: str) -> tuple[str, float]:
+        """A word's class, and the weight that it has if the grammar makes it an insult; what is learnt goes first."""
         weight = self.words.get(word) or max((self.starts.get(word[:k], 0.0) for k in range(3, len(word))), default=0.0)
         if weight:
             return INSULT, weight
-        if word in self.threats:
-            return THREAT, self.threats[word]
-        for name, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        for name, words in CLASSES.items():
             if word in words:
-                return name, 0.0
+                return name, self.phrase if name == DIRT else 0.0
         return OTHER, 0.0
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -150,20 +205,24 @@ class Reader:
                 symbols.append(s)
             yield symbols
 
-    def weigh(self, symbols: list[tuple[str, float]]) -> tuple[float, int, int, int]:
-        """A clause's weight and how many insults it has plain, negated and reported."""
-        state, best, kinds = self.net.start, 0.0, [0, 0, 0]
+    def weigh(self, symbols: list[tuple[str, float]]) -> tuple[float, int, int, int, int]:
+        """A clause's weight, how many insults it has plain, negated and reported, and how many plain threats."""
+        state, best, kinds = self.net.start, 0.0, [0, 0, 0, 0]
         for symbol, weight in symbols:
-            before = state
+            ((_, negated), reported), _ = state
             state, written, factor = self.net.step(state, symbol)
             if written in HITS:
-                best += weight * factor if not best else 0.25 * weight * factor
-                (negation, report), _ = before
-                kinds[1 if negation != "0" else 2 if report == "reported" else 0] += written == INSULT
+                value = (self.model.threat if written == THREAT else weight) * factor
+                best += value if not best else 0.25 * value
+                kind = 1 if negated else 2 if reported == "reported" else 0
+                if written == INSULT:
+                    kinds[kind] += 1
+                elif not kind:
+                    kinds[3] += 1
         return best, *kinds
 
-    def evidence(self, text: str) -> tuple[float, int, int, int]:
-        weights, kinds = [], np.zeros(3, int)
+    def evidence(self, text: str) -> tuple[float, int, int, int, int]:
+        weights, kinds = [], np.zeros(4, int)
         for c in self.clauses(text):
             w, *k = self.weigh(c)
             weights.append(w)
@@ -197,7 +256,7 @@ def _cover(rows: list, weights: dict[str, float], n_toxic: int) -> dict[str, flo
     left = [(set(r.found) & weights.keys()) for r in rows if r.toxic == 1]
     picks: dict[str, float] = {}
     least = max(2, n_toxic // 400)
-    while len(picks) < MOST_LEARNT:
+    while True:
         gains: Counter[str] = Counter()
         for found in left:
             gains.update(found)
@@ -237,8 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return model
     counts = rows.select("toxic", F.explode(_features(F.col("text"))).alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     counts = counts.filter("t >= 3").filter(F.col("t") * n_clean > 4 * F.col("c") * n_toxic)
-    counts = counts.orderBy(F.desc(F.col("t") / (F.col("c") + 1)), F.desc("t"), "f").limit(MOST_CANDIDATES).collect()
-    weights = {r.f: w for r in counts if (w := _log_odds(r.t, r.c, n_toxic, n_clean)) > 1.0}
+    # Bounded by FIT_ROWS documents, like all that is collected here.
+    weights = {r.f: w for r in counts.orderBy("f").collect() if (w := _log_odds(r.t, r.c, n_toxic, n_clean)) > 1.0}
     names = F.array(*[F.lit(f) for f in weights]) if weights else F.array().cast("array<string>")
     found = rows.filter("toxic = 1").select("toxic", F.array_intersect(_features(F.col("text")), names).alias("found")).collect()
     picks = _cover(found, weights, n_toxic)
@@ -246,10 +305,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     model.starts = {f[:-1]: max(w, 3.0) for f, w in picks.items() if f.endswith("*")}
 
     def evidences(m: Model) -> tuple[np.ndarray, ...]:
-        got = rows.select("toxic", "text").mapInArrow(_reading(m, ["toxic"]), "toxic int, evidence double, plain int, negated int, reported int").collect()
-        return tuple(np.array([r[i] for r in got], np.float64) for i in range(5))
+        got = rows.select("toxic", "text").mapInArrow(_reading(m, ["toxic"]), "toxic int, evidence double, plain int, negated int, reported int, threats int").collect()
+        return tuple(np.array([r[i] for r in got], np.float64) for i in range(6))
 
-    y, _, plain, negated, reported = evidences(model)
+    y, _, plain, negated, reported, aimed = evidences(model)
+    only = (plain == 0) & (aimed > 0)
+    # Four documents' worth of belief in the fixed weight.
+    model.threat = float((4 * model.threat + only.sum() * max(0.0, _log_odds(y[only].sum(), (1 - y[only]).sum(), n_toxic, n_clean))) / (4 + only.sum()))
     for name, only in (("negated", (plain == 0) & (negated > 0)), ("reported", (plain == 0) & (negated == 0) & (reported > 0))):
         prior = getattr(model, name)
         setattr(model, name, float((y[only].sum() + 4 * prior) / (only.sum() + 4)))
@@ -263,16 +325,16 @@ def _reading(model: Model, keep: list[str]):
         reader = Reader(model)
         for batch in batches:
             got = [reader.evidence(t.as_py() or "") for t in batch.column("text")]
-            x = np.array(got, np.float64).reshape(-1, 4)
-            cols = [pa.array(x[:, 0])] + [pa.array(x[:, i].astype(np.int32)) for i in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], [*keep, "evidence", "plain", "negated", "reported"])
+            x = np.array(got, np.float64).reshape(-1, 5)
+            cols = [pa.array(x[:, 0])] + [pa.array(x[:, i].astype(np.int32)) for i in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], [*keep, "evidence", "plain", "negated", "reported", "threats"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted, evidence and the numbers of plain, negated and reported insults of each document."""
+    """doc_id, score, predicted, evidence and the numbers of plain, negated and reported insults and of threats of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_reading(model, ["doc_id"]), f"doc_id {kind}, evidence double, plain int, negated int, reported int")
+    rows = docs.select("doc_id", "text").mapInArrow(_reading(model, ["doc_id"]), f"doc_id {kind}, evidence double, plain int, negated int, reported int, threats int")
     s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.slope) * F.least("evidence", F.lit(1000.0)) + F.lit(model.bias))))
     return rows.withColumn("score", s).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
