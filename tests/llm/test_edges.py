@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bytemill.llm import embeddings, lines, mixing, packing, pii, quality, sampling, substrings, toxicity
+from bytemill.llm import embeddings, lines, mixing, neardup, packing, pii, quality, sampling, substrings, toxicity
 
 LONG = "x" * 39 + " " + "y " * 30_000
 ODD = [(1, None, "a"), (2, "", None), (3, " \n\t\n", "b"), (4, "é漢字 😀 ñ", "b"), (5, LONG, "a"), (5, LONG, "a"), (None, "no id at all", "c"), (7, "  one", None)]
@@ -202,7 +202,46 @@ def test_toxicity_on_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
-def test_negation_and_reports_lower_a_clause():
-    reader = toxicity.Reader(toxicity.Model())
-    plain, negated, reported = (reader.evidence(t)[0] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot"))
-    assert plain > reported > 0 and plain > negated > 0 and reader.evidence("a calm day")[0] == 0
+def test_stages_keep_columns_of_any_name_and_repeated_rows(spark):
+    shared = "This line is certainly long enough to be a key. "
+    rows = [(i % 40, f"{shared}\n" + "w " * (i % 7), f"s{i % 2}") for i in range(80)] + [(None, "w " * 9, "s0")] * 30
+    names = ("_id", "_lost", "_source", "_size", "_copies", "_gone", "_row", "id", "row", "rows", "least", "more", "words", "copies", "lost", "kept", "n_lines", "n_dropped", "rank", "node", "part", "s1", "key")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in names}).repartition(4)
+    for stage in (quality.keep_clean, lines.without_lines, neardup.keep_one, mixing.repeat_to_mix):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in names)
+    size = F.regexp_count("text", F.lit(r"\S+"))
+    taken = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()
+    got = {r.source: r.t for r in mixing.repeat_to_mix(docs).groupBy("source").agg(F.sum(size).alias("t")).collect()}
+    assert got == {r.source: r.t for r in taken}
+
+
+@pytest.mark.parametrize("most_sent", [0, 500_000])
+def test_lines_against_brute_force(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(lines, "MOST_SENT", most_sent)
+    rng = np.random.default_rng(6)
+    pool = [f"{'  ' * (k % 2)}{'Line' if k % 3 else 'LINE'} number {k // 2} " + "é" * 30 for k in range(14)] + ["short", "", "\t"]
+    rows = [(i, "\n".join(rng.choice(pool, rng.integers(0, 9))) if i % 9 else None) for i in range(90)]
+    strip = " \t\n\x0b\x0c\r"
+    key = lambda x: x.strip(strip).translate({c: c + 32 for c in range(65, 91)})
+    holders = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 40:
+                holders.setdefault(key(x), set()).add(i)
+    want = {}
+    for i, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if len(holders.get(key(x), ())) < 5 or i == max(holders[key(x)])]
+        want[i] = (len(own), len(own) - len(kept), "\n".join(kept))
+    got = lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == want
+
+
+def test_pivotal_steps_keep_sums_and_expectations():
+    rng = np.random.default_rng(9)
+    size, part = [float(x) for x in rng.integers(1, 60, 7)], [float(x) for x in rng.random(7)]
+    draws = np.array([mixing.pivot(size, part, list(rng.random(7))) for _ in range(20_000)])
+    assert ((draws > 0) & (draws < 1)).sum(axis=1).max() <= 1
+    assert np.allclose(draws @ size, np.dot(size, part))
+    assert np.abs(draws.mean(axis=0) - part).max() < 0.015

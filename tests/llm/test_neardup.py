@@ -69,3 +69,39 @@ def test_empty_table_and_extra_columns(spark):
     assert neardup.near_duplicates(empty).collect() == []
     rows = spark.createDataFrame([(1, "a b c d e f", "x", 3), (2, "a b c d e f", "y", 4), (3, None, "z", 5)], "doc_id long, text string, block string, n long")
     assert sorted(tuple(r) for r in neardup.keep_one(rows).collect()) == [(1, "a b c d e f", "x", 3), (3, None, "z", 5)]
+
+
+def thue_morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_do_not_collide(spark):
+    rows = [(3 * n + i, w) for n in (1024, 2048, 4096) for i, w in enumerate(thue_morse(n))]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i for i, _ in rows}
+
+
+def test_parts_of_a_large_block_may_hold_one_row(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 3)
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(60)]
+    check(spark, [(k, " ".join(edited(rng, base, int(rng.integers(0, 4))))) for k in range(40)])
+
+
+def test_rows_that_repeat_an_id_tie_their_texts(spark):
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(9, words[0]), (5, words[0]), (5, words[1]), (2, words[1] + " end"), (7, words[2]), (None, words[2])]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 7), (2, 2), (5, 2), (5, 2), (7, 7), (9, 2)]
+
+
+def test_common_tokens_are_counted_to_a_bound_only(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_COUNTED", 3)
+    check(spark, corpus(seed=11))
+
+
+def test_second_round_reads_whole_sets_whatever_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "id_filter", lambda ids, bits=26: np.full(1 << 20, -1, np.int64))
+    check(spark, corpus(seed=12)[:120])
