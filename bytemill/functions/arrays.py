@@ -13,16 +13,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def total(values: Column, kind: str = "long") -> Column:
-    """The sum of an array's elements; nulls count as 0."""
-    return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + F.coalesce(x, F.lit(0)).cast(kind))
-
-
 def present(values: Column) -> Column:
     """The number of elements that are not null."""
     return F.size(F.filter(values, lambda x: x.isNotNull()))
-
-
-def index_range(n: Column) -> Column:
-    """0 .. n - 1; empty for 0."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

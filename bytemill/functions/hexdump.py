@@ -37,10 +37,6 @@ def byte_value(pair: Column) -> Column:
     return F.conv(pair, 16, 10).cast("int")
 
 
-def byte_values(text: Column) -> Column:
-    return F.transform(hex_pairs(text), byte_value)
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 

@@ -6,10 +6,13 @@ from the id. Each has a DuckDB twin below, for the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hexdump import byte_value, hex_pairs
+from .bytestats import Bytes, Samples, binary_column, owners
+from .ranking import ranked
 
 CLASSES = 9
 
@@ -30,22 +33,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class and values: the bytes, null where unknown or invalid."""
-    d = documents(spark, sf_dir).select("doc_id", "text")
-    hidden = lambda p: unknown_at(F.col("doc_id"), p) | invalid_at(F.col("doc_id"), p)
-    values = F.transform(hex_pairs(F.coalesce("text", F.lit(""))), lambda h, p: F.when(~hidden(p), byte_value(h)))
-    return d.select("doc_id", sample_class().alias("class"), values.alias("values"))
+def _hidden(batch: pa.RecordBatch) -> Bytes:
+    """A text's bytes; the known ones are those at positions that are neither unknown nor invalid."""
+    data, offs = binary_column(batch.column("text"))
+    row = owners(offs)
+    place = batch.column("doc_id").to_numpy()[row] * 31 + np.arange(len(data)) - offs[row]
+    known = (place % 17 != 0) & (place % 97 != 1)
+    return np.where(known, data, 0).astype(np.uint8), known, offs
+
+
+def _plain(batch: pa.RecordBatch) -> Bytes:
+    data, offs = binary_column(batch.column("text"))
+    return data, np.ones(len(data), bool), offs
+
+
+def samples(spark: SparkSession, sf_dir: str, hidden: bool = True) -> Samples:
+    """The documents' bytes by doc_id and class; ``hidden`` ones are unknown."""
+    rows = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"), "text")
+    return Samples(rows, _hidden if hidden else _plain, "text", ("doc_id", "class"))
 
 
 def splits(spark: SparkSession, sf_dir: str, seed: str = "42") -> DataFrame:
-    """doc_id, class, split: by the order of a seeded hash within each class, 70 % train, 15 % val, the rest test."""
-    d = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"))
+    """doc_id, class, split: by the order of a seeded hash within each class, 70 % train, 15 % val, the rest test.
+
+    Ranks come from the counts of 4,096 hash prefixes a class, so no task holds a class.
+    """
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256)
-    ranked = d.withColumns({"r": F.row_number().over(Window.partitionBy("class").orderBy(key, "doc_id")), "n": F.count("*").over(Window.partitionBy("class"))})
-    train, val = F.floor(F.col("n") * 70 / 100), F.floor(F.col("n") * 15 / 100)
-    split = F.when(F.col("r") <= train, "train").when(F.col("r") <= train + val, "val").otherwise("test")
-    return ranked.select("doc_id", "class", split.alias("split"))
+    d = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"), key.alias("key"))
+    r = ranked(d, ["class"], F.substring("key", 1, 3), ["key", "doc_id"])
+    train, val = F.floor(F.col("n_group") * 70 / 100), F.floor(F.col("n_group") * 15 / 100)
+    split = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test")
+    return r.select("doc_id", "class", split.alias("split"))
 
 
 #: b: one row for each byte (doc_id, p, v); v is null where unknown or invalid.

@@ -5,9 +5,10 @@ Parquet has no row delete, so retention gives the rows that stay, for a rewrite
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import equal_ranges, ranked
 from ..plans.catalog import query, table
 
 DEFAULT_PAGE = 20
@@ -39,6 +40,19 @@ def keep_since(rows: DataFrame, cutoff: str) -> DataFrame:
     return rows.filter(F.col("ts") >= F.to_timestamp_ntz(F.lit(f"{cutoff} 00:00:00")))
 
 
+def cutoff_day(days: int, today: Column | None = None) -> Column:
+    """The UTC day so many days ago, at its beginning."""
+    if days < 0:
+        raise ValueError("days must not be negative")
+    now = today if today is not None else F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+    return F.date_sub(now, days).cast("timestamp_ntz")
+
+
+def keep_days(rows: DataFrame, days: int, today: Column | None = None) -> DataFrame:
+    """Rows of the last ``days`` days and of today."""
+    return rows.filter(F.col("ts") >= cutoff_day(days, today))
+
+
 def plan(rows: DataFrame, goes: Column) -> DataFrame:
     """A dry run: how many rows go and how many stay."""
     return rows.agg(F.count_if(goes).alias("to_delete"), F.count_if(~goes).alias("remaining"))
@@ -76,14 +90,55 @@ def history_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(history(spark, sf_dir), F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00")))
 
 
+@query("history_days", "SELECT event_id AS id FROM events WHERE ts >= (SELECT max(ts)::DATE FROM events) - INTERVAL 7 DAY")
+def history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of retention, counted from the newest record's day."""
+    rows = history(spark, sf_dir)
+    last = rows.agg(F.max("ts").cast("date").alias("d")).first().d
+    return keep_days(rows, 7, F.lit(last)).select("id")
+
+
+def with_next_ids(batch: DataFrame, order: str, last: int) -> DataFrame:
+    """``batch`` with ids after ``last``, in the order of a numeric column: counts of its ranges first, then ranks within a range."""
+    low, high = batch.agg(F.min(order), F.max(order)).first()
+    rows = ranked(batch, [], equal_ranges(F.col(order), F.lit(low or 0), F.lit(high or 0)), [order])
+    return rows.withColumn("id", (F.col("rank") + last).cast("long")).drop("rank", "n_group")
+
+
 @query("history_next_ids", "SELECT item_id, (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY item_id) AS id FROM benchmark")
 def history_next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids for a batch to append: after the largest so far, in the batch's order. A batch is one upload, so one task ranks it."""
+    """Ids for a batch to append: after the largest so far, in the batch's order."""
     last = history(spark, sf_dir).agg(F.max("id")).first()[0] or 0
-    batch = table(spark, sf_dir, "benchmark").select("item_id")
-    return batch.select("item_id", (F.row_number().over(Window.orderBy("item_id")) + last).cast("long").alias("id"))
+    return with_next_ids(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", last)
 
 
 @query("history_by_family", "SELECT event_type AS family, count(*) AS n, round(avg(value), 6) AS mean_confidence, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
 def history_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def create_table(spark: SparkSession, name: str) -> None:
+    """The history as a catalog table, made if it is missing; columns that an older one lacks are added."""
+    columns = {"id": "BIGINT", "filename": "STRING", "predicted_family": "STRING", "confidence": "DOUBLE", "file_size": "BIGINT", "ts": "TIMESTAMP_NTZ", "top5_json": "STRING", "attention_json": "STRING"}
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'{c} {t}' for c, t in columns.items())}) USING parquet")
+    have = {c.name for c in spark.catalog.listColumns(name)}
+    new = [f"{c} {t}" for c, t in columns.items() if c not in have]
+    if new:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(new)})")
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def record_row(rows: DataFrame, top5: str = "top5", attention: str = "attention") -> DataFrame:
+    """Details as JSON text; an empty or missing one is stored as null."""
+    text = lambda c: F.when(F.size(c) > 0, F.to_json(c))
+    return rows.withColumns({"top5_json": text(top5), "attention_json": text(attention)}).drop(top5, attention)
+
+
+@query("history_record_json", """SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE '[' || array_to_string(list_transform(range(1, 4), lambda i: '{"family":"f' || i || '","rank":' || i || '}'), ',') || ']' END AS top5_json, NULL::VARCHAR AS attention_json FROM embeddings""")
+def history_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = lambda i: F.struct(F.concat(F.lit("f"), i).alias("family"), i.alias("rank"))
+    top5 = F.when(F.col("vec_id") % 4 != 0, F.transform(F.sequence(F.lit(1), F.lit(3)), item))
+    return record_row(table(spark, sf_dir, "embeddings").select("vec_id", top5.alias("top5"), F.array().cast("array<array<double>>").alias("attention")))

@@ -54,13 +54,20 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line), "\n").alias("listing"))
 
 
-@query("asm_profile", """WITH n AS (SELECT doc_id, len(string_split(coalesce(text, ''), ' ')) AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, n)) AS i FROM n)
-SELECT doc_id, any_value(n)::INT AS n_lines, any_value(n)::INT AS n_instructions, count(*) FILTER ((doc_id + i) % 40 = 39)::INT AS n_proc, 0 AS n_extrn,
-count(*) FILTER ((doc_id + i) % 40 = 0)::INT AS opcode_count_mov, round(count(*) FILTER ((doc_id + i) % 40 = 0) / any_value(n), 9) AS opcode_freq_mov,
-count(*) FILTER ((doc_id + i) % 40 = 33)::INT AS opcode_count_nop, count(*) FILTER (i // 7 % 9 = 0)::INT AS section_lines_header, count(*) FILTER (i // 7 % 9 = 1)::INT AS section_lines_text FROM i GROUP BY doc_id""")
+def _asm_sql() -> str:
+    # db and dd look like bytes, so the word after them is what counts as the instruction.
+    like_bytes = [k for k, m in enumerate(MNEMONICS) if set(m) <= set("0123456789abcdef") and len(m) == 2]
+    at = lambda k: f"count(*) FILTER ((doc_id + i) % 40 = {-1 if k in like_bytes else k})"
+    ops = [f"{at(k)}::INT AS opcode_count_{m}, round({at(k)} / any_value(n), 9) AS opcode_freq_{m}" for k, m in enumerate(MNEMONICS)]
+    places = [f"count(*) FILTER (i // 7 % {len(SECTIONS)} = {k})::INT AS section_lines_{s.lstrip('.')}" for k, s in enumerate(SECTIONS)]
+    return f"""WITH n AS (SELECT doc_id, len(string_split(coalesce(text, ''), ' ')) AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, n)) AS i FROM n)
+SELECT doc_id, any_value(n)::INT AS n_lines, any_value(n)::INT AS n_instructions, {at(39)}::INT AS n_proc, 0 AS n_extrn, {", ".join(ops + places)} FROM i GROUP BY doc_id"""
+
+
+@query("asm_profile", _asm_sql())
 def asm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile(listings(spark, sf_dir), "listing", ("mov", "nop"), ("header", ".text"))
-    return rows.drop("listing", "opcode_freq_nop").withColumn("opcode_freq_mov", F.round("opcode_freq_mov", 9))
+    rows = profile(listings(spark, sf_dir), "listing").drop("listing")
+    return rows.withColumns({c: F.round(c, 9) for c in rows.columns if c.startswith("opcode_freq_")})
 
 
 def file_size(n: Column) -> Column:
@@ -73,14 +80,23 @@ def short_name(name: Column, most: int = 32) -> Column:
     return F.when(F.char_length(name) > most, F.concat(F.substring(name, 1, most - 3), F.lit("..."))).otherwise(name)
 
 
-@query("display_format", """SELECT page_id, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE printf('%.2f KB', strlen(html) / 1024) END AS size,
-CASE WHEN length(url) > 32 THEN url[1:29] || '...' ELSE url END AS name, printf('%.2f%%', page_id % 1000 / 7.0) AS percent, least(1, greatest(0.1, 1.25 * (page_id % 100) / 100))::DOUBLE AS axis_top,
-replace(replace(replace(url[1:40], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages WHERE strlen(html) < 1048576""")
+def suffix(name: Column) -> Column:
+    """What follows the last dot, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
+
+
+# The shown sizes round ties up; DuckDB's printf does not, hence the floor.
+_SHOWN = lambda unit: f"printf('%.2f', floor(strlen(html) * 100.0 / {unit} + 0.5) / 100)"
+
+
+@query("display_format", f"""SELECT page_id, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' WHEN strlen(html) < 1048576 THEN {_SHOWN(1024)} || ' KB' ELSE {_SHOWN(1048576)} || ' MB' END AS size,
+CASE WHEN length(url) > 32 THEN url[1:29] || '...' ELSE url END AS name, lower(regexp_extract(url, '[.]([^./]*)$', 1)) AS suffix, printf('%.2f%%', page_id % 1000 / 7.0) AS percent,
+least(1, greatest(0.1, 1.25 * (page_id % 100) / 100))::DOUBLE AS axis_top, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages""")
 def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    escaped = F.substring("url", 1, 40)
+    escaped = F.col("url")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(a), F.lit(b))
     axis = F.least(F.lit(1.0), F.greatest(F.lit(0.1), 1.25 * (F.col("page_id") % 100) / 100))
     percent = F.format_string("%.2f%%", F.col("page_id") % 1000 / 7.0)
-    return p.select("page_id", file_size(F.octet_length("html")).alias("size"), short_name(F.col("url")).alias("name"), percent.alias("percent"), axis.alias("axis_top"), escaped.alias("escaped"))
+    shown = {"size": file_size(F.octet_length("html")), "name": short_name(F.col("url")), "suffix": suffix(F.col("url")), "percent": percent, "axis_top": axis, "escaped": escaped}
+    return table(spark, sf_dir, "pages").select("page_id", *(c.alias(k) for k, c in shown.items()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from ..functions.ranking import percentiles
 from ..functions.standins import SQL_SPLITS, splits
 from ..plans.catalog import query, table
 
@@ -110,9 +111,8 @@ FROM events WHERE event_id % 35 >= 5 GROUP BY 1""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles by linear interpolation; the first five of every 35 measurements are warm-up."""
     rows = table(spark, sf_dir, "events").filter("event_id % 35 >= 5")
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    g = rows.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_ms"), p.alias("p"))
-    return g.select("kind", "n", "mean_ms", F.round(F.col("p")[0], 6).alias("p50_ms"), F.round(F.col("p")[1], 6).alias("p95_ms"))
+    g = percentiles(rows, "event_type", "value", {"p50_ms": 0.5, "p95_ms": 0.95})
+    return g.select(F.col("event_type").alias("kind"), "n", F.round("mean", 6).alias("mean_ms"), F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
 # Stand-in runs: a conversation's turns are epochs, text lengths are presentations, their remainder is the score.
@@ -142,13 +142,50 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epochs(spark, sf_dir).groupBy("run").agg(F.count("*").alias("epochs"), F.sum("presented").alias("presented"), F.max("f1").alias("best_f1"))
 
 
-@query("run_comparability", """SELECT c_mktsegment AS run_group, count(DISTINCT c_nationkey % 1) = 1 AS same_data, count(DISTINCT c_nationkey) = 1 AS same_arguments,
-count(DISTINCT c_nationkey % 1) = 1 AND count(DISTINCT c_nationkey) = 1 AS comparable FROM customer GROUP BY 1""")
+#: What runs must share to be compared: the data, the training settings and the machine.
+RUN_KEYS = {
+    "data": ("manifest_sha256", "seed", "unique_samples"),
+    "arguments": ("epochs", "batch_size", "lr", "weight_decay", "label_smoothing"),
+    "machine": ("device", "hardware", "threads", "torch"),
+}
+
+
+def comparability(runs: DataFrame, group: str) -> DataFrame:
+    """For each group of runs: how many of its keys differ between runs, by kind, and whether the runs are comparable.
+
+    A missing key is a value of its own. Minima and maxima of the keys' texts decide, which combine map-side.
+    """
+
+    def differs(key: str) -> Column:
+        text = F.col(key).cast("string")
+        return ((F.min(text) != F.max(text)) | ((F.count(key) > 0) & (F.count(key) < F.count("*")))).cast("int")
+
+    counts = {kind: sum((F.coalesce(differs(k), F.lit(0)) for k in keys[1:]), F.coalesce(differs(keys[0]), F.lit(0))) for kind, keys in RUN_KEYS.items()}
+    out = runs.groupBy(group).agg(F.count("*").alias("runs"), *(c.alias(f"{kind}_differ") for kind, c in counts.items()))
+    return out.withColumn("comparable", sum((F.col(f"{k}_differ") for k in list(RUN_KEYS)[1:]), F.col(f"{list(RUN_KEYS)[0]}_differ")) == 0)
+
+
+_RUN_COLUMNS = {
+    "manifest_sha256": "c_nationkey // 7", "seed": "42", "unique_samples": "c_nationkey // 7 * 10", "epochs": "30", "batch_size": "32", "lr": "CASE WHEN c_nationkey % 3 = 1 AND c_custkey % 5 = 0 THEN 0.01 ELSE 0.001 END",
+    "weight_decay": "0.05", "label_smoothing": "CASE WHEN c_nationkey % 4 = 2 AND c_custkey % 3 = 0 THEN NULL ELSE 0.1 END", "device": "'cpu'", "hardware": "c_nationkey % 2", "threads": "2", "torch": "CASE WHEN c_custkey % 50 = 0 THEN 'b' ELSE 'a' END",
+}
+
+
+def stand_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as runs, grouped by nation: some groups agree in all keys, others differ in some."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_nationkey").alias("run_group"), *(F.expr(x.replace("//", "DIV")).alias(k) for k, x in _RUN_COLUMNS.items()))
+
+
+def _differ_sql(kind: str) -> str:
+    return " + ".join(f"(count(DISTINCT {k}) + max(({k} IS NULL)::INT) > 1)::INT" for k in RUN_KEYS[kind])
+
+
+@query("run_comparability", f"""WITH r AS (SELECT c_nationkey AS run_group, {", ".join(f"{x} AS {k}" for k, x in _RUN_COLUMNS.items())} FROM customer),
+g AS (SELECT run_group, count(*) AS runs, {", ".join(f"({_differ_sql(k)})::INT AS {k}_differ" for k in RUN_KEYS)} FROM r GROUP BY run_group)
+SELECT *, {" + ".join(f"{k}_differ" for k in RUN_KEYS)} = 0 AS comparable FROM g""")
 def run_comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs are comparable if all keys agree; here one key always does and one does not."""
-    g = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("run_group"))
-    out = g.agg((F.countDistinct(F.col("c_nationkey") % 1) == 1).alias("same_data"), (F.countDistinct("c_nationkey") == 1).alias("same_arguments"))
-    return out.withColumn("comparable", F.col("same_data") & F.col("same_arguments"))
+    return comparability(stand_in_runs(spark, sf_dir), "run_group")
 
 
 @query("attention_long", """WITH a AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1)::INT - 1 AS i FROM embeddings)

@@ -2,81 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, present
-from ..functions.hexdump import DIALECTS, byte_value, fixed_length, hex_pairs, parse, render
+from ..functions import bytestats
+from ..functions.bytestats import Samples
+from ..functions.hexdump import DIALECTS, hex_pairs, parse, render
 from ..functions.standins import SQL_BYTES, documents, invalid_at, samples, unknown_at
 from ..plans.catalog import query
 
+#: The reference settings: values of a sequence, grams of a vocabulary by n.
+LENGTH, TOP = 1024, {1: 256, 2: 1024, 3: 1024}
 
-def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, byte_value, n over all bytes. Pairs stay strings until they are counted, so the map side combines them."""
-    pairs = documents(spark, sf_dir).select("doc_id", F.explode(hex_pairs(F.col("text"))).alias("pair"))
-    counted = pairs.groupBy("doc_id", "pair").agg(F.count("*").alias("n"))
-    return counted.select("doc_id", byte_value(F.col("pair")).alias("byte_value"), "n")
 
+def profiles(rows: Samples) -> DataFrame:
+    """n_total, n_known, entropy, mean, std, ratios and the 256 counts of each sample."""
+    return rows.map(bytestats.profile, bytestats.PROFILE)
 
-def shannon_entropy(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Entropy in bits of each key's counts: log2(N) - sum(n log2 n) / N."""
-    total, weighted = F.sum(n), F.sum(F.col(n) * F.log2(n))
-    return counts.groupBy(key).agg(F.round(F.log2(total) - weighted / total, 6).alias("entropy"), total.alias("n_bytes"))
 
+_PLAIN = """WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS h FROM documents), c AS (SELECT doc_id, h, count(*) AS n FROM raw GROUP BY ALL),
+t AS (SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS t, coalesce(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0) AS e FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id)"""
 
-@query("byte_entropy", """
-WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS h FROM documents),
-c AS (SELECT doc_id, h, count(*) AS n FROM raw GROUP BY 1, 2)
-SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, sum(n)::BIGINT AS n_bytes FROM c GROUP BY doc_id
-""")
+
+@query("byte_entropy", f"{_PLAIN} SELECT doc_id, round(e, 6) AS entropy, t AS n_bytes FROM t")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shannon_entropy(histogram(spark, sf_dir), "doc_id")
+    return profiles(samples(spark, sf_dir, hidden=False)).select("doc_id", F.round("entropy", 6).alias("entropy"), F.col("n_known").alias("n_bytes"))
 
 
-@query("byte_histogram", """
-WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS h FROM documents)
-SELECT doc_id, ('0x' || h)::INT AS byte_value, count(*) AS n FROM raw GROUP BY ALL
-""")
+@query("byte_histogram", f"{_PLAIN} SELECT doc_id, ('0x' || h)::INT AS byte_value, n FROM c")
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram(spark, sf_dir)
+    """doc_id, byte_value, n of the values that occur."""
+    return profiles(samples(spark, sf_dir, hidden=False)).select("doc_id", F.posexplode("counts").alias("byte_value", "n")).filter("n > 0")
 
 
-@query("byte_frequencies", """
-WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS h FROM documents),
-c AS (SELECT doc_id, h, count(*) AS n FROM raw GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id)
-SELECT doc_id, round(coalesce(max(n / t) FILTER (h = '00'), 0), 9) AS byte_freq_00, round(coalesce(max(n / t) FILTER (h = '20'), 0), 9) AS byte_freq_20,
-       round(coalesce(max(n / t) FILTER (h = '65'), 0), 9) AS byte_freq_65, round(coalesce(max(n / t) FILTER (h = 'C3'), 0), 9) AS byte_freq_c3
-FROM c JOIN t USING (doc_id) GROUP BY doc_id
-""")
-def byte_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = byte_frequency_table(spark, sf_dir, (0x00, 0x20, 0x65, 0xC3))
-    return wide.select("doc_id", *(F.round(c, 9).alias(c) for c in ("byte_freq_00", "byte_freq_20", "byte_freq_65", "byte_freq_c3")))
+_HEX = [f"{v:02x}" for v in range(256)]
 
 
-def byte_frequency_table(spark: SparkSession, sf_dir: str, values: Iterable[int] = range(256)) -> DataFrame:
-    """A column byte_freq_xx for each byte value that is asked for."""
-    share = lambda v: F.sum(F.when(F.col("byte_value") == v, F.col("n")).otherwise(0)) / F.sum("n")
-    return histogram(spark, sf_dir).groupBy("doc_id").agg(*(share(v).alias(f"byte_freq_{v:02x}") for v in values))
+@query("byte_frequencies", f"""{_PLAIN}, f AS (SELECT t.doc_id, h, round(n / t, 9) AS f FROM t LEFT JOIN c USING (doc_id))
+SELECT doc_id, {", ".join(f"coalesce(max(f) FILTER (h = '{x.upper()}'), 0) AS byte_freq_{x}" for x in _HEX)} FROM f GROUP BY doc_id""")
+def byte_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column byte_freq_xx for each of the 256 values."""
+    share = lambda v: F.round(F.coalesce(F.try_divide(F.col("counts")[v], F.col("n_known")), F.lit(0.0)), 9)
+    return profiles(samples(spark, sf_dir, hidden=False)).select("doc_id", *(share(v).alias(f"byte_freq_{x}") for v, x in enumerate(_HEX)))
 
 
-_KNOWN = f"WITH {SQL_BYTES}, k AS (SELECT doc_id, v FROM b WHERE v IS NOT NULL)"
+_KNOWN = f"WITH {SQL_BYTES}, k AS (SELECT d.doc_id, v FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND v IS NOT NULL)"
 
 
-@query("byte_moments", f"{_KNOWN} SELECT doc_id, count(*) AS n_known, round(avg(v), 6) AS mean, round(stddev_pop(v), 5) AS std FROM k GROUP BY doc_id")
+@query("byte_moments", f"{_KNOWN} SELECT doc_id, count(v) AS n_known, round(coalesce(avg(v), 0), 6) AS mean, round(coalesce(stddev_pop(v), 0), 5) AS std FROM k GROUP BY doc_id")
 def byte_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = samples(spark, sf_dir).select("doc_id", F.explode("values").alias("v")).filter("v IS NOT NULL")
-    return k.groupBy("doc_id").agg(F.count("*").alias("n_known"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("std"))
+    return profiles(samples(spark, sf_dir)).select("doc_id", "n_known", F.round("mean", 6).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query("byte_class_ratios", f"""{_KNOWN} SELECT doc_id, round(avg((v = 0)::INT), 9) AS zero_ratio,
-round(avg((v BETWEEN 32 AND 126)::INT), 9) AS printable_ratio, round(avg((v >= 128)::INT), 9) AS high_ratio FROM k GROUP BY doc_id""")
+@query("byte_class_ratios", f"""{_KNOWN} SELECT doc_id, round(coalesce(avg((v = 0)::INT), 0), 9) AS zero_ratio,
+round(coalesce(avg((v BETWEEN 32 AND 126)::INT), 0), 9) AS printable_ratio, round(coalesce(avg((v >= 128)::INT), 0), 9) AS high_ratio FROM k GROUP BY doc_id""")
 def byte_class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = samples(spark, sf_dir).select("doc_id", F.explode("values").alias("v")).filter("v IS NOT NULL")
-    share = lambda cond, name: F.round(F.avg(cond.cast("int")), 9).alias(name)
-    v = F.col("v")
-    return k.groupBy("doc_id").agg(share(v == 0, "zero_ratio"), share(v.between(32, 126), "printable_ratio"), share(v >= 128, "high_ratio"))
+    ratios = ("zero_ratio", "printable_ratio", "high_ratio")
+    return profiles(samples(spark, sf_dir)).select("doc_id", *(F.round(c, 9).alias(c) for c in ratios))
 
 
 def _dump_tokens(text: Column) -> Column:
@@ -108,7 +91,7 @@ def token_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "r.dialect", "r.x.n_total", "r.x.n_known", "r.x.n_invalid", "r.x.rejected")
 
 
-def _sequence_sql(keep: str, n: int = 64, pad: int = 0) -> str:
+def _sequence_sql(keep: str, n: int = LENGTH, pad: int = 0) -> str:
     at = "p" if keep == "head" else f"p - n + {n}"
     return f"""WITH {SQL_BYTES}, n AS (SELECT doc_id, len(x) AS n FROM x),
 g AS (SELECT n.doc_id, n.n, i FROM n, (SELECT unnest(range(0, {n})) AS i)),
@@ -117,20 +100,35 @@ q AS (SELECT g.doc_id, any_value(g.n) AS n, list(coalesce(v, {pad}) ORDER BY i)
 SELECT doc_id, array_to_string(vs, ' ') AS sequence, known::INT AS n_known, greatest(0, n - {n})::INT AS n_truncated, greatest(0, {n} - n)::INT AS n_padded FROM q"""
 
 
-def _sequences(spark: SparkSession, sf_dir: str, keep: str, n: int = 64) -> DataFrame:
-    rows = samples(spark, sf_dir).select("doc_id", fixed_length(F.col("values"), n, 0, keep).alias("x"))
-    known = F.aggregate("x.mask", F.lit(0), lambda a, b: a + b)
-    return rows.select("doc_id", F.array_join("x.values", " ").alias("sequence"), known.alias("n_known"), "x.n_truncated", "x.n_padded")
+def sequences(rows: Samples, keep: str, length: int = LENGTH, pad: int = 0) -> DataFrame:
+    """The first (``keep="head"``) or last (``"tail"``) ``length`` values, padded at the other side."""
+    if length < 1 or keep not in ("head", "tail"):
+        raise ValueError("a sequence has a positive length and keeps 'head' or 'tail'")
+    return rows.map(bytestats.sequence(length, keep, pad), "values array<short>, n_known int, n_truncated int, n_padded int")
+
+
+def _sequence_query(spark: SparkSession, sf_dir: str, keep: str) -> DataFrame:
+    rows = sequences(samples(spark, sf_dir), keep)
+    return rows.select("doc_id", F.array_join("values", " ").alias("sequence"), "n_known", "n_truncated", "n_padded")
 
 
 @query("head_sequence", _sequence_sql("head"))
 def head_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir, "head")
+    return _sequence_query(spark, sf_dir, "head")
 
 
 @query("tail_sequence", _sequence_sql("tail"))
 def tail_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir, "tail")
+    return _sequence_query(spark, sf_dir, "tail")
+
+
+@query("head_image", f"""WITH {SQL_BYTES}, g AS (SELECT doc_id, i FROM documents, (SELECT unnest(range(0, 1024)) AS i))
+SELECT g.doc_id, sha256(unhex(string_agg(lpad(to_hex(coalesce(v, 0)), 2, '0'), '' ORDER BY i))) AS pixel_sha256, count(*) FILTER (b.p IS NOT NULL AND v IS NULL) AS n_unknown,
+round(count(*) FILTER (b.p IS NOT NULL AND v IS NULL) / 1024, 9) AS unknown_ratio FROM g LEFT JOIN b ON b.doc_id = g.doc_id AND b.p = i GROUP BY g.doc_id""")
+def head_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1024 tokens as a 32 x 32 image, and the share of unknown ones among its places."""
+    rows = samples(spark, sf_dir).map(bytestats.head_image(), "pixel binary, n_unknown long")
+    return rows.select("doc_id", F.sha2("pixel", 256).alias("pixel_sha256"), "n_unknown", F.round(F.col("n_unknown") / 1024, 9).alias("unknown_ratio"))
 
 
 @query("content_hashes", """
@@ -141,95 +139,73 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2("text", 256).alias("raw_sha256"), F.sha2(F.lower(F.hex("text")), 256).alias("token_stream_sha256"), F.octet_length("text").alias("n_bytes"))
 
 
-def ngrams(rows: DataFrame, n: int) -> DataFrame:
-    """One row for each window of ``n`` known bytes: the packed big-endian index ``gram``. Neighbours come from array slices, not from windows."""
-
-    def packed(v: Column) -> Column:
-        length = F.greatest(F.size(v) - (n - 1), F.lit(0))
-        out = F.slice(v, F.lit(1), length)
-        for k in range(1, n):
-            out = F.zip_with(out, F.slice(v, F.lit(k + 1), length), lambda a, b: a * 256 + b)
-        return F.filter(out, lambda g: g.isNotNull())
-
-    return rows.select(*(c for c in rows.columns if c != "values"), F.explode(let(F.col("values"), packed)).alias("gram"))
-
-
 def top_k(counts: DataFrame, k: int, size: int) -> DataFrame:
-    """The ``k`` most frequent grams, ties by gram, with rank; where k covers all possible grams, in index order."""
-    order = [F.asc("gram")] if k <= 0 or k >= size else [F.desc("global_count"), F.asc("gram")]
-    best = counts.orderBy(*order).limit(size if k <= 0 else k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """gram, global_count and rank of the ``k`` most frequent grams, ties by gram.
+
+    Where k is 0 or covers all ``size`` grams, all of them, also those that never occur, in index order.
+    """
+    if k <= 0 or k >= size:
+        every = counts.sparkSession.range(size).withColumnRenamed("id", "gram").join(counts, "gram", "left")
+        return every.select("gram", F.coalesce("global_count", F.lit(0)).cast("long").alias("global_count"), (F.col("gram") + 1).cast("int").alias("rank"))
+    order = F.desc("global_count"), F.asc("gram")
+    return counts.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, n: int, k: int) -> DataFrame:
-    counts = ngrams(samples(spark, sf_dir).select("values"), n).groupBy("gram").agg(F.count("*").alias("global_count"))
-    return top_k(counts, k, 256**n)
+def vocabulary(rows: Samples, n: int, k: int) -> DataFrame:
+    return top_k(bytestats.count_grams(rows, n), k, 256**n)
 
 
 def _gram_hex(n: int) -> Column:
     return F.lpad(F.hex("gram"), 2 * n, "0")
 
 
-def _topk_sql(n: int, k: int) -> str:
+def _gram_sql(n: int) -> str:
     packed = ("v", "(v * 256 + v1)", "((v * 256 + v1) * 256 + v2)")[n - 1]
     ahead = "".join(f", lead(v, {i}) OVER (PARTITION BY doc_id ORDER BY p) AS v{i}" for i in range(1, n))
-    return f"""WITH {SQL_BYTES}, w AS (SELECT v{ahead} FROM b), g AS (SELECT {packed} AS gram, count(*) AS c FROM w WHERE {packed} IS NOT NULL GROUP BY 1)
-SELECT row_number() OVER (ORDER BY c DESC, gram)::INT AS rank, lpad(upper(to_hex(gram)), {2 * n}, '0') AS gram, c AS global_count FROM g ORDER BY c DESC, gram LIMIT {k}"""
+    return f"w AS (SELECT doc_id, v{ahead} FROM b), g AS (SELECT doc_id, {packed} AS gram FROM w WHERE {packed} IS NOT NULL)"
+
+
+def _topk_sql(n: int, k: int) -> str:
+    if k >= 256**n:
+        every = f"SELECT i AS gram, count(g.gram) AS c FROM (SELECT unnest(range(0, {256**n}))::INT AS i) LEFT JOIN g ON g.gram = i GROUP BY 1"
+        return f"WITH {SQL_BYTES}, {_gram_sql(n)}, e AS ({every}) SELECT (gram + 1)::INT AS rank, lpad(upper(to_hex(gram)), {2 * n}, '0') AS gram, c AS global_count FROM e"
+    return f"""WITH {SQL_BYTES}, {_gram_sql(n)}, e AS (SELECT gram, count(*) AS c FROM g GROUP BY 1)
+SELECT row_number() OVER (ORDER BY c DESC, gram)::INT AS rank, lpad(upper(to_hex(gram)), {2 * n}, '0') AS gram, c AS global_count FROM e ORDER BY c DESC, gram LIMIT {k}"""
 
 
 def _register_topk(n: int, k: int) -> None:
     @query(f"ngram{n}_topk", _topk_sql(n, k))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vocabulary(spark, sf_dir, n, k).select("rank", _gram_hex(n).alias("gram"), "global_count")
+        return vocabulary(samples(spark, sf_dir), n, k).select("rank", _gram_hex(n).alias("gram"), "global_count")
 
 
-for _n, _k in ((1, 64), (2, 256), (3, 256)):
+for _n, _k in TOP.items():
     _register_topk(_n, _k)
 
 
-@query("ngram_selected_freq", f"""WITH {SQL_BYTES}, g AS (SELECT a.doc_id, a.v * 256 + c.v AS gram FROM b a JOIN b c ON c.doc_id = a.doc_id AND c.p = a.p + 1 WHERE a.v IS NOT NULL AND c.v IS NOT NULL),
-top AS (SELECT gram FROM g GROUP BY gram ORDER BY count(*) DESC, gram LIMIT 8),
-t AS (SELECT doc_id, count(*) AS total FROM g GROUP BY doc_id), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL),
-f AS (SELECT doc_id, list(round(coalesce(n / total, 0), 9) ORDER BY gram) AS fs FROM (SELECT t.doc_id, total, gram FROM t, top) LEFT JOIN c USING (doc_id, gram) GROUP BY doc_id)
-SELECT doc_id, total, fs[1] AS f1, fs[2] AS f2, fs[3] AS f3, fs[4] AS f4, fs[5] AS f5, fs[6] AS f6, fs[7] AS f7, fs[8] AS f8 FROM f JOIN t USING (doc_id)""")
-def ngram_selected_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the eight most frequent bigrams among all of a sample's, columns in ascending gram order."""
-    chosen = vocabulary(spark, sf_dir, 2, 8).select("gram", F.row_number().over(_by("gram")).alias("place"))
-    grams = ngrams(samples(spark, sf_dir).select("doc_id", "values"), 2).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    marked = grams.join(F.broadcast(chosen), "gram", "left")  # eight rows
-    out = marked.groupBy("doc_id").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("place") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(1, 9)))
-    return out.select("doc_id", "total", *(F.round(F.coalesce(F.try_divide(f"c{i}", "total"), F.lit(0.0)), 9).alias(f"f{i}") for i in range(1, 9)))
-
-
-def _by(column: str):
-    return Window.orderBy(column)
+def selected_ngrams(rows: Samples, grams: list[int], n: int) -> DataFrame:
+    """total (all valid windows), counts and shares of the chosen grams, in ascending order of the grams."""
+    counted = rows.map(bytestats.selected_grams(np.array(grams, np.int64), n), "total long, counts array<long>")
+    return counted.withColumn("shares", F.transform("counts", lambda c: F.coalesce(F.try_divide(c, F.col("total")), F.lit(0.0))))
 
 
-def grid_cells(values: Column, side: int = 32) -> Column:
-    """Equal-position bins of a value array: an array of structs (n, n_known, pixel, mask), without a shuffle.
-
-    Bin j takes the positions from floor(j N / bins) on; a pixel is the half-up mean of its known bytes (0 without any),
-    a mask the half-up share of unknown ones in 255ths (255 for an empty bin).
-    """
-    bins = side * side
-
-    def cell(part: Column) -> Column:
-        n, k = F.size(part), present(part)
-        total = F.aggregate(part, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-        pixel = F.when(k > 0, F.floor((total + F.floor(k / 2)) / F.greatest(k, F.lit(1)))).otherwise(0).cast("int")
-        mask = F.when(n > 0, F.floor((255 * (n - k) + F.floor(n / 2)) / F.greatest(n, F.lit(1)))).otherwise(255).cast("int")
-        return F.struct(n.alias("n"), k.alias("n_known"), pixel.alias("pixel"), mask.alias("mask"))
-
-    def cells(v: Column) -> Column:
-        n = F.size(v).cast("long")
-        edge = lambda j: F.floor(j * n / bins).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: let(F.slice(v, edge(j) + 1, edge(j + 1) - edge(j)), cell))
-
-    return let(values, cells)
+@query("ngram_selected_freq", f"""WITH {SQL_BYTES}, {_gram_sql(2)}, top AS (SELECT gram FROM g GROUP BY gram ORDER BY count(*) DESC, gram LIMIT {TOP[2]}),
+t AS (SELECT d.doc_id, count(gram) AS total FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL)
+SELECT doc_id, any_value(total) AS total, string_agg(coalesce(n, 0)::VARCHAR, ' ' ORDER BY gram) AS counts, coalesce(sum(n), 0)::BIGINT AS n_selected,
+round(coalesce(sum(n) / nullif(any_value(total), 0), 0), 9) AS share FROM (SELECT * FROM t, top) LEFT JOIN c USING (doc_id, gram) GROUP BY doc_id""")
+def ngram_selected_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample's counts of the 1,024 most frequent bigrams, columns in ascending gram order; the vocabulary comes to the driver (k rows)."""
+    rows = samples(spark, sf_dir)
+    chosen = [r.gram for r in vocabulary(rows, 2, TOP[2]).select("gram").collect()]
+    out = selected_ngrams(rows, chosen, 2)
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    share = F.round(F.coalesce(F.try_divide(n, F.col("total")), F.lit(0.0)), 9)
+    return out.select("doc_id", "total", F.array_join(F.col("counts").cast("array<string>"), " ").alias("counts"), n.alias("n_selected"), share.alias("share"))
 
 
-def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).select("doc_id", "class", grid_cells(F.col("values")).alias("cells"))
+def grids(rows: Samples, side: int = 32) -> DataFrame:
+    """n, n_known, pixel and mask of the equal-position bins of each sample, with their sums."""
+    return rows.map(bytestats.grid(side), bytestats.GRID)
 
 
 SQL_GRID = f"""{SQL_BYTES}, n AS (SELECT doc_id, len(x) AS n FROM x),
@@ -239,37 +215,32 @@ cell AS (SELECT n.doc_id, j, coalesce(bin.n, 0)::BIGINT AS n, coalesce(k, 0)::BI
          FROM n CROSS JOIN (SELECT unnest(range(0, 1024)) AS j) LEFT JOIN bin USING (doc_id, j))"""
 
 
-def _grid_hash(field: str) -> Column:
-    return F.sha2(F.array_join(F.transform(f"cells.{field}", lambda x: F.lpad(F.hex(x), 2, "0")), ""), 256)
-
-
-def _grid_sql(field: str, name: str) -> str:
-    return f"""WITH {SQL_GRID} SELECT doc_id, sha256(string_agg(lpad(upper(to_hex({field})), 2, '0'), '' ORDER BY j)) AS {name}_sha256, sum({field})::BIGINT AS {name}_sum FROM cell GROUP BY doc_id"""
+def _grid_sql(field: str) -> str:
+    return f"""WITH {SQL_GRID} SELECT doc_id, sha256(unhex(string_agg(lpad(to_hex({field}), 2, '0'), '' ORDER BY j))) AS {field}_sha256, sum({field})::BIGINT AS {field}_sum FROM cell GROUP BY doc_id"""
 
 
-def _grid_query(spark: SparkSession, sf_dir: str, field: str, name: str) -> DataFrame:
-    total = F.aggregate(f"cells.{field}", F.lit(0).cast("long"), lambda a, x: a + x)
-    return grids(spark, sf_dir).select("doc_id", _grid_hash(field).alias(f"{name}_sha256"), total.alias(f"{name}_sum"))
+def _grid_query(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
+    return grids(samples(spark, sf_dir)).select("doc_id", F.sha2(field, 256).alias(f"{field}_sha256"), F.col(f"sum_{field}").alias(f"{field}_sum"))
 
 
-@query("grid_pixels", _grid_sql("pixel", "pixel"))
+@query("grid_pixels", _grid_sql("pixel"))
 def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_query(spark, sf_dir, "pixel", "pixel")
+    return _grid_query(spark, sf_dir, "pixel")
 
 
-@query("grid_mask", _grid_sql("mask", "mask"))
+@query("grid_mask", _grid_sql("mask"))
 def grid_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_query(spark, sf_dir, "mask", "mask")
+    return _grid_query(spark, sf_dir, "mask")
 
 
 @query("grid_bin_stats", f"""WITH {SQL_GRID} SELECT doc_id, sum(n)::INT AS n_tokens, min(n)::INT AS min_bin, max(n)::INT AS max_bin,
 count(*) FILTER (n = 0)::INT AS n_empty, count(*) FILTER (k < n)::INT AS n_with_unknown FROM cell GROUP BY doc_id""")
 def grid_bin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grids(spark, sf_dir)
-    count = lambda test: F.size(F.filter("cells", test))
+    g = grids(samples(spark, sf_dir))
+    mixed = F.size(F.filter(F.zip_with("n", "n_known", lambda n, k: n > k), lambda x: x))
     return g.select(
-        "doc_id", F.aggregate("cells.n", F.lit(0), lambda a, x: a + x).alias("n_tokens"), F.array_min("cells.n").alias("min_bin"), F.array_max("cells.n").alias("max_bin"),
-        count(lambda c: c["n"] == 0).alias("n_empty"), count(lambda c: c["n_known"] < c["n"]).alias("n_with_unknown"),
+        "doc_id", F.aggregate("n", F.lit(0), lambda a, x: a + x).alias("n_tokens"), F.array_min("n").alias("min_bin"), F.array_max("n").alias("max_bin"),
+        F.size(F.filter("n", lambda n: n == 0)).alias("n_empty"), mixed.alias("n_with_unknown"),
     )
 
 
@@ -277,9 +248,8 @@ def grid_bin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(sqrt(greatest(0, sum(pixel * pixel) / count(*) - (sum(pixel) / count(*)) ** 2)), 5) AS std, round(count(*) FILTER (pixel = 0) / count(*), 9) AS zero_ratio FROM cell GROUP BY 1""")
 def pixel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, population deviation and share of zeros of each class's pixels, from sums taken per sample first."""
-    add = lambda f: F.aggregate("cells.pixel", F.lit(0).cast("long"), lambda a, x: a + f(x))
-    per = grids(spark, sf_dir).select("class", add(lambda x: x).alias("t"), add(lambda x: x * x).alias("q"), add(lambda x: F.when(x == 0, 1).otherwise(0)).alias("z"))
-    g = per.groupBy("class").agg((F.count("*") * 1024).alias("n_pixels"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum("z").alias("z"))
+    per = grids(samples(spark, sf_dir)).select("class", "sum_pixel", "sum_square", "n_zero")
+    g = per.groupBy("class").agg((F.count("*") * 1024).alias("n_pixels"), F.sum("sum_pixel").alias("t"), F.sum("sum_square").alias("q"), F.sum("n_zero").alias("z"))
     mean = F.col("t") / F.col("n_pixels")
     std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n_pixels") - mean * mean))
     return g.select("class", "n_pixels", F.round(mean, 6).alias("mean"), F.round(std, 5).alias("std"), F.round(F.col("z") / F.col("n_pixels"), 9).alias("zero_ratio"))

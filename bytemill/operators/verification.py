@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.standins import SQL_SPLITS, splits
 from ..plans.catalog import query, table
-from .tables import SQL_QUALITY, manifest, quality_table
+from .tables import SQL_QUALITY, quality_table
 
 
 def constant_columns(rows: DataFrame) -> DataFrame:
@@ -150,24 +150,3 @@ def id_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_set_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = splits(spark, sf_dir).groupBy("split").agg(F.array_sort(F.collect_set("class")).alias("found"))
     return g.select("split", (F.col("found") == F.array(*(F.lit(i) for i in range(1, 10)))).alias("every_class"))
-
-
-@query("submission_report", f"""WITH {SQL_HASHED}, r AS (SELECT 'null_text' AS "check", count(*) FILTER (text IS NULL) AS n FROM documents UNION ALL SELECT 'repeated_id', count(*) - count(DISTINCT doc_id) FROM documents
-UNION ALL SELECT 'leaked_hash', count(*) FROM (SELECT hash FROM h WHERE hash IS NOT NULL GROUP BY hash HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'excluded', count(*) FROM h WHERE hash IN (SELECT hash FROM h GROUP BY hash HAVING count(*) > 1))
-SELECT "check", n, n = 0 AS passed FROM r""")
-def submission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks as rows (check, n, passed); the submission passes if every row does."""
-    d, h = table(spark, sf_dir, "documents"), hashed(spark, sf_dir)
-    rows = [
-        d.agg(F.count_if(F.col("text").isNull()).alias("n")).select(F.lit("null_text").alias("check"), "n"),
-        d.groupBy("doc_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).select(F.lit("repeated_id").alias("check"), "n"),
-        leaks(h, "hash").agg(F.count("*").alias("n")).select(F.lit("leaked_hash").alias("check"), "n"),
-        h.filter("hash IS NOT NULL").groupBy("hash").count().agg(F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("n")).select(F.lit("excluded").alias("check"), "n"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("passed", F.col("n") == 0)
-
-
-__all__ = ["cell_quality", "collisions", "constant_columns", "leaks", "manifest", "mismatches", "normalize_bool"]

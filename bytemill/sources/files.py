@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,24 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_object(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file with one object, as one row."""
-    return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """A JSON file with one object, as one row; an array, a bare value or broken text raises."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value", F.lit(" \t\r\n\ufeff")).alias("t"))
+    checked = F.when(F.col("t").startswith("{"), F.col("t")).otherwise(F.raise_error(F.lit("a JSON object is expected")))
+    schema = spark.read.option("multiLine", True).json(path).schema
+    return text.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
+def read_checked(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> tuple[DataFrame | None, list[str]]:
+    """A CSV (Id as text, other columns inferred) and what is wrong with it, in place of an exception."""
+    try:
+        rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        named = rows.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in rows.columns})
+    except AnalysisException as e:
+        return None, [f"{path} can't be read: {str(e).splitlines()[0]}"]
+    missing = sorted(set(required) - set(named.columns))
+    if "Id" in named.columns:
+        named = named.withColumn("Id", F.col("Id").cast("string"))
+    return named, [f"{path} lacks {missing}"] if missing else []
 
 
 def read_dumps(spark: SparkSession, path: str, dialect: str = "extract", pattern: str = "*.bytes") -> DataFrame:
@@ -68,6 +86,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(firsts, ["sample_id", "kind"]).withColumn("duplicate", F.struct("archive", "place") != F.col("first")).drop("first")
 
 
+def strict_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``read_archives`` of dumps only; a name that comes twice raises when the rows are read."""
+    rows = read_archives(spark, path).filter("kind = 'bytes'")
+    once = F.when(F.col("duplicate"), F.raise_error(F.concat(F.lit("repeated entry "), "entry"))).otherwise(F.col("entry"))
+    return rows.withColumn("entry", once).drop("duplicate")
+
+
+def select_entries(rows: DataFrame, prefix: str = "", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Entries below a folder with one of the suffixes."""
+    low = F.lower("entry")
+    wanted = [low.endswith(x) for x in suffixes]
+    any_of = wanted[0]
+    for w in wanted[1:]:
+        any_of = any_of | w
+    return rows.filter(F.col("entry").startswith(prefix) & any_of)
+
+
+def extract(rows: DataFrame, path: str) -> int:
+    """Write the entries that a table of extracted ones lacks, and return how many; one that is there with other content raises."""
+    spark = rows.sparkSession
+    wanted = rows.select("entry", "content", F.sha2("content", 256).alias("sha256"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        have = spark.read.parquet(path).select("entry", F.col("sha256").alias("have"))
+        both = wanted.join(have, "entry", "left")
+        if both.filter("have <> sha256").limit(1).count():
+            raise ValueError(f"{path} holds entries with other content")
+        wanted = both.filter("have IS NULL").drop("have")
+    n = wanted.count()
+    wanted.write.mode("append").parquet(path)
+    return n
+
+
 def write_samples(rows: DataFrame, path: str) -> None:
     """Samples by split and class, as folders that later reads prune by; an existing result is an error."""
     rows.write.mode("errorifexists").partitionBy("split", "class").parquet(path)
@@ -98,3 +150,59 @@ def publish(rows: DataFrame, path: str, least_rows: int = 1) -> int:
         raise OSError(f"{staging} can't be moved")
     fs.delete(hadoop.Path(old), True)
     return n
+
+
+def write_features(path: str, tables: Mapping[str, DataFrame], summary: Mapping[str, object]) -> None:
+    """A feature set: one Parquet table for each part (samples, sequences, entropy, ngram_1 ..., vocabularies) and its summary."""
+    for name, rows in tables.items():
+        rows.write.mode("errorifexists").parquet(f"{path}/{name}")
+    first = next(iter(tables.values()))
+    write_report(first.sparkSession, summary, f"{path}/summary.json")
+
+
+def read_features(spark: SparkSession, path: str, parts: tuple[str, ...], ngrams: tuple[int, ...] | None = None) -> tuple[DataFrame, dict]:
+    """A feature set's parts joined by sample id, one row each, and the summary; the n-gram parts follow from it (1 and 2 without)."""
+    summary = read_report(spark, f"{path}/summary.json")
+    chosen = ngrams or tuple(summary.get("ngrams", (1, 2)))
+    names = (*parts, *(f"ngram_{n}" for n in chosen))
+    rows = spark.read.parquet(f"{path}/{names[0]}")
+    for name in names[1:]:
+        rows = rows.join(spark.read.parquet(f"{path}/{name}"), "id")
+    return rows, summary
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_report(spark: SparkSession, report: Mapping[str, object], path: str) -> None:
+    """A small JSON report, written beside its place and moved there at once."""
+    text = json.dumps(report, ensure_ascii=False, indent=1)
+    target, fs = _path(spark, path)
+    staged, _ = _path(spark, f"{path}.staged")
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(staged, target):
+        raise OSError(f"{path} can't be written")
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    """The report at ``path``; an empty one where there is none."""
+    target, fs = _path(spark, path)
+    if not fs.exists(target):
+        return {}
+    text = spark.read.text(path, wholetext=True).first()
+    return json.loads(text.value) if text else {}
+
+
+def update_report(spark: SparkSession, path: str, changes: Mapping[str, object], drop: tuple[str, ...] = ()) -> dict:
+    """The report with blocks replaced and keys dropped, written in its place."""
+    report = {k: v for k, v in read_report(spark, path).items() if k not in drop} | dict(changes)
+    write_report(spark, report, path)
+    return report

@@ -3,68 +3,106 @@
 import math
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bytemill.functions import bytestats, ranking
+from bytemill.functions.bytestats import Samples, from_values
 from bytemill.functions.hexdump import fixed_length, parse
-from bytemill.operators import fusion, history, listing, metrics, profile, tables, verification
+from bytemill.operators import fusion, history, listing, metrics, profile, records, tables, verification
 from bytemill.sources import files
 from bytemill.streaming import ingest
 
-MIXED = "00401000 00 01 ?? 02\n00401010 03 04 05 06\n00401020 zz 07 08"
+DUMP = "10000000 7F 45 4C 46\n10000004 ?? xx 1\n10000008 C3"
 
 
 def parsed(spark, text, dialect):
     return spark.createDataFrame([(text,)], "t string").select(parse(F.col("t"), dialect).alias("x")).first().x
 
 
+def as_samples(spark, *values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, values array<int>")
+    return Samples(rows, from_values(), "values", ("i",))
+
+
 def test_extract_dialect_keeps_invalid_tokens_as_unknown(spark):
-    x = parsed(spark, MIXED, "extract")
-    assert (x.n_total, x.n_known, x.n_unknown, x.n_invalid) == (11, 9, 1, 1)
-    assert x["values"] == [0, 1, None, 2, 3, 4, 5, 6, None, 7, 8]
+    x = parsed(spark, DUMP, "extract")
+    assert (x.n_total, x.n_known, x.n_unknown, x.n_invalid) == (8, 5, 1, 2)
+    assert x["values"] == [0x7F, 0x45, 0x4C, 0x46, None, None, None, 0xC3]
 
 
 def test_other_dialects(spark):
-    assert parsed(spark, MIXED, "profile").n_total == 10
-    assert parsed(spark, "00401000 ?? ??", "train").rejected
-    assert not parsed(spark, "00401000 ?? ??", "serve").rejected
+    assert parsed(spark, DUMP, "profile").n_total == 6
+    assert parsed(spark, DUMP, "train").rejected and parsed(spark, DUMP, "image").rejected
+    assert parsed(spark, "0000FFFF ??\n00010000 ??", "train").rejected
+    assert not parsed(spark, "0000FFFF ??\n00010000 ??", "serve").rejected
     assert parsed(spark, "", "serve").rejected and parsed(spark, None, "image").rejected
-    assert parsed(spark, "00401000 4D5A", "profile")["values"] == [0x4D, 0x5A]
-    assert parsed(spark, "00401000 4D5A", "extract").n_invalid == 1
-
-
-def test_fixed_length(spark):
-    row = spark.createDataFrame([([1, 2, 3, 4, 5], [1, 2, 3])], "a array<int>, b array<int>")
-    head, tail = row.select(fixed_length(F.col("a"), 3).alias("h"), fixed_length(F.col("b"), 5, 9, "tail").alias("t")).first()
-    assert (head["values"], head.mask, head.n_truncated, head.n_padded) == ([1, 2, 3], [1, 1, 1], 2, 0)
-    assert (tail["values"], tail.mask, tail.n_padded) == ([9, 9, 1, 2, 3], [0, 0, 1, 1, 1], 2)
+    assert parsed(spark, "0000FFFF 9090C3", "profile")["values"] == [0x90, 0x90, 0xC3]
+    assert parsed(spark, "0000FFFF 9090", "extract").n_invalid == 1
+
+
+@pytest.mark.parametrize("keep", ["head", "tail"])
+def test_sequences(spark, keep):
+    """The kernel against the column expression, over short, exact, long and empty samples."""
+    lists = [[], [9], [1, None, 3, 4], list(range(4)), list(range(10)), [None] * 6]
+    got = profile.sequences(as_samples(spark, *lists), keep, 4, 7).orderBy("i").collect()
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<int>")
+    want = rows.select("i", fixed_length(F.col("v"), 4, 7, keep).alias("x")).orderBy("i").collect()
+    for g, w in zip(got, want, strict=True):
+        assert (g["values"], g.n_known, g.n_truncated, g.n_padded) == (w.x["values"], sum(w.x.mask), w.x.n_truncated, w.x.n_padded)
     with pytest.raises(ValueError):
         fixed_length(F.col("a"), 0)
+    with pytest.raises(ValueError):
+        profile.sequences(as_samples(spark), keep, 0)
+
 
+def test_ngrams_cross_neither_unknown_bytes_nor_samples(spark):
+    rows = as_samples(spark, [255, 254, None, 7, 7, 7], [], [254, 7])
+    assert {r.gram: r.global_count for r in bytestats.count_grams(rows, 2).collect()} == {0xFFFE: 1, 0x0707: 2, 0xFE07: 1}
+    assert {r.gram: r.global_count for r in bytestats.count_grams(rows, 3).collect()} == {0x070707: 1}
+    chosen = profile.selected_ngrams(rows, [0xFFFE, 0x0707, 0x0000], 2).orderBy("i").collect()
+    assert [(r.total, r.counts, r.shares) for r in chosen] == [(3, [0, 2, 1], [0.0, 2 / 3, 1 / 3]), (0, [0, 0, 0], [0.0] * 3), (1, [0, 0, 0], [0.0] * 3)]
 
-def test_ngrams_do_not_cross_unknown_bytes(spark):
-    rows = spark.createDataFrame([([0, 1, None, 2, 3],)], "values array<int>")
-    assert sorted(r.gram for r in profile.ngrams(rows, 2).collect()) == [0x0001, 0x0203]
-    assert profile.ngrams(rows, 3).count() == 0
 
+def test_top_k(spark):
+    counts = spark.createDataFrame([(0, 2), (2, 9), (3, 9), (5, 1)], "gram long, global_count long")
+    assert [(r.gram, r.rank) for r in profile.top_k(counts, 3, 256).orderBy("rank").collect()] == [(2, 1), (3, 2), (0, 3)]
+    for k in (0, 6, 7):
+        assert [tuple(r) for r in profile.top_k(counts, k, 6).orderBy("rank").collect()] == [(0, 2, 1), (1, 0, 2), (2, 9, 3), (3, 9, 4), (4, 0, 5), (5, 1, 6)]
 
-def test_top_k_orders_by_count_then_gram(spark):
-    counts = spark.createDataFrame([(0, 3), (1, 5), (2, 5), (3, 1)], "gram long, global_count long")
-    assert [r.gram for r in profile.top_k(counts, 2, 256).orderBy("rank").collect()] == [1, 2]
-    assert [r.gram for r in profile.top_k(counts, 0, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
 
+def test_profiles(spark):
+    rows = as_samples(spark, [], [None, None], [8, 8, 8], [0, 64, 128, 255, None])
+    out = profile.profiles(rows).orderBy("i").collect()
+    assert [(r.n_total, r.n_known, r.entropy) for r in out] == [(0, 0, 0.0), (2, 0, 0.0), (3, 3, 0.0), (5, 4, 2.0)]
+    assert all(r.mean == r.std == r.zero_ratio == r.printable_ratio == r.high_ratio == 0.0 for r in out[:2])
+    assert (out[3].mean, out[3].zero_ratio, out[3].printable_ratio, out[3].high_ratio) == (111.75, 0.25, 0.25, 0.5)
 
-def test_entropy(spark):
-    rows = spark.createDataFrame([("a", 1)] * 4 + [("b", 4)], "k string, n long")
-    assert {r.k: r.entropy for r in profile.shannon_entropy(rows, "k").collect()} == {"a": 2.0, "b": 0.0}
 
+@pytest.mark.parametrize("n", [0, 1, 17, 1023, 1024, 1025, 2048, 5000])
+def test_grid_against_a_plain_loop(spark, n):
+    rng = np.random.default_rng(n)
+    values = [None if rng.random() < 0.2 else int(rng.integers(0, 256)) for _ in range(n)]
+    row = profile.grids(as_samples(spark, values)).first()
+    for j in range(1024):
+        part = values[j * n // 1024 : (j + 1) * n // 1024]
+        known = [v for v in part if v is not None]
+        assert row.pixel[j] == ((sum(known) + len(known) // 2) // len(known) if known else 0)
+        assert row["mask"][j] == ((255 * (len(part) - len(known)) + len(part) // 2) // len(part) if part else 255)
+        assert (row.n[j], row.n_known[j]) == (len(part), len(known))
 
-def test_half_up_grid(spark):
-    values = [0, 1] * 512 + [None, 255] * 512
-    cells = spark.createDataFrame([(values,)], "v array<int>").select(profile.grid_cells(F.col("v")).alias("c")).first().c
-    assert [c.pixel for c in cells] == [1] * 512 + [255] * 512
-    empty = spark.createDataFrame([([],)], "v array<int>").select(profile.grid_cells(F.col("v")).alias("c")).first().c
-    assert {(c.pixel, c["mask"]) for c in empty} == {(0, 255)}
+
+def test_ranks_and_percentiles(spark):
+    rng = np.random.default_rng(4)
+    data = [(k, float(v)) for k in "abc" for v in rng.choice([rng.normal(), 5.0, rng.normal() * 100], {"a": 1, "b": 2, "c": 500}[k])] + [("d", 3.0)] * 40 + [("a", None)]
+    got = {r.k: r for r in ranking.percentiles(spark.createDataFrame(data, "k string, v double"), "k", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for k in "abcd":
+        own = [v for x, v in data if x == k and v is not None]
+        assert got[k].n == len(own) and math.isclose(got[k].p50, np.percentile(own, 50)) and math.isclose(got[k].p95, np.percentile(own, 95))
+    rows = spark.createDataFrame([(int(x),) for x in rng.permutation(300) ** 2], "x long")
+    ranks = history.with_next_ids(rows, "x", 1000).orderBy("x").collect()
+    assert [r.id for r in ranks] == list(range(1001, 1301))
 
 
 def test_duplicates_and_conflicts(spark):
@@ -153,3 +191,56 @@ def test_uploads_are_appended_once(spark, tmp_path):
     for _ in range(2):
         ingest.append_history(ingest.uploads(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert [(r.sample_id, r.n_known) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("sample.bytes", 4)]
+
+
+def test_strict_reading_and_extracting(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/one.bytes", "00401000 4D")
+        z.writestr("in/two.bytes", "00401000 5A")
+        z.writestr("out/three.bytes", "00401000 90")
+    rows = files.strict_archives(spark, str(tmp_path))
+    chosen = files.select_entries(rows, "in/", (".bytes",))
+    at = str(tmp_path / "out")
+    assert files.extract(chosen, at) == 2 and files.extract(rows, at) == 1 and files.extract(rows, at) == 0
+    with pytest.raises(ValueError):
+        files.extract(chosen.withColumn("content", F.lit("x").cast("binary")), at)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("again/one.bytes", "00401000 4D")
+    with pytest.raises(Exception, match="repeated entry"):
+        files.strict_archives(spark, str(tmp_path)).collect()
+
+
+def test_reports_and_features(spark, tmp_path):
+    at = str(tmp_path / "features")
+    ids = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "id int, x array<double>")
+    files.write_features(at, {"samples": ids.select("id"), "entropy": ids.withColumnRenamed("x", "entropy"), "ngram_2": ids.withColumnRenamed("x", "g2")}, {"ngrams": [2], "samples": 3})
+    rows, summary = files.read_features(spark, at, ("samples", "entropy"))
+    assert summary == {"ngrams": [2], "samples": 3} and sorted(tuple(r) for r in rows.collect()) == [(i, [float(i)], [float(i)]) for i in range(3)]
+    assert files.update_report(spark, f"{at}/summary.json", {"samples": 4, "note": "é"}, ("ngrams",)) == {"samples": 4, "note": "é"}
+    assert files.read_report(spark, f"{at}/summary.json") == {"samples": 4, "note": "é"} and files.read_report(spark, f"{at}/none.json") == {}
+    (tmp_path / "list.json").write_text('[{"a": 1}, {"a": 2}]')
+    (tmp_path / "one.json").write_text('{"a": 1,\n "b": {"c": [1]}}')
+    assert files.read_json_object(spark, str(tmp_path / "one.json")).first().a == 1
+    with pytest.raises(Exception, match="JSON object"):
+        files.read_json_object(spark, str(tmp_path / "list.json")).collect()
+    assert files.read_checked(spark, str(tmp_path / "none.csv"))[0] is None
+    (tmp_path / "some.csv").write_text("Id,x\n007,1\n")
+    rows, errors = files.read_checked(spark, str(tmp_path / "some.csv"), ("Id", "y"))
+    assert rows.first().Id in ("7", "007") and len(errors) == 1
+
+
+def test_history_tables(spark):
+    history.create_table(spark, "records_test")
+    history.create_table(spark, "records_test")
+    assert history.table_exists(spark, "records_test") and not history.table_exists(spark, "records_none")
+    spark.sql("DROP TABLE records_test")
+    rows = spark.createDataFrame([("2024-03-01 00:00:00",), ("2024-02-29 23:59:59",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"))
+    assert history.keep_days(rows, 2, F.lit("2024-03-03").cast("date")).count() == 1 and history.keep_days(rows, 0).count() == 0
+
+
+def test_sound_manifests_pass(spark):
+    rows = records.records(spark, "/root/testdata/sf0.001")
+    assert records.manifest_invariants(rows.filter("byte_token_count > 0")).filter("n > 0").count() == 0
+    assert records.compare_records(rows, rows).filter("n > 0").count() == 0
+    with pytest.raises(ValueError):
+        records.dataset_invariants(rows.drop("split"))
