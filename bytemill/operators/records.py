@@ -287,8 +287,8 @@ def archive_entry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_class_names(rows: DataFrame, labels: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Rows with the class of their id's label and the name of the class (a fixed list, from class 1 on)."""
-    named = F.element_at(F.array(*map(F.lit, names)), F.when(F.col("class").between(1, len(names)), F.col("class")))
-    return rows.join(labels, "id", "left").withColumn("family", named)
+    named = F.get(F.array(*map(F.lit, names)), F.col("class") - 1)
+    return rows.join(labels, "id", "left").withColumn("family", F.when(F.col("class").isNotNull(), named))
 
 
 @query("class_names", "SELECT d.doc_id AS id, (quality + 2 * toxic + 1)::INT AS class, CASE quality + 2 * toxic WHEN 0 THEN 'plain' WHEN 1 THEN 'good' WHEN 2 THEN 'toxic' WHEN 3 THEN 'both' END AS family FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
