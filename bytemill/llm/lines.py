@@ -121,7 +121,8 @@ def found_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
     lost = _with_hot_keys(hashes.drop("batch"), frequent).filter("doc_id <> max_doc")
     lost = written(lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("lost")), f"{at}-lost")
     discard(spark, at, runs.path, f"{at}-frequent")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).join(lost, F.col("id") == F.col("doc_id"), "left")
+    # One plan at every size: a small table of losses would be sent to all tasks, a large one not.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).join(lost.hint("merge"), F.col("id") == F.col("doc_id"), "left")
     lines = _lines(F.col("row.text"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), _hashed(x, least_chars)), F.lit(False)))
     rows = rows.withColumn("kept", F.when(F.col("lost").isNull(), lines).otherwise(kept))
