@@ -249,9 +249,8 @@ def _second_tokens(passing: np.ndarray, bits: int = FILTER_BITS):
     return run
 
 
-def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (token, key) sorted by token: (key, df, token) of the tokens that several sets hold; df counts to MOST_COUNTED."""
-    kept, flooded = (np.zeros(0, np.int64),) * 2, None
+def _with_counts(most: int):
+    """Of (token, key) sorted by token: (key, df, token) of the tokens that several sets hold; df counts to ``most``."""
 
     def row(token, key, df):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.broadcast_to(df, len(key)).astype(np.int32)), pa.array(token)], ["key", "df", "token"])
@@ -264,30 +263,34 @@ def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, key = token[new], key[new]
         _, at, n = np.unique(token, return_inverse=True, return_counts=True)
         several = n[at] > 1
-        return row(token[several], key[several], np.minimum(n[at][several], MOST_COUNTED))
+        return row(token[several], key[several], np.minimum(n[at][several], most))
 
-    for batch in batches:
-        token, key = (np.append(k, batch.column(c).to_numpy()) for k, c in zip(kept, ("token", "key"), strict=True))
-        if not len(token):
-            continue
-        if flooded is not None:
-            more = token == flooded
-            yield row(token[more], key[more], MOST_COUNTED)
-            token, key = token[~more], key[~more]
-            kept = token, key
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, flooded = (np.zeros(0, np.int64),) * 2, None
+        for batch in batches:
+            token, key = (np.append(k, batch.column(c).to_numpy()) for k, c in zip(kept, ("token", "key"), strict=True))
             if not len(token):
                 continue
-            flooded = None
-        done = token != token[-1]
-        if done.any():
-            yield counted(token[done], key[done])
-        last = np.unique(key[~done])
-        kept = np.full(len(last), token[-1]), last
-        if len(last) >= MOST_COUNTED:
-            yield row(*kept, MOST_COUNTED)
-            kept, flooded = (np.zeros(0, np.int64),) * 2, token[-1]
-    if len(kept[0]):
-        yield counted(*kept)
+            if flooded is not None:
+                more = token == flooded
+                yield row(token[more], key[more], most)
+                token, key = token[~more], key[~more]
+                kept = token, key
+                if not len(token):
+                    continue
+                flooded = None
+            done = token != token[-1]
+            if done.any():
+                yield counted(token[done], key[done])
+            last = np.unique(key[~done])
+            kept = np.full(len(last), token[-1]), last
+            if len(last) >= most:
+                yield row(*kept, most)
+                kept, flooded = (np.zeros(0, np.int64),) * 2, token[-1]
+        if len(kept[0]):
+            yield counted(*kept)
+
+    return run
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +442,7 @@ def _candidate_sets(docs: DataFrame, classes: np.ndarray, sets: DataFrame, at: s
 
     passing = id_filter(heads.select(F.xxhash64("id").alias("h")))
     second = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_second_tokens(passing), "token long, key long")
-    counted = second.repartition("token").sortWithinPartitions("token").mapInArrow(_with_counts, "key long, df int, token long")
+    counted = second.repartition("token").sortWithinPartitions("token").mapInArrow(_with_counts(MOST_COUNTED), "key long, df int, token long")
     rows = counted.withColumn("id", F.lit(None).cast("long")).unionByName(heads.select("key", F.lit(0).alias("df"), F.col("n").alias("token"), "id"))
     rows = rows.repartition("key").sortWithinPartitions("key", "df", "token")
     found = rows.mapInArrow(_assembled, "key long, id long, n long, rare long, typical double, tokens binary")

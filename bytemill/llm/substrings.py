@@ -18,7 +18,6 @@ own. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, pieces, prefix_sums, span_hashes
+from .common import discard, pieces, prefix_sums, scratch, span_hashes, written
 
 LENGTH, K = 200, 100
 #: Bytes of a document looked at together; window hashes of one suffix that are compared in a task.
 SEGMENT, MOST_WINDOWS = 8 << 20, 2 << 20
+#: A key is hot from so many rows on, and from this share of all rows: 1,000 keys at most are.
+LEAST_HOT, HOT_SHARE = 5_000, 1_000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -66,31 +67,34 @@ def picked(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, grams[place[head]].view(np.int64), first - offs[row], last - offs[row], span_hashes(sums, first, last + LENGTH).view(np.int64)
 
 
-def _segments(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _segments(data: np.ndarray, offs: np.ndarray, segment: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Very long texts in overlapping segments, so that each window lies in one."""
-    if len(offs) > 2 or len(data) <= SEGMENT:
+    if len(offs) > 2 or len(data) <= segment:
         yield 0, data, offs
         return
-    for base in range(0, len(data), SEGMENT):
-        part = data[base : base + SEGMENT + LENGTH - 1]
+    for base in range(0, len(data), segment):
+        part = data[base : base + segment + LENGTH - 1]
         yield base, part, np.array([0, len(part)])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "key", "first", "last", "under"]
-    for batch, data, offs in pieces(batches):
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
-        for base, part, bounds in _segments(data, offs):
-            row, gram, first, last, under = picked(part, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, keys[row], first + base, last + base, under)], names)
+def _suffixes(segment: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "key", "first", "last", "under"]
+        for batch, data, offs in pieces(batches, min(segment, 1 << 20)):
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for base, part, bounds in _segments(data, offs, segment):
+                row, gram, first, last, under = picked(part, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, keys[row], first + base, last + base, under)], names)
+
+    return run
 
 
 class SuffixLevels:
-    """Levels of sorted (gram, n) runs in the shared folder, and the grams that were matched."""
+    """Levels of sorted (gram, n) runs in the shared folder, and the grams that were matched, with how often they were seen."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
-        self.path = path or f"{ensure_checkpoint_dir(spark)}/suffix-levels-{uuid.uuid4().hex}"
+        self.path = path or scratch(spark, "suffix-levels")
         self.levels: list[list[str]] = []
         self._made = 0
 
@@ -104,9 +108,10 @@ class SuffixLevels:
         """Scan a batch against itself and all levels, keep what matched, make it a level and merge full levels."""
         at, level = self._write(suffixes.groupBy("gram").agg(F.count("*").alias("n"))), 0
         run = self.spark.read.parquet(at)
-        found = run.filter("n > 1").select("gram")
+        found = run.filter("n > 1")
         for old in (r for runs in self.levels for r in runs):
-            found = found.unionByName(run.select("gram").join(self.spark.read.parquet(old).select("gram"), "gram"))
+            both = run.join(self.spark.read.parquet(old).withColumnRenamed("n", "m"), "gram")
+            found = found.unionByName(both.select("gram", (F.col("n") + F.col("m")).alias("n")))
         found.write.mode("append").parquet(f"{self.path}/matched")
         while True:
             if level == len(self.levels):
@@ -115,11 +120,26 @@ class SuffixLevels:
             if len(self.levels[level]) < self.fanout:
                 return
             at = self._write(self.spark.read.parquet(*self.levels[level]).groupBy("gram").agg(F.sum("n").alias("n")))
+            discard(self.spark, *self.levels[level])
             self.levels[level] = []
             level += 1
 
     def matched(self) -> DataFrame:
-        return self.spark.read.schema("gram long").parquet(f"{self.path}/matched").distinct()
+        """gram and n, about how many suffixes have it."""
+        return self.spark.read.schema("gram long, n long").parquet(f"{self.path}/matched").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _salted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose key is among ``keys`` (with n, about how many rows have it); rows of hot keys meet in many tasks.
+
+    Only hot keys are sent to all tasks: those with more than one of HOT_SHARE parts of all rows.
+    """
+    most = max(LEAST_HOT, (keys.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    salts = F.ceil(F.col("n") / most).cast("long")
+    hot = F.broadcast(keys.filter(F.col("n") > most).select(*on, salts.alias("salts")))
+    dealt = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    rows = rows.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
+    return rows.join(dealt, [*on, "salt"]).drop("salt")
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,37 +277,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(total[until] - total[place]), pa.array(n_open[until] - n_open[place]), pa.array(kept, pa.binary())], names)
 
 
-def drop_repeats(docs: DataFrame, batches: int = 4, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def drop_repeats(docs: DataFrame, batches: int = 4, most_windows: int = MOST_WINDOWS, segment: int = SEGMENT) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes."""
     spark = docs.sparkSession
-    at = f"{ensure_checkpoint_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+    at = scratch(spark, "suffixes")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    suffixes = docs.select("key", "text").mapInArrow(_suffixes, "gram long, key long, first long, last long, under long")
-    suffixes.write.parquet(f"{at}/all")
-    suffixes = spark.read.parquet(f"{at}/all")
+    suffixes = docs.select("key", "text").mapInArrow(_suffixes(segment), "gram long, key long, first long, last long, under long")
+    suffixes = written(suffixes, f"{at}/all")
     levels = SuffixLevels(spark)
     for b in range(batches):
         levels.add(suffixes.filter(F.pmod("key", F.lit(batches)) == b))
-    suffixes.join(levels.matched(), "gram").write.parquet(f"{at}/matched")
-    matched = spark.read.parquet(f"{at}/matched")
+    grams = written(levels.matched(), f"{at}/grams")
+    matched = written(_salted(suffixes, grams, ["gram"]), f"{at}/matched")
+    discard(spark, f"{at}/all", levels.path)
 
     runs = matched.groupBy("gram", "under").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("x"))
-    runs.select("gram", "under", "n", "x.key", "x.first", "x.last").write.parquet(f"{at}/runs")
-    runs = spark.read.parquet(f"{at}/runs")
-    whole = matched.join(runs.filter("n > 1").select("gram", "under"), ["gram", "under"]).select("key", F.col("first").alias("from"), F.col("last").alias("to"))
+    runs = written(runs.select("gram", "under", "n", "x.key", "x.first", "x.last"), f"{at}/runs")
+    several = runs.filter("n > 1").select("gram", "under", "n")
+    whole = _salted(matched, several, ["gram", "under"]).select("key", F.col("first").alias("from"), F.col("last").alias("to"))
     unlike = runs.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
     asked = runs.join(unlike, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "first", "last", (F.col("n") > 1).alias("many"))).alias("asked"))
     hashed = docs.select("key", "text").join(asked, "key").dropDuplicates(["key"]).select("key", "text", "asked")
     hashed = hashed.mapInArrow(_window_hashes, "gram long, key long, first long, many boolean, hashes binary")
     settled = hashed.repartition("gram").sortWithinPartitions("gram").mapInArrow(_settle(most_windows), "key long, from long, to long, many boolean, hashes binary")
-    settled.write.parquet(f"{at}/settled")
-    settled = spark.read.schema("key long, from long, to long, many boolean, hashes binary").parquet(f"{at}/settled")
+    settled = written(settled, f"{at}/settled")
 
     single = settled.filter("hashes IS NOT NULL").mapInArrow(_single_windows, "hash long, key long, start long, many boolean, sent boolean")
     often = single.filter("sent").groupBy("hash").agg((F.count("*") > 1).alias("twice"), F.max("many").alias("many")).filter("twice OR many").select("hash")
     flooded = single.join(often, "hash").select("key", "start").mapInArrow(_runs_of_windows, "key long, from long, to long, many boolean, hashes binary")
     spans = whole.unionByName(settled.filter("hashes IS NULL").select("key", "from", "to")).unionByName(flooded.select("key", "from", "to"))
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = written(spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans")), f"{at}-spans")
+    discard(spark, at)
     kind = "array<struct<from:bigint,to:bigint>>"
-    rows = docs.join(spans, "key", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    # One plan at every size: a small table of spans would be sent to all tasks, a large one not.
+    rows = docs.join(spans.hint("merge"), "key", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
     return rows.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")

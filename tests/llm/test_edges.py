@@ -166,6 +166,34 @@ def test_substrings_against_brute_force(spark, empty):
     assert substrings.drop_repeats(empty).count() == 0
 
 
+def passages(seed=4, n=300):
+    """Documents of their own words, with passages of 60 to 600 bytes from a small pool, copies and periodic stretches."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}é"[: 2 + k % 5] for k in range(400)]
+    text = lambda k: " ".join(rng.choice(words, k))
+    pool = [text(int(k)) for k in rng.integers(15, 140, 8)]
+    out = []
+    for i in range(n):
+        parts = [text(int(rng.integers(0, 60))) for _ in range(3)]
+        for _ in range(int(rng.integers(0, 3))):
+            p = pool[int(rng.integers(0, len(pool)))]
+            cut = int(rng.integers(0, len(p) // 3))
+            parts.insert(int(rng.integers(0, 4)), p[cut : len(p) - int(rng.integers(0, cut + 1))])
+        if i % 25 == 0:
+            parts.append("ab " * int(rng.integers(0, 200)))
+        out.append((i, " ".join(parts) if i % 11 else out[i - 3][1] if i > 3 else None))
+    return out
+
+
+@pytest.mark.parametrize(("segment", "most_windows", "hot"), [(8 << 20, 2 << 20, 5_000), (700, 2 << 20, 1), (8 << 20, 50, 3), (300, 1, 2)])
+def test_repeated_passages_against_brute_force(spark, monkeypatch, segment, most_windows, hot):
+    """Long texts in segments, too common suffixes window by window, and hot keys in parts."""
+    monkeypatch.setattr(substrings, "LEAST_HOT", hot)
+    docs = passages()
+    got = substrings.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), most_windows=most_windows, segment=segment).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == brute_removed(docs)
+
+
 def test_vectors(spark):
     v = np.random.default_rng(1).normal(size=(6, 8))
     near = (v[0] + 0.001).tolist()
