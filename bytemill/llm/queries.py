@@ -66,7 +66,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = F.transform(F.concat("base", "added"), lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     rows = rows.withColumn("spans", F.array_sort(placed))
-    return rows.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return rows.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
