@@ -32,20 +32,30 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     """One row for each source: rank, number of documents, size and target in words.
 
     The sources share ``share`` times all words by weight; a target over ``most`` times its source's size stops there
-    and the excess is shared again by weight. That fixed point is min(most * size, level * weight) with one level for
-    all: the first source, by size over weight, that the words left over do not fill decides it.
+    and the excess is shared again by weight, until none is above: targets are min(most * size, level * weight), and
+    each round raises the level by what the sources that stop leave over. Sources are ranked by ranges, so no task holds
+    them all, however many there are.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    ranked = by_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).withColumn("last", F.col("source").isNull())
+    ordered = by_source.repartitionByRange("last", "source").sortWithinPartitions("last", "source").withColumn("part", F.spark_partition_id())
+    ordered = checkpointed(ordered)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("last", "source"))
+    ranked = ordered.join(parts, "part").withColumn("rank", F.col("before") + local)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = ranked.withColumns({"w": weight, "cap": most * F.col("source_size").cast("double")}).withColumn("fill", F.col("cap") / F.col("w"))
-    before = Window.orderBy("fill", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("fill", "rank").rowsBetween(0, Window.unboundedFollowing)
-    total = share * F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)
-    rows = rows.withColumn("level", level)
-    rows = rows.withColumn("level", F.min(F.when(F.col("fill") >= F.col("level"), F.struct("fill", "rank", "level"))).over(Window.partitionBy())["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w")))
+    rows = checkpointed(ranked.select("source", "rank", "n_docs", "source_size", weight.alias("w"), (most * F.col("source_size").cast("double")).alias("cap")))
+    words, open_ = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    total, stopped, level = share * (words or 0), -1, None
+    left = total
+    while open_:
+        level = left / open_
+        stops = F.col("cap") <= level * F.col("w")
+        n, filled, open_ = rows.agg(F.count_if(stops), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("w")))).first()
+        if n == stopped:
+            break
+        stopped, left = n, total - (filled or 0.0)
+    target = F.least("cap", F.lit(level) * F.col("w")) if open_ else F.col("cap")
     return rows.select("source", "rank", "n_docs", "source_size", target.alias("target"))
 
 

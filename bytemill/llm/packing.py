@@ -4,7 +4,9 @@ Texts become byte-level BPE ids with an end mark. A document longer than a row i
 with its place in the document, so nothing is lost. Within a window of a partition (WINDOW ids) the pieces are placed
 longest first, each into the row whose free space fits best; a segment tree over free spaces finds it. A row holds the
 ids and the position of each id in its piece (both packed little-endian, 2 bytes where the vocabulary allows, else 4),
-the cumulative lengths of its pieces, and the pieces' documents and places. No shuffle: any partitioning packs all ids.
+the cumulative lengths of its pieces, and the pieces' documents and places. No shuffle: any partitioning packs all ids,
+but which pieces share a row, and how many rows there are, depends on it: small partitions fill their last rows less.
+A very long text is held by one task with its ids.
 
 Null and empty texts are one end mark. Rows that repeat a document are packed again. Special tokens' strings are plain
 text. An empty table gives an empty result.

@@ -138,6 +138,46 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert mixing.repeat_to_mix(odd).columns == odd.columns
 
 
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Targets shared and shared again by weight, source by source."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    stopped, left = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in stopped]
+        level = left / sum(w[s] for s in open_) if open_ else 0
+        over = [s for s in open_ if level * w[s] >= most * sizes[s]]
+        if not over:
+            return {s: stopped.get(s, level * w[s]) for s in order}
+        for s in over:
+            stopped[s] = most * sizes[s]
+            left -= stopped[s]
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(2)
+    names = [f"{chr(97 + k % 26)}{k}" for k in range(57)] + ["Z", "é", "", "😀", None]
+    rows = [(n, int(x)) for n in names for x in (rng.pareto(0.7, 3) * 20).clip(0, 10**6)] + [("empty", 0)]
+    got = {r.source: r for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(5)).collect()}
+    sizes = {}
+    for n, x in rows:
+        sizes[n] = sizes.get(n, 0) + x
+    want = plain_targets(sizes)
+    assert set(got) == set(want) and all(got[n].target == pytest.approx(want[n]) and got[n].source_size == sizes[n] for n in want)
+    assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_ablation_against_single_rows(spark):
+    rows = quality.ledger(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text"))
+    bits = [r.fail_bits for r in rows.collect()]
+    for policy, rules in quality.POLICIES.items():
+        mask = quality.mask(rules)
+        for r in quality.ablation(rows, policy).collect():
+            bit = 1 << quality.BITS[r.rule]
+            own = [b & mask for b in bits]
+            assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(b & bit > 0 for b in own), own.count(bit), sum(b & ~bit == 0 for b in own))
+
+
 def brute_removed(docs):
     seen = {}
     raw = [(i, (t or "").encode()) for i, t in docs]
