@@ -1,3 +1,3 @@
 """All operators; importing the package registers their queries."""
 
-from . import fusion, history, listing, metrics, profile, records, tables, verification  # noqa: F401
+from . import datasets, fusion, history, listing, metrics, profile, records, tables, verification  # noqa: F401

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -77,7 +78,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each dump or listing in the ZIP archives under a path, and ``duplicate`` for all but the first of a name and kind.
 
-    An archive is read by one task, an entry at a time. Folders, other suffixes and paths with .. are left out.
+    An archive is read by one task, an entry at a time; it must be below 2 GB, the most that one value holds. Folders, other suffixes and paths with .. are left out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     schema = "archive string, place long, entry string, sample_id string, kind string, file_size long, compress_size long, content binary"
@@ -125,33 +126,58 @@ def write_samples(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").partitionBy("split", "class").parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, bom: bool = False, order: tuple[str, ...] = ()) -> None:
+    """CSV with a header; with ``bom`` every file begins with a byte-order mark; with ``order`` files follow each other in that order."""
+    if order:
+        rows = rows.orderBy(*order)
+    if bom and rows.columns:
+        rows = rows.withColumnRenamed(rows.columns[0], f"\ufeff{rows.columns[0]}")
     rows.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def publish(rows: DataFrame, path: str, least_rows: int = 1) -> int:
-    """Write beside the target, read back and count, then move into place; the old table stays until then."""
+def inventory(spark: SparkSession, path: str, suffix: str) -> tuple[DataFrame, int]:
+    """The paths below a folder (relative to it) of files with a suffix, and how many other files there are; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    root = _path(spark, path)[1].makeQualified(_path(spark, path)[0]).toString().rstrip("/")
+    rows = files.select(F.substring("path", len(root) + 2, 1 << 20).alias("path"))
+    good = F.lower("path").endswith(suffix)
+    return rows.filter(good), rows.filter(~good).count()
+
+
+def write_run(path: str, config: Mapping[str, object], history: DataFrame, metrics: Mapping[str, object]) -> None:
+    """A run's settings, history (Parquet and CSV) and metrics in a new folder; one that is there raises."""
+    spark = history.sparkSession
+    target, fs = _path(spark, path)
+    if fs.exists(target):
+        raise ValueError(f"{path} is there already")
+    write_report(spark, config, f"{path}/config.json")
+    history.write.parquet(f"{path}/history")
+    write_csv(history, f"{path}/history_csv", order=("epoch",))
+    write_report(spark, metrics, f"{path}/metrics.json")
+
+
+def publish(rows: DataFrame, path: str, least_rows: int = 1, check: Callable[[DataFrame], bool] | None = None) -> int:
+    """A new version of a published table: written beside the others, read back, counted and checked, then named the
+    current one by replacing a small file at once. Readers of ``read_published`` see the old version or the new one."""
     spark = rows.sparkSession
-    staging, old = f"{path}.staging", f"{path}.old"
-    rows.write.mode("overwrite").parquet(staging)
-    n = spark.read.parquet(staging).count()
-    if n < least_rows:
-        raise ValueError(f"{n} rows written, at least {least_rows} expected")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop.Path(old), True)
-    had = fs.exists(target)
-    if had and not fs.rename(target, hadoop.Path(old)):
-        raise OSError(f"{path} can't be moved")
-    if not fs.rename(hadoop.Path(staging), target):
-        if had:
-            fs.rename(hadoop.Path(old), target)
-        raise OSError(f"{staging} can't be moved")
-    fs.delete(hadoop.Path(old), True)
+    version = uuid.uuid4().hex
+    at = f"{path}/versions/{version}"
+    rows.write.mode("errorifexists").parquet(at)
+    staged = spark.read.parquet(at)
+    n = staged.count()
+    if n < least_rows or (check is not None and not check(staged)):
+        where, fs = _path(spark, at)
+        fs.delete(where, True)
+        raise ValueError(f"{n} rows written (at least {least_rows} expected), or the check failed")
+    write_report(spark, {"version": version, "rows": n}, f"{path}/current.json")
     return n
 
 
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table."""
+    return spark.read.parquet(f"{path}/versions/{read_report(spark, f'{path}/current.json')['version']}")
+
+
 def write_features(path: str, tables: Mapping[str, DataFrame], summary: Mapping[str, object]) -> None:
     """A feature set: one Parquet table for each part (samples, sequences, entropy, ngram_1 ..., vocabularies) and its summary."""
     for name, rows in tables.items():
@@ -179,17 +205,17 @@ def _path(spark: SparkSession, path: str):
 def write_report(spark: SparkSession, report: Mapping[str, object], path: str) -> None:
     """A small JSON report, written beside its place and moved there at once."""
     text = json.dumps(report, ensure_ascii=False, indent=1)
-    target, fs = _path(spark, path)
-    staged, _ = _path(spark, f"{path}.staged")
+    staged, fs = _path(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(staged, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"{path} can't be written")
+    sc = spark.sparkContext
+    options = sc._jvm.org.apache.hadoop.fs.Options.Rename
+    over = sc._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), sc._jsc.hadoopConfiguration()).rename(staged, _path(spark, path)[0], over)
 
 
 def read_report(spark: SparkSession, path: str) -> dict:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from bytemill.functions import bytestats, ranking
 from bytemill.functions.bytestats import Samples, from_values
 from bytemill.functions.hexdump import fixed_length, parse
-from bytemill.operators import fusion, history, listing, metrics, profile, records, tables, verification
-from bytemill.sources import files
+from bytemill.operators import datasets, fusion, history, listing, metrics, profile, records, tables, verification
+from bytemill.sources import config, files
 from bytemill.streaming import ingest
 
 DUMP = "10000000 7F 45 4C 46\n10000004 ?? xx 1\n10000008 C3"
@@ -181,7 +181,9 @@ def test_csv_and_publish(spark, tmp_path):
     assert files.publish(spark.range(3), at) == 3 and files.publish(spark.range(5), at) == 5
     with pytest.raises(ValueError):
         files.publish(spark.range(0), at)
-    assert spark.read.parquet(at).count() == 5
+    with pytest.raises(ValueError):
+        files.publish(spark.range(9), at, check=lambda t: t.count() < 9)
+    assert files.read_published(spark, at).count() == 5
 
 
 def test_uploads_are_appended_once(spark, tmp_path):
@@ -244,3 +246,40 @@ def test_sound_manifests_pass(spark):
     assert records.compare_records(rows, rows).filter("n > 0").count() == 0
     with pytest.raises(ValueError):
         records.dataset_invariants(rows.drop("split"))
+
+
+def test_settings():
+    got = config.load_config('{"top_k": 4, "paths": {"out": "x"}}', {"top_k": 9, "paths.out": "y", "seed": None})
+    assert got == {"top_k": 9, "paths": {"out": "y"}}
+    assert [config.resolve_path(p, "/a/b") for p in ("c\\d", "/x", "hdfs://h/x")] == ["/a/b/c/d", "/x", "hdfs://h/x"]
+    assert config.top_k_setting([5], (1, 2)) == 5 and config.top_k_setting([5, 6], (1, 2)) == {1: 5, 2: 6}
+    assert [config.resolve_top_k(s, 1, 256) for s in (None, 0, 300, 7, {"1": 8}, {2: 3})] == [256, 256, 256, 7, 8, 256]
+    assert config.resolve_top_k(None, 2, 65536) == 1024
+    with pytest.raises(ValueError):
+        config.load_config("[]")
+    with pytest.raises(ValueError):
+        config.top_k_setting([1, 2, 3], (1, 2))
+
+
+def test_runs_inventories_and_marks(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 0.5), (1, 0.25)], "epoch int, f1 double")
+    at = str(tmp_path / "run")
+    files.write_run(at, {"epochs": 2}, rows, {"best": 0.5})
+    assert files.read_report(spark, f"{at}/metrics.json") == {"best": 0.5}
+    with pytest.raises(ValueError):
+        files.write_run(at, {}, rows, {})
+    files.write_csv(rows.coalesce(1), str(tmp_path / "bom"), bom=True)
+    assert next((tmp_path / "bom").glob("*.csv")).read_bytes().startswith("\ufeffepoch".encode())
+    assert [tuple(r) for r in files.read_rows(spark, str(tmp_path / "bom")).orderBy("epoch").collect()] == [("1", "0.25"), ("2", "0.5")]
+    for name in ("train/a.png", "val/B.PNG", "val/notes.txt"):
+        (tmp_path / "images" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "images" / name).write_text("x")
+    found, others = files.inventory(spark, str(tmp_path / "images"), ".png")
+    assert sorted(r.path for r in found.collect()) == ["train/a.png", "val/B.PNG"] and others == 1
+
+
+def test_vectors_of_another_size_raise(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<double>")
+    assert rows.limit(1).select(datasets.fixed_size(F.col("v"), 2).alias("v")).first().v == [1.0, 2.0]
+    with pytest.raises(Exception, match="is expected, not of"):
+        rows.select(datasets.fixed_size(F.col("v"), 3)).collect()
