@@ -474,7 +474,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_TOKENS)).alias("parts"))
     schema = "a long, b long, id long, block long, n long, typical double, tokens binary"
     dealt = members.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("key")
-    small = written(dealt.groupBy("block", "part").applyInArrow(_small_blocks, schema), f"{at}/blocks")
+    # By both columns: dealt by block alone, as after the join, all parts of a large block would meet in one task.
+    small = written(dealt.repartition("block", "part").groupBy("block", "part").applyInArrow(_small_blocks, schema), f"{at}/blocks")
 
     # Blocks larger than a tile: first their most typical member with all others, then tiles.
     members = small.filter("id IS NOT NULL").drop("a", "b")
