@@ -63,6 +63,12 @@ def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def plain_text(batch: pa.RecordBatch) -> Bytes:
+    """The bytes of a text column, all of them known."""
+    data, offs = binary_column(batch.column("text"))
+    return data, np.ones(len(data), bool), offs
+
+
 def from_values(name: str = "values") -> Callable[[pa.RecordBatch], Bytes]:
     """Reads an array-of-int column whose null elements are unknown bytes."""
 

@@ -28,11 +28,6 @@ _STRIP_ADDRESS = r"(?m)^[0-9a-fA-F]{8}[ \t]+"
 _HEX = r"^[0-9a-fA-F]{2}$"
 
 
-def hex_pairs(text: Column) -> Column:
-    """The two-digit hex tokens of a text's UTF-8 bytes (or of a binary)."""
-    return F.regexp_extract_all(F.hex(text), F.lit("(..)"), F.lit(1))
-
-
 def byte_value(pair: Column) -> Column:
     return F.conv(pair, 16, 10).cast("int")
 
@@ -85,17 +80,6 @@ def parse(text: Column, dialect: str) -> Column:
     return let(tokens(text, dialect), read)
 
 
-def render(pairs: Column, first_address: int = 0x401000, width: int = 16) -> Column:
-    """Dump text of tokens: ``width`` to a line, each line with its address."""
-
-    def lines(t: Column) -> Column:
-        starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
-        line = lambda i: F.concat(F.lpad(F.hex(i + first_address), 8, "0"), F.lit(" "), F.array_join(F.slice(t, i + 1, F.lit(width)), " "))
-        return F.array_join(F.transform(starts, line), "\n")
-
-    return let(pairs, lines)
-
-
 def fixed_length(values: Column, length: int, pad: int = 0, keep: str = "head") -> Column:
     """Truncate or pad to ``length``: a struct of values, mask (known or padded: 1 or 0), n_truncated, n_padded.
 

@@ -11,20 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytestats import Bytes, Samples, binary_column, owners
+from .bytestats import Bytes, Samples, binary_column, owners, plain_text
 from .ranking import ranked
 
 CLASSES = 9
 
 
-def unknown_at(doc_id: Column, p: Column) -> Column:
-    return (doc_id * 31 + p) % 17 == 0
-
-
-def invalid_at(doc_id: Column, p: Column) -> Column:
-    return (doc_id * 31 + p) % 97 == 1
-
-
 def sample_class(doc_id: str = "doc_id") -> Column:
     return (F.pmod(F.col(doc_id), F.lit(CLASSES)) + 1).cast("int")
 
@@ -42,15 +34,10 @@ def _hidden(batch: pa.RecordBatch) -> Bytes:
     return np.where(known, data, 0).astype(np.uint8), known, offs
 
 
-def _plain(batch: pa.RecordBatch) -> Bytes:
-    data, offs = binary_column(batch.column("text"))
-    return data, np.ones(len(data), bool), offs
-
-
 def samples(spark: SparkSession, sf_dir: str, hidden: bool = True) -> Samples:
     """The documents' bytes by doc_id and class; ``hidden`` ones are unknown."""
     rows = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"), "text")
-    return Samples(rows, _hidden if hidden else _plain, "text", ("doc_id", "class"))
+    return Samples(rows, _hidden if hidden else plain_text, "text", ("doc_id", "class"))
 
 
 def splits(spark: SparkSession, sf_dir: str, seed: str = "42") -> DataFrame:

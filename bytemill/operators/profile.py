@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytestats
 from ..functions.bytestats import Samples
-from ..functions.hexdump import DIALECTS, hex_pairs, parse, render
-from ..functions.standins import SQL_BYTES, documents, invalid_at, samples, unknown_at
+from ..functions.hexdump import DIALECTS, parse
+from ..functions.standins import SQL_BYTES, documents, samples
 from ..plans.catalog import query
 
 #: The reference settings: values of a sequence, grams of a vocabulary by n.
@@ -62,14 +65,25 @@ def byte_class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(samples(spark, sf_dir)).select("doc_id", *(F.round(c, 9).alias(c) for c in ratios))
 
 
-def _dump_tokens(text: Column) -> Column:
-    id_ = F.col("doc_id")
-    return F.transform(hex_pairs(F.coalesce(text, F.lit(""))), lambda h, p: F.when(unknown_at(id_, p), "??").when(invalid_at(id_, p), "zz").otherwise(h))
-
-
 def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the dump text of each document, with unknown and invalid tokens."""
-    return documents(spark, sf_dir).select("doc_id", render(_dump_tokens(F.col("text"))).alias("dump"))
+    """doc_id and the dump text of each document, with unknown (``??``) and invalid (``zz``) tokens."""
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(_render, "doc_id long, dump string")
+
+
+def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digits = np.frombuffer(b"0123456789ABCDEF", np.uint8)
+    for batch, data, known, offs in bytestats.slices(batches, bytestats.plain_text, "text"):
+        row = bytestats.owners(offs)
+        place = batch.column("doc_id").to_numpy()[row] * 31 + np.arange(len(data)) - offs[row]
+        cells = np.full((len(data), 3), 32, np.uint8)
+        cells[:, 0], cells[:, 1] = digits[data >> 4], digits[data & 15]
+        cells[place % 97 == 1, :2] = ord("z")
+        cells[place % 17 == 0, :2] = ord("?")
+        text = []
+        for a, b in zip(offs[:-1], offs[1:], strict=True):
+            lines = (f"{0x401000 + at - a:08X} {cells[at : min(at + 16, b)].tobytes()[:-1].decode()}" for at in range(a, b, 16))
+            text.append("\n".join(lines))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "dump"])
 
 
 _COUNTS = f"""WITH {SQL_BYTES}, c AS (SELECT d.doc_id, count(b.p) AS n, count(*) FILTER ((b.doc_id * 31 + p) % 17 = 0) AS u,
