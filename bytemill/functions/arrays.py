@@ -1,4 +1,4 @@
-"""Array helpers that keep one evaluation for each array, however often a lambda refers to it."""
+"""An array helper that keeps one evaluation of a value, however often a lambda refers to it."""
 
 from __future__ import annotations
 
@@ -11,8 +11,3 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once; a plain expression inside a lambda is computed for each element."""
     return F.transform(F.array(value), body)[0]
-
-
-def present(values: Column) -> Column:
-    """The number of elements that are not null."""
-    return F.size(F.filter(values, lambda x: x.isNotNull()))

@@ -17,67 +17,93 @@ Tokens are two characters of 0-9, A-F, a-f; looser spellings that a general inte
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import let
+from .bytestats import binary_column
 
 DIALECTS = ("profile", "extract", "train", "serve", "image")
-_ADDRESS = r"^[0-9a-fA-F]{8}$"
-_STRIP_ADDRESS = r"(?m)^[0-9a-fA-F]{8}[ \t]+"
-_HEX = r"^[0-9a-fA-F]{2}$"
-
-
-def byte_value(pair: Column) -> Column:
-    return F.conv(pair, 16, 10).cast("int")
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
-
-
-def _tokens_without_address(text: Column) -> Column:
-    """Tokens line by line; a leading 8-digit hex token is an address."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), _words)
-    return F.flatten(F.transform(lines, lambda t: F.when(F.coalesce(F.get(t, F.lit(0)).rlike(_ADDRESS), F.lit(False)), F.slice(t, F.lit(2), F.size(t))).otherwise(t)))
-
-
-def _pairs(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(..?)"), F.lit(1))
-
-
-def tokens(text: Column, dialect: str) -> Column:
-    """The tokens of a dump, invalid ones included."""
-    if dialect not in DIALECTS:
-        raise ValueError(f"unknown dialect {dialect!r}: choose from {DIALECTS}")
-    if dialect in ("extract", "train", "serve"):
-        return _tokens_without_address(text)
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), _STRIP_ADDRESS, "")
-    if dialect == "image":
-        return let(F.regexp_replace(bare, r"\s+", ""), _pairs)
-    solid = F.regexp_replace(bare, r"\s+", "")
-    all_hex = solid.rlike(r"^(?:[0-9a-fA-F]{2}|\?\?)*$")
-    return F.when(all_hex, _pairs(solid)).otherwise(_words(bare))
-
-
-def parse(text: Column, dialect: str) -> Column:
-    """A struct of a dump: ``values`` (array of int, null where unknown), n_total, n_known, n_unknown, n_invalid, rejected.
-
-    n_total counts the values' array; dropped tokens are not in it.
+_BY_LINE = ("extract", "train", "serve")
+PARSED = "struct<values:array<int>,n_total:int,n_known:int,n_unknown:int,n_invalid:int,rejected:boolean>"
+# What an address looks like, and what stands for an unknown byte.
+_ADDRESS = re.compile(rb"[0-9a-fA-F]{8}")
+_STRIP_ADDRESS = re.compile(rb"(?m)^[0-9a-fA-F]{8}[ \t]+")
+_SOLID = re.compile(rb"(?:[0-9a-fA-F]{2}|\?\?)*")
+UNKNOWN, INVALID = -1, -2
+_CODES = {f"{a}{b}".encode(): int(a + b, 16) for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF"} | {b"??": UNKNOWN}
+_PAIRS = np.full(1 << 16, INVALID, np.int16)
+for _pair, _code in _CODES.items():
+    _PAIRS[_pair[0] << 8 | _pair[1]] = _code
+
+
+def _pairs(solid: bytes) -> np.ndarray:
+    """Codes of a text without white space, two characters at a time; an odd last one is invalid."""
+    two = np.frombuffer(solid[: len(solid) // 2 * 2], np.uint8).reshape(-1, 2).astype(np.int64)
+    codes = _PAIRS[two[:, 0] << 8 | two[:, 1]]
+    return np.append(codes, np.int16(INVALID)) if len(solid) % 2 else codes
+
+
+def token_codes(raw: bytes, dialect: str) -> np.ndarray:
+    """A dump's tokens as byte values, UNKNOWN or INVALID."""
+    raw = raw.replace(b"\r\n", b"\n")
+    if dialect in _BY_LINE:
+        tokens: list[bytes] = []
+        for line in raw.split(b"\n"):
+            words = line.split()
+            if words and _ADDRESS.fullmatch(words[0]):
+                words = words[1:]
+            tokens += words
+    else:
+        words = _STRIP_ADDRESS.sub(b"", raw).split()
+        solid = b"".join(words)
+        if dialect == "image" or _SOLID.fullmatch(solid):
+            return _pairs(solid)
+        tokens = words
+    return np.fromiter((_CODES.get(t, INVALID) for t in tokens), np.int16, len(tokens))
+
+
+def _parsed(column: pa.Array, dialect: str) -> pa.StructArray:
+    data, offs = binary_column(column)
+    raw = data.tobytes()
+    kept, counts = [], np.zeros((len(offs) - 1, 5), np.int32)
+    rejected = np.zeros(len(offs) - 1, bool)
+    for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
+        codes = token_codes(raw[a:b], dialect)
+        unknown, invalid = int((codes == UNKNOWN).sum()), int((codes == INVALID).sum())
+        known = len(codes) - unknown - invalid
+        rejected[i] = {"train": invalid > 0 or not known, "serve": invalid > 0 or not len(codes), "image": invalid > 0 or not len(codes)}.get(dialect, False)
+        codes = codes[codes != INVALID] if dialect == "profile" else codes
+        kept.append(codes)
+        counts[i, :4] = len(codes), known, unknown, invalid
+    flat = np.concatenate([np.zeros(0, np.int16), *kept]).astype(np.int32)
+    bounds = pa.array(np.concatenate([[0], np.cumsum(counts[:, 0])]), pa.int32())
+    values = pa.ListArray.from_arrays(bounds, pa.array(flat, mask=flat < 0))
+    return pa.StructArray.from_arrays([values, *(pa.array(counts[:, k]) for k in range(4)), pa.array(rejected)], ["values", "n_total", "n_known", "n_unknown", "n_invalid", "rejected"])
+
+
+def with_parsed(rows: DataFrame, text: str, dialects: Mapping[str, str]) -> DataFrame:
+    """``rows`` with a struct for each of ``dialects`` (name of the column: dialect), from a text or binary column.
+
+    A struct holds ``values`` (array of int, null where unknown), n_total (its length; dropped tokens are not in it),
+    n_known, n_unknown, n_invalid and rejected. A null text is an empty one.
     """
+    for d in dialects.values():
+        if d not in DIALECTS:
+            raise ValueError(f"unknown dialect {d!r}: choose from {DIALECTS}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = {name: _parsed(batch.column(text), d) for name, d in dialects.items()}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
 
-    def read(t: Column) -> Column:
-        valid = lambda x: x.rlike(_HEX) | (x == "??")
-        invalid = F.size(F.filter(t, lambda x: ~valid(x)))
-        kept = F.filter(t, valid) if dialect == "profile" else t
-        values = F.transform(kept, lambda x: F.when(x.rlike(_HEX), byte_value(x)))
-        known, unknown = (F.size(F.filter(t, p)) for p in (lambda x: x.rlike(_HEX), lambda x: x == "??"))
-        rejected = {"profile": F.lit(False), "extract": F.lit(False), "train": (invalid > 0) | (known == 0), "serve": (invalid > 0) | (F.size(t) == 0), "image": (invalid > 0) | (F.size(t) == 0)}[dialect]
-        return F.struct(
-            values.alias("values"), F.size(kept).alias("n_total"), known.alias("n_known"), unknown.alias("n_unknown"), invalid.alias("n_invalid"), rejected.alias("rejected")
-        )
-
-    return let(tokens(text, dialect), read)
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join([*own, *(f"`{name}` {PARSED}" for name in dialects)]))
 
 
 def fixed_length(values: Column, length: int, pad: int = 0, keep: str = "head") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hexdump import parse
+from ..functions.hexdump import with_parsed
 from ..functions.ranking import ranked
 from ..functions.standins import SQL_BYTES, SQL_SPLITS, documents, splits
 from ..plans.catalog import query, table
@@ -78,7 +78,7 @@ def source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_expected(rows: DataFrame, dump: str, expected: Mapping[str, str]) -> DataFrame:
     """Dumps parsed by the image dialect, and whether their counts are those that a manifest expects (name of the count: its column)."""
-    out = rows.withColumn("parsed", parse(F.col(dump), "image"))
+    out = with_parsed(rows, dump, {"parsed": "image"})
     same = [F.col(f"parsed.{count}") == F.col(column) for count, column in expected.items()]
     ok = ~F.col("parsed.rejected")
     for s in same:

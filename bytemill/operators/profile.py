@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytestats
 from ..functions.bytestats import Samples
-from ..functions.hexdump import DIALECTS, parse
+from ..functions.hexdump import DIALECTS, with_parsed
 from ..functions.standins import SQL_BYTES, documents, samples
 from ..plans.catalog import query
 
@@ -93,7 +93,7 @@ count(*) FILTER ((b.doc_id * 31 + p) % 17 <> 0 AND (b.doc_id * 31 + p) % 97 = 1)
 @query("token_counters", f"""{_COUNTS} SELECT doc_id, n::INT AS n_total, (n - u - i)::INT AS n_known, u::INT AS n_unknown, i::INT AS n_invalid,
 round(CASE WHEN n = 0 THEN 0 ELSE u / n END, 9) AS unknown_ratio FROM c""")
 def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dumps(spark, sf_dir).select("doc_id", parse(F.col("dump"), "extract").alias("x")).select("doc_id", "x.n_total", "x.n_known", "x.n_unknown", "x.n_invalid")
+    rows = with_parsed(dumps(spark, sf_dir), "dump", {"x": "extract"}).select("doc_id", "x.n_total", "x.n_known", "x.n_unknown", "x.n_invalid")
     return rows.withColumn("unknown_ratio", F.round(F.coalesce(F.try_divide("n_unknown", "n_total"), F.lit(0.0)), 9))
 
 
@@ -101,8 +101,10 @@ def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, dialect, (CASE WHEN dialect = 'profile' THEN n - i ELSE n END)::INT AS n_total, (n - u - i)::INT AS n_known, i::INT AS n_invalid,
 CASE dialect WHEN 'train' THEN i > 0 OR n - u - i = 0 WHEN 'serve' THEN i > 0 OR n = 0 WHEN 'image' THEN i > 0 OR n = 0 ELSE false END AS rejected FROM c, k""")
 def token_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dumps(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("dialect"), parse(F.col("dump"), k).alias("x")) for k in DIALECTS))).alias("r"))
-    return rows.select("doc_id", "r.dialect", "r.x.n_total", "r.x.n_known", "r.x.n_invalid", "r.x.rejected")
+    """All dialects in one pass over the text."""
+    parsed = with_parsed(dumps(spark, sf_dir), "dump", {d: d for d in DIALECTS})
+    counts = [F.struct(F.lit(d).alias("dialect"), f"{d}.n_total", f"{d}.n_known", f"{d}.n_invalid", f"{d}.rejected") for d in DIALECTS]
+    return parsed.select("doc_id", F.explode(F.array(*counts)).alias("r")).select("doc_id", "r.*")
 
 
 def _sequence_sql(keep: str, n: int = LENGTH, pad: int = 0) -> str:

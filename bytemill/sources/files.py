@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hexdump import parse
+from ..functions.hexdump import with_parsed
 
 SUFFIXES = (".bytes", ".asm")
 
@@ -58,7 +58,8 @@ def read_dumps(spark: SparkSession, path: str, dialect: str = "extract", pattern
     """sample_id (file name without suffix), path, file_size and ``parsed`` of every dump file under a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    return files.select(name.alias("sample_id"), "path", F.col("length").alias("file_size"), parse(F.decode("content", "ISO-8859-1"), dialect).alias("parsed"))
+    rows = files.select(name.alias("sample_id"), "path", F.col("length").alias("file_size"), "content")
+    return with_parsed(rows, "content", {"parsed": dialect}).drop("content")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.hexdump import parse
+from ..functions.hexdump import with_parsed
 
 
 def uploads(spark: SparkSession, folder: str, dialect: str = "serve", files_per_batch: int = 1000) -> DataFrame:
@@ -14,7 +14,8 @@ def uploads(spark: SparkSession, folder: str, dialect: str = "serve", files_per_
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("sample_id"), F.col("modificationTime").alias("ts"), F.col("length").alias("file_size"), parse(F.decode("content", "ISO-8859-1"), dialect).alias("parsed"))
+    rows = files.select(name.alias("sample_id"), F.col("modificationTime").alias("ts"), F.col("length").alias("file_size"), "content")
+    return with_parsed(rows, "content", {"parsed": dialect}).drop("content")
 
 
 def append_history(stream: DataFrame, table_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

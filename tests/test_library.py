@@ -1,6 +1,7 @@
 """Literal cases of the parsing, sequence, n-gram, fusion, file and streaming operators."""
 
 import math
+import re
 import zipfile
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bytemill.functions import bytestats, ranking
 from bytemill.functions.bytestats import Samples, from_values
-from bytemill.functions.hexdump import fixed_length, parse
+from bytemill.functions.hexdump import fixed_length, with_parsed
 from bytemill.operators import datasets, fusion, history, listing, metrics, profile, records, tables, verification
 from bytemill.sources import config, files
 from bytemill.streaming import ingest
@@ -18,7 +19,7 @@ DUMP = "10000000 7F 45 4C 46\n10000004 ?? xx 1\n10000008 C3"
 
 
 def parsed(spark, text, dialect):
-    return spark.createDataFrame([(text,)], "t string").select(parse(F.col("t"), dialect).alias("x")).first().x
+    return with_parsed(spark.createDataFrame([(text,)], "t string"), "t", {"x": dialect}).first().x
 
 
 def as_samples(spark, *values):
@@ -42,6 +43,33 @@ def test_other_dialects(spark):
     assert parsed(spark, "0000FFFF 9090", "extract").n_invalid == 1
 
 
+@pytest.mark.parametrize("dialect", ["profile", "extract", "train", "serve", "image"])
+def test_dialects_against_plain_rules(spark, dialect):
+    """Random dumps of every kind of line, token and line end."""
+    rng = np.random.default_rng(3)
+    pieces = ["00401000 ", "0040100G ", "DEADBEEF\t", "4D", "5a ", "?? ", "??", " ", "\n", "\r\n", "\t", "zz ", "é ", "1", "4D5A90", " 4D\n", "\x0b"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(400)]
+    hexed = lambda t: bool(re.fullmatch("[0-9a-fA-F]{2}", t))
+    out = {r.t: r.x for r in with_parsed(spark.createDataFrame([(t,) for t in set(texts)], "t string"), "t", {"x": dialect}).collect()}
+    for t in texts:
+        if dialect in ("extract", "train", "serve"):
+            tokens = []
+            for line in t.replace("\r\n", "\n").split("\n"):
+                words = re.findall(r"[^ \t\r\x0b\x0c]+", line)
+                tokens += words[1:] if words and re.fullmatch("[0-9a-fA-F]{8}", words[0]) else words
+        else:
+            words = re.findall(r"[^ \t\r\n\x0b\x0c]+", re.sub(r"(?m)^[0-9a-fA-F]{8}[ \t]+", "", t.replace("\r\n", "\n")))
+            solid = "".join(words).encode().decode("latin-1")
+            pairs = [solid[i : i + 2] for i in range(0, len(solid), 2)]
+            tokens = pairs if dialect == "image" or all(hexed(p) or p == "??" for p in pairs) else words
+        good = [x for x in tokens if hexed(x) or x == "??"]
+        n_invalid, known = len(tokens) - len(good), sum(map(hexed, tokens))
+        kept = good if dialect == "profile" else tokens
+        assert out[t]["values"] == [int(x, 16) if hexed(x) else None for x in kept], t
+        assert (out[t].n_total, out[t].n_known, out[t].n_invalid) == (len(kept), known, n_invalid)
+        assert out[t].rejected == {"train": n_invalid > 0 or known == 0, "serve": n_invalid > 0 or not tokens, "image": n_invalid > 0 or not tokens}.get(dialect, False)
+
+
 @pytest.mark.parametrize("keep", ["head", "tail"])
 def test_sequences(spark, keep):
     """The kernel against the column expression, over short, exact, long and empty samples."""
