@@ -62,3 +62,44 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
+
+#: Damage by a table-driven CRC-32 (the table follows from its polynomial); then the cheapest edits from the end of each
+#: conversation: v0 .. v3 are (cost, audit) from each state of the pattern on.
+ORACLE_SQL["op12_conversation_repair"] = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) AS r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                             lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])), 4294967295) % 20 AS k FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM k WHERE k <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, left(role, 1) AS c, lag(left(role, 1)) OVER w || left(role, 1) AS two,
+             NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM (SELECT *, i > min(i) OVER (PARTITION BY conv_id, role, text) AS again FROM o)),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+             count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, n + 1 AS i, {'c': 0, 'a': ''} AS v0, {'c': 10, 'a': 'II'} AS v1, {'c': 5, 'a': 'I'} AS v2, {'c': 0, 'a': ''} AS v3 FROM n
+      UNION ALL
+      SELECT conv_id, i, list_min([b0, {'c': v2.c + 5, 'a': 'I' || v2.a}]), list_min([b1, {'c': v2.c + 5, 'a': 'I' || v2.a}]), v2, v3
+      FROM (SELECT conv_id, i, b0, b1, list_min([b2, {'c': b3.c + 5, 'a': 'I' || b3.a}]) AS v2, list_min([b3, {'c': b2.c + 5, 'a': 'I' || b2.a}]) AS v3
+        FROM (SELECT r.conv_id, r.i - 1 AS i,
+                list_min([{'c': v0.c + 2, 'a': 'D' || v0.a}, CASE WHEN NOT gone AND f.c = 's' THEN {'c': v1.c + more, 'a': 'K' || v1.a} WHEN NOT gone AND f.c = 'u' THEN {'c': v2.c + more, 'a': 'K' || v2.a} END,
+                          CASE WHEN NOT gone THEN {'c': v2.c + 1 + more, 'a': 'R' || v2.a} END]) AS b0,
+                list_min([{'c': v1.c + 2, 'a': 'D' || v1.a}, CASE WHEN NOT gone AND f.c = 'u' THEN {'c': v2.c + more, 'a': 'K' || v2.a} END, CASE WHEN NOT gone THEN {'c': v2.c + 1 + more, 'a': 'R' || v2.a} END]) AS b1,
+                list_min([{'c': v2.c + 2, 'a': 'D' || v2.a}, CASE WHEN NOT gone AND f.c = 'a' THEN {'c': v3.c + more, 'a': 'K' || v3.a} END, CASE WHEN NOT gone THEN {'c': v3.c + 1 + more, 'a': 'R' || v3.a} END]) AS b2,
+                list_min([{'c': v3.c + 2, 'a': 'D' || v3.a}, CASE WHEN NOT gone AND f.c = 'u' THEN {'c': v2.c + more, 'a': 'K' || v2.a} END, CASE WHEN NOT gone THEN {'c': v2.c + 1 + more, 'a': 'R' || v2.a} END]) AS b3
+              FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i - 1))),
+best AS (SELECT conv_id, v0.c AS cost, v0.a AS audit FROM r WHERE i = 1),
+letters AS (SELECT conv_id, p, substr(audit, p, 1) AS x FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best)),
+places AS (SELECT conv_id, p, x, count(*) FILTER (x <> 'I') OVER w AS i, count(*) FILTER (x <> 'D') OVER w AS nth, count(*) FILTER (x <> 'D') OVER (PARTITION BY conv_id) % 2 AS s
+           FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+lines AS (SELECT places.conv_id, p, CASE WHEN x = 'K' THEN role WHEN (nth - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END AS line
+          FROM places LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM places.conv_id AND f.i = places.i WHERE x <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS t FROM lines GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+     LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
