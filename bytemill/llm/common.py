@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folded(rows: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], parts: int = 16) -> DataFrame:
+    """One row from the partial results of all tasks: ``merge`` makes one of many, in ``parts`` tasks first, then in one."""
+    return rows.repartition(parts).mapInArrow(merge, rows.schema).repartition(1).mapInArrow(merge, rows.schema)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     sc = spark.sparkContext
@@ -80,12 +85,12 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iter
             at = to
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row number of every word of the texts ``data[offs[i]:offs[i + 1]]``."""
+def word_spans(data: np.ndarray, offs: np.ndarray, is_sep: np.ndarray = IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row number of every word of the texts ``data[offs[i]:offs[i + 1]]``, between bytes that ``is_sep`` marks."""
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    inside = ~IS_SEP[data]
+    inside = ~is_sep[data]
     edge = offs[(offs > 0) & (offs < n)]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]

@@ -32,14 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import block_hashes, pieces
+from .common import block_hashes, folded, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 LIMIT = 512
 #: Entries of a task's summary and of the broadcast table (16 bytes each); slots of a worker's own table (emptied when half full).
 KEPT, FREQUENT, WORKER_SLOTS = 8192, 1 << 16, 1 << 21
-#: Tasks that merge the first level of summaries.
-MERGERS = 64
 LETTER, DIGIT, OTHER, WHITE, SPACE, SPECIAL = range(1, 7)
 # The endings that an apostrophe at the beginning of a pre-token takes with it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -293,8 +291,7 @@ def _merged(most: int):
 def frequent_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = FREQUENT, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and token counts of pre-tokens that stand often in all texts; 12 bytes each, ``most`` at most."""
     made = docs.select("text").mapInArrow(_summed(vocabulary, kept), _SUMMARY)
-    some = made.repartition(MERGERS).mapInArrow(_merged(most), _SUMMARY)
-    row = some.repartition(1).mapInArrow(_merged(most), _SUMMARY).first()
+    row = folded(made, _merged(most)).first()
     return (np.frombuffer(row.hashes, "<u8"), np.frombuffer(row.lengths, "<u4")) if row else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
 
 
