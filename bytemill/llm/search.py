@@ -31,7 +31,7 @@ from .common import block_hashes, discard, folded, lowered, pieces, scratch, wor
 
 K = 20
 #: Documents of a cluster; terms and documents of a block, at about which it is closed; steps of a bisection.
-CLUSTER, BLOCK_TERMS, BLOCK_DOCS, STEPS = 64, 1_500_000, 16_384, 6
+CLUSTER, BLOCK_TERMS, BLOCK_DOCS, STEPS = 64, 400_000, 16_384, 6
 #: Different terms of the items that are searched at a time, about.
 ITEM_TERMS = 200_000
 # What stands between terms.
@@ -119,7 +119,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = part.column("doc_id")
         known = column.is_valid().to_numpy(zero_copy_only=False)
         sizes = np.bincount(rows, minlength=len(offs) - 1)
-        held.append((column.fill_null(0).to_numpy(), known, sizes, rows + n_docs, block_hashes(lowered(data), starts, ends)))
+        held.append((column.fill_null(0).to_numpy(), known, sizes, (rows + n_docs).astype(np.int32), block_hashes(lowered(data), starts, ends)))
         n_docs, n_terms = n_docs + part.num_rows, n_terms + len(rows)
         if n_docs >= BLOCK_DOCS or n_terms >= BLOCK_TERMS:
             if n_terms:
