@@ -39,6 +39,10 @@ IS_BREAK = np.zeros(256, bool)
 IS_BREAK[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 _BLOCK = {"ids": "<i8", "known": "u1", "sizes": "<i8", "terms": "<u8", "term_runs": "<u4", "run_cluster": "<u4", "run_tf": "<u4", "run_size": "<i8", "run_posts": "<u4", "post_doc": "<u4", "post_tf": "<u4"}
+#: Lengths in the file, since these compress well; running sums once read.
+_SUMS = ("term_runs", "run_posts")
+#: A row group for each block, so that neither writing nor reading holds more than one.
+_GROUPS = {"parquet.block.size": "1048576", "parquet.page.size.row.check.min": "1"}
 _BLOCK_SQL = ", ".join(f"{c} binary" for c in _BLOCK)
 
 
@@ -104,9 +108,9 @@ def _block(ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, docs: np.ndarr
     fresh[1:] = (code[1:] != code[:-1]) | (cluster[1:] != cluster[:-1])
     runs = np.flatnonzero(fresh)
     made = {
-        "ids": ids, "known": known, "sizes": sizes, "terms": terms, "term_runs": np.searchsorted(code[runs], np.arange(len(terms) + 1)),
+        "ids": ids, "known": known, "sizes": sizes, "terms": terms, "term_runs": np.bincount(code[runs], minlength=len(terms)),
         "run_cluster": cluster[runs], "run_tf": np.maximum.reduceat(tf, runs), "run_size": np.minimum.reduceat(sizes[docs], runs),
-        "run_posts": np.append(runs, len(docs)), "post_doc": docs, "post_tf": tf,
+        "run_posts": np.diff(runs, append=len(docs)), "post_doc": docs, "post_tf": tf,
     }
     return pa.RecordBatch.from_arrays([pa.array([made[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOCK.items()], list(_BLOCK))
 
@@ -131,7 +135,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, path: str) -> DataFrame:
     """The index of all rows (doc_id, text), a row for each block, written to ``path`` and read again."""
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_indexed, _BLOCK_SQL), path)
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_indexed, _BLOCK_SQL).write.options(**_GROUPS).parquet(path)
+    return docs.sparkSession.read.schema(_BLOCK_SQL).parquet(path)
 
 
 class Items:
@@ -171,7 +176,8 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), _BLOCK[c]) for c in batch.schema.names}
+            block = {c: np.frombuffer(batch.column(c)[i].as_buffer(), _BLOCK[c]) for c in batch.schema.names}
+            yield block | {c: np.append(0, np.cumsum(block[c], dtype=np.int64)) for c in _SUMS}
 
 
 def _found(terms: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -191,8 +197,7 @@ def _statistics(terms: np.ndarray):
             n_docs, n_terms = n_docs + len(b["sizes"]), n_terms + int(b["sizes"].sum())
             at = _found(b["terms"], terms)
             here = at >= 0
-            posts = b["run_posts"][b["term_runs"].astype(np.int64)].astype(np.int64)
-            df[here] += np.diff(posts)[at[here]]
+            df[here] += np.diff(b["run_posts"][b["term_runs"]])[at[here]]
         yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms]), pa.array([df.tobytes()], pa.binary())], ["n_docs", "n_terms", "df"])
 
     return run
@@ -236,7 +241,7 @@ def _visit(b: dict[str, np.ndarray], items: Items, best: Best, waves: int | None
     With ``waves`` only so many of these steps are made.
     """
     at = _found(b["terms"], items.terms)
-    term_runs, run_posts = b["term_runs"].astype(np.int64), b["run_posts"].astype(np.int64)
+    term_runs, run_posts = b["term_runs"], b["run_posts"]
     n_clusters = -(-len(b["ids"]) // CLUSTER)
     for i, (codes, counts) in enumerate(items.parts):
         here = at[codes] >= 0
