@@ -14,6 +14,8 @@ from ..plans.catalog import query, table
 #: Stand-in groups: places (from, to) in the embedding.
 GROUPS = {"byte_seq": (0, 40), "entropy": (40, 41), "ngram": (41, 64)}
 METHODS = ("none", "minmax", "standard", "scale")
+#: What every variance score is raised by.
+EPS = 1e-6
 
 
 @dataclass(frozen=True)
@@ -24,9 +26,9 @@ class ColumnStats:
     variance: tuple[float, ...]
 
 
-def variance_score(variance: Sequence[float]) -> float:
-    """Of a group's columns: log1p of the mean over all cells of the squared, column-centred value."""
-    return math.log1p(max(sum(variance) / len(variance), 0.0))
+def variance_score(variance: Sequence[float], eps: float = EPS) -> float:
+    """Of a group's columns: log1p of the mean over all cells of the squared, column-centred value, and ``eps``."""
+    return math.log1p(max(sum(variance) / len(variance), 0.0)) + eps
 
 
 def column_stats(rows: DataFrame, vector: str) -> ColumnStats:
@@ -63,7 +65,7 @@ def normalize(vector: Column, method: str = "none", stats: ColumnStats | None =
     return F.zip_with(vector, pairs, lambda x, p: (x - p["s"]) / p["w"])
 
 
-def adaptive_weights(scores: Mapping[str, float], method: str = "variance_softmax", temperature: float = 1.0, eps: float = 1e-6) -> dict[str, float]:
+def adaptive_weights(scores: Mapping[str, float], method: str = "variance_softmax", temperature: float = 1.0) -> dict[str, float]:
     """Weights of the groups that add up to 1."""
     if temperature <= 0:
         raise ValueError("temperature must be positive")
@@ -75,7 +77,7 @@ def adaptive_weights(scores: Mapping[str, float], method: str = "variance_softma
         top = max(scores.values())
         mass = {k: math.exp((s - top) / temperature) for k, s in scores.items()}
     elif method == "variance_proportional":
-        mass = {k: s + eps for k, s in scores.items()}
+        mass = dict(scores)
     else:
         raise ValueError(f"unknown method {method!r}")
     total = sum(mass.values())
@@ -140,7 +142,7 @@ def scale_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SCORES = f"""{SQL_CELLS},
-g AS (SELECT CASE WHEN j < 40 THEN 'byte_seq' WHEN j = 40 THEN 'entropy' ELSE 'ngram' END AS name, ln(1 + avg(v)) AS score FROM st GROUP BY 1),
+g AS (SELECT CASE WHEN j < 40 THEN 'byte_seq' WHEN j = 40 THEN 'entropy' ELSE 'ngram' END AS name, ln(1 + avg(v)) + 1e-6 AS score FROM st GROUP BY 1),
 w AS (SELECT name, score, exp(score - max(score) OVER ()) / sum(exp(score)) OVER () * exp(max(score) OVER ()) AS weight FROM g)"""
 
 

@@ -1,7 +1,8 @@
 """Sample records: the manifest of grids and hashes, its invariants, and checks that recompute stored tables.
 
-Checks give rows (check, n): how often something is wrong; a table passes where every n is 0. Stored tables are played
-by the recomputed ones with faults planted by id, so that every check has something to find.
+Checks give rows (check, n): how often something is wrong; a table passes where every n is 0. Stored tables are the
+recomputed ones with faults planted by id, published and read back, so that every check has something to find and covers
+the writing too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.standins import SQL_SPLITS, documents, samples, splits
-from ..plans.catalog import query, table
+from ..plans.catalog import oracles, query, table
+from ..sources.workspace import stored
+from .difference import dataset_checks
 from .profile import SQL_GRID, grids
 from .tables import SQL_QUALITY, quality_level, quality_table
 from .verification import leaks, mismatches
@@ -130,7 +133,7 @@ _INVARIANTS = {
 
 @query("manifest_invariants", f"WITH {SQL_PLANTED} {_check_sql('pl', _INVARIANTS)} UNION ALL SELECT 'repeated_id', count(*) - count(DISTINCT id) FROM pl")
 def manifest_invariants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest_invariants(planted(records(spark, sf_dir)))
+    return manifest_invariants(stored(planted(records(spark, sf_dir)), "planted"))
 
 
 def dataset_invariants(rows: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ UNION ALL SELECT 'wrong_splits', count(*) FROM ((SELECT split FROM pl UNION SELE
 UNION ALL SELECT 'image_crosses_splits', count(*) FROM (SELECT pixel_sha256 FROM pl GROUP BY 1 HAVING count(DISTINCT split) > 1)
 UNION ALL SELECT 'image_crosses_classes', count(*) FROM (SELECT pixel_sha256 FROM pl GROUP BY 1 HAVING count(DISTINCT class) > 1)""")
 def dataset_invariants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset_invariants(planted(records(spark, sf_dir)))
+    return dataset_invariants(stored(planted(records(spark, sf_dir)), "planted"))
 
 
 HASHES = ("raw_sha256", "pixel_sha256", "mask_sha256", "token_stream_sha256")
@@ -171,17 +174,17 @@ HASHES = ("raw_sha256", "pixel_sha256", "mask_sha256", "token_stream_sha256")
 def hash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of each of four hashes that stand in several splits."""
     d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.sha2(F.lower(F.hex(F.coalesce("text", F.lit("")))), 256).alias("token_stream_sha256"))
-    rows = records(spark, sf_dir).join(d, "id")
+    rows = stored(records(spark, sf_dir).select("id", "split", *HASHES[:3]).join(d, "id"), "hashes")
     return _rows([conflicts(rows, h, "split", h) for h in HASHES])
 
 
-def compare_records(stored: DataFrame, computed: DataFrame) -> DataFrame:
+def compare_records(found: DataFrame, computed: DataFrame) -> DataFrame:
     """Mismatches by column of stored records with recomputed ones, and ids that only one of them has."""
-    found = mismatches(computed, stored, "id", dict.fromkeys(COUNTS, 0.0) | {"class": 0.0, "unknown_byte_ratio": 1e-12}, TEXTS)
-    both = computed.select("id", F.lit(True).alias("c")).join(stored.select("id", F.lit(True).alias("s")), "id", "full_outer")
+    cells = mismatches(computed, found, "id", dict.fromkeys(COUNTS, 0.0) | {"class": 0.0, "unknown_byte_ratio": 1e-12}, TEXTS)
+    both = computed.select("id", F.lit(True).alias("c")).join(found.select("id", F.lit(True).alias("s")), "id", "full_outer")
     sides = both.agg(F.count_if(F.col("s").isNull()).alias("missing"), F.count_if(F.col("c").isNull()).alias("extra"))
     sides = sides.select(F.explode(F.array(*(F.struct(F.lit(f"{x}_id").alias("check"), F.col(x).alias("n")) for x in ("missing", "extra")))).alias("x")).select("x.*")
-    return found.select(F.col("column").alias("check"), F.col("n_mismatched").alias("n")).unionByName(sides)
+    return cells.select(F.col("column").alias("check"), F.col("n_mismatched").alias("n")).unionByName(sides)
 
 
 _OFF = {c: f"NOT coalesce(abs(pl.{c} - rec.{c}) <= 0, false)" for c in (*COUNTS, "class")} | {"unknown_byte_ratio": "NOT coalesce(abs(pl.unknown_byte_ratio - rec.unknown_byte_ratio) <= 1e-12, false)"}
@@ -192,16 +195,16 @@ _OFF |= {c: f"coalesce(pl.{c}, '') <> coalesce(rec.{c}, '')" for c in TEXTS}
 UNION ALL SELECT 'missing_id', count(*) FROM rec ANTI JOIN pl USING (id) UNION ALL SELECT 'extra_id', count(*) FROM pl ANTI JOIN rec USING (id)""")
 def record_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored records against the bytes: every column is computed anew."""
-    computed = records(spark, sf_dir)
-    return compare_records(planted(computed), computed)
+    computed = stored(records(spark, sf_dir), "records")
+    return compare_records(stored(planted(computed), "planted"), computed)
 
 
-def verify_quality(stored: DataFrame, ratios: DataFrame) -> DataFrame:
+def verify_quality(found: DataFrame, ratios: DataFrame) -> DataFrame:
     """Levels and reasons recomputed from the ratios, against the stored ones."""
     level, reason = quality_level(F.col("unknown_ratio"), F.col("head_unknown_ratio"))
     computed = ratios.withColumns({"quality": level, "reason": reason})
-    found = mismatches(computed, stored, "doc_id", {"unknown_ratio": 1e-12, "head_unknown_ratio": 1e-12}, ("quality", "reason"))
-    return found.select(F.col("column").alias("check"), F.col("n_mismatched").alias("n"))
+    cells = mismatches(computed, found, "doc_id", {"unknown_ratio": 1e-12, "head_unknown_ratio": 1e-12}, ("quality", "reason"))
+    return cells.select(F.col("column").alias("check"), F.col("n_mismatched").alias("n"))
 
 
 @query("quality_verify", f"""WITH {SQL_QUALITY}, o AS (SELECT doc_id, unknown_ratio + CASE WHEN doc_id % 7 = 0 THEN 0.25 ELSE 0 END AS unknown_ratio, head_unknown_ratio, quality, CASE WHEN doc_id % 11 = 0 THEN 'other' ELSE reason END AS reason FROM q),
@@ -211,8 +214,8 @@ SELECT 'unknown_ratio' AS "check", count(*) FILTER (NOT coalesce(abs(u - o.unkno
 UNION ALL SELECT 'quality', count(*) FILTER (n.quality <> o.quality) FROM n JOIN o USING (doc_id) UNION ALL SELECT 'reason', count(*) FILTER (n.reason <> o.reason) FROM n JOIN o USING (doc_id)""")
 def quality_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_table(spark, sf_dir)
-    stored = q.withColumns({"unknown_ratio": F.col("unknown_ratio") + F.when(F.col("doc_id") % 7 == 0, 0.25).otherwise(0.0), "reason": F.expr("if(doc_id % 11 = 0, 'other', reason)")})
-    return verify_quality(stored, q.select("doc_id", "unknown_ratio", "head_unknown_ratio"))
+    bad = q.withColumns({"unknown_ratio": F.col("unknown_ratio") + F.when(F.col("doc_id") % 7 == 0, 0.25).otherwise(0.0), "reason": F.expr("if(doc_id % 11 = 0, 'other', reason)")})
+    return verify_quality(stored(bad, "quality"), q.select("doc_id", "unknown_ratio", "head_unknown_ratio"))
 
 
 def image_summary(rows: DataFrame) -> DataFrame:
@@ -243,29 +246,31 @@ def _summary_sql(source: str) -> str:
 
 @query("summary_verify", f"WITH {SQL_PLANTED}, c AS ({_summary_sql('rec')}), st AS ({_summary_sql('pl')}) SELECT measure, c.value AS computed, st.value AS stored, coalesce(abs(c.value - st.value) <= 1e-12, false) AS same FROM c FULL JOIN st USING (measure)")
 def summary_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir)
-    return verify_summary(image_summary(planted(rows)), rows)
+    rows = stored(records(spark, sf_dir), "records")
+    return verify_summary(stored(image_summary(planted(rows)), "summary"), rows)
 
 
-def inspect_collection(stored: DataFrame, inventory: DataFrame, path: str, root: str) -> DataFrame:
+def inspect_collection(manifest: DataFrame, inventory: DataFrame, path: str, root: str) -> DataFrame:
     """Declared paths against those that follow from split, class and id, and against the files that are there."""
-    expected = stored.withColumn("expected", image_path(root))
+    expected = manifest.withColumn("expected", image_path(root))
     wrong = expected.agg(F.count_if(F.coalesce(F.col(path) != F.col("expected"), F.lit(True))).alias("n")).select(F.lit("unexpected_path").alias("check"), "n")
     both = expected.select(F.col("expected").alias("path"), F.lit(True).alias("e")).join(inventory.select("path", F.lit(True).alias("a")), "path", "full_outer")
     sides = both.agg(F.count_if(F.col("a").isNull()).alias("missing_file"), F.count_if(F.col("e").isNull()).alias("extra_file"))
     sides = sides.select(F.explode(F.array(*(F.struct(F.lit(x).alias("check"), F.col(x).alias("n")) for x in ("missing_file", "extra_file")))).alias("x")).select("x.*")
-    return _rows([wrong, sides, repeated(stored, path, "repeated_path")])
+    return _rows([wrong, sides, repeated(manifest, path, "repeated_path")])
 
 
-@query("collection_check", f"""WITH {SQL_RECORDS}, st AS (SELECT *, CASE WHEN doc_id % 67 = 4 THEN '../' || image_path ELSE image_path END AS declared FROM rec),
-inv AS (SELECT image_path AS path FROM rec WHERE doc_id % 53 <> 1 UNION ALL SELECT 'images/odd/' || doc_id || '.png' FROM rec WHERE doc_id % 59 = 2)
-SELECT 'unexpected_path' AS "check", count(*) FILTER (declared <> image_path) AS n FROM st UNION ALL SELECT 'missing_file', count(*) FROM rec ANTI JOIN inv ON inv.path = rec.image_path
-UNION ALL SELECT 'extra_file', count(*) FROM inv ANTI JOIN rec ON inv.path = rec.image_path UNION ALL SELECT 'repeated_path', count(*) - count(DISTINCT declared) FROM st""")
+@query("collection_check", f"""WITH {SQL_SPLITS}, st AS (SELECT doc_id, 'images/' || split || '/class_' || class || '/' || doc_id || '.png' AS image_path FROM s), de AS (SELECT CASE WHEN doc_id % 67 = 4 THEN '../' || image_path ELSE image_path END AS declared, image_path FROM st),
+inv AS (SELECT image_path AS path FROM st WHERE doc_id % 53 <> 1 UNION ALL SELECT 'images/odd/' || doc_id || '.png' FROM st WHERE doc_id % 59 = 2)
+SELECT 'unexpected_path' AS "check", count(*) FILTER (declared <> image_path) AS n FROM de UNION ALL SELECT 'missing_file', count(*) FROM st ANTI JOIN inv ON inv.path = st.image_path
+UNION ALL SELECT 'extra_file', count(*) FROM inv ANTI JOIN st ON inv.path = st.image_path UNION ALL SELECT 'repeated_path', count(*) - count(DISTINCT declared) FROM de""")
 def collection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared paths of a stored manifest against a stored inventory that lacks some files and has others."""
     i = F.col("id").cast("long")
-    rows = records(spark, sf_dir).select("id", "class", "split", "image_path")
+    rows = splits(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "class", "split").withColumn("image_path", image_path("images"))
     there = rows.filter(i % 53 != 1).select(F.col("image_path").alias("path")).union(rows.filter(i % 59 == 2).select(F.concat(F.lit("images/odd/"), "id", F.lit(".png"))))
-    return inspect_collection(rows.withColumn("image_path", F.when(i % 67 == 4, F.concat(F.lit("../"), "image_path")).otherwise(F.col("image_path"))), there, "image_path", "images")
+    declared = rows.withColumn("image_path", F.when(i % 67 == 4, F.concat(F.lit("../"), "image_path")).otherwise(F.col("image_path")))
+    return inspect_collection(stored(declared, "manifest"), stored(there, "inventory"), "image_path", "images")
 
 
 def match_entries(manifest: DataFrame, entries: DataFrame) -> DataFrame:
@@ -297,23 +302,24 @@ def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_class_names(documents(spark, sf_dir).select(F.col("doc_id").alias("id")), labels, ("plain", "good", "toxic", "both"))
 
 
-@query("submission_report", f"""WITH {SQL_PLANTED}, {SQL_QUALITY}, r AS ({_check_sql('pl', _INVARIANTS)} UNION ALL SELECT 'repeated_id', count(*) - count(DISTINCT id) FROM pl
+#: Parts of a submission that have queries of their own, by the beginning of their checks' names.
+PARTS = {"record_": "record_mismatch", "quality_": "quality_verify", "collection_": "collection_check", "dataset_": "dataset_checks"}
+
+
+@query("submission_report", f"""WITH {SQL_PLANTED}, r AS ({_check_sql('pl', _INVARIANTS)} UNION ALL SELECT 'repeated_id', count(*) - count(DISTINCT id) FROM pl
 UNION ALL SELECT 'classes_missing_in_train', 9 - count(DISTINCT class) FILTER (split = 'train') FROM pl
-UNION ALL {" UNION ALL ".join(f"SELECT 'record_{c}', count(*) FILTER ({x}) FROM rec JOIN pl USING (id)" for c, x in _OFF.items())}
-UNION ALL SELECT 'record_missing_id', count(*) FROM rec ANTI JOIN pl USING (id) UNION ALL SELECT 'record_extra_id', count(*) FROM pl ANTI JOIN rec USING (id)
 UNION ALL {" UNION ALL ".join(f"SELECT 'leaked_{h}', count(*) FROM (SELECT {h} FROM pl GROUP BY 1 HAVING count(DISTINCT split) > 1)" for h in HASHES[:3])}
-UNION ALL SELECT 'quality_' || quality, 0 FROM (SELECT unnest(['quality', 'reason', 'unknown_ratio', 'head_unknown_ratio']) AS quality))
+UNION ALL {" UNION ALL ".join(f"SELECT '{prefix}' || x.check, x.n FROM ({oracles()[name]}) AS x" for prefix, name in PARTS.items())})
 SELECT "check", n, n = 0 AS passed FROM r""")
 def submission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks as rows (check, n, passed); a submission passes if every row does."""
-    computed = records(spark, sf_dir)
-    stored, q = planted(computed), quality_table(spark, sf_dir)
-    named = lambda rows, prefix: rows.withColumn("check", F.concat(F.lit(prefix), "check"))
+    """All checks as rows (check, n, passed); a submission passes if every row does. The bytes are read once."""
+    computed = stored(records(spark, sf_dir), "records")
+    found = stored(planted(computed), "planted")
+    parts = {"record_": compare_records(found, computed), "quality_": quality_verify(spark, sf_dir), "collection_": collection_check(spark, sf_dir), "dataset_": dataset_checks(spark, sf_dir)}
     rows = [
-        manifest_invariants(stored),
-        dataset_invariants(stored).filter("check = 'classes_missing_in_train'"),
-        named(compare_records(stored, computed), "record_"),
-        *(conflicts(stored, h, "split", f"leaked_{h}") for h in HASHES[:3]),
-        named(verify_quality(q, q.select("doc_id", "unknown_ratio", "head_unknown_ratio")), "quality_"),
+        manifest_invariants(found),
+        dataset_invariants(found).filter("check = 'classes_missing_in_train'"),
+        *(conflicts(found, h, "split", f"leaked_{h}") for h in HASHES[:3]),
+        *(part.withColumn("check", F.concat(F.lit(prefix), "check")) for prefix, part in parts.items()),
     ]
     return _rows(rows).withColumn("passed", F.col("n") == 0)
