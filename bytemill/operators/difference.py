@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.standins import SQL_SPLITS, splits
 from ..plans.catalog import query
-from ..sources.workspace import stored
+from ..sources.files import stored
 from .tables import SQL_QUALITY, quality_table
 
 #: Bits of the first ranges and of each split; ranges held at most; rows that are joined without splitting further.

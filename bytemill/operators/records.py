@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.standins import SQL_SPLITS, documents, samples, splits
 from ..plans.catalog import oracles, query, table
-from ..sources.workspace import stored
+from ..sources.archives import list_archives, read_archives, write_archives
+from ..sources.files import stored
+from ..sources.workspace import shared_path
 from .difference import dataset_checks
 from .profile import SQL_GRID, grids
 from .tables import SQL_QUALITY, quality_level, quality_table
@@ -280,14 +282,31 @@ def match_entries(manifest: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("id", "declared", "entry", state.alias("state"))
 
 
+def dump_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Labelled documents as dumps in ZIP archives, every tenth in another folder and every seventh twice; where they are."""
+    labelled = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    folders = F.concat(F.array(F.when(F.col("doc_id") % 10 == 0, "y").otherwise("x")), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("z"))).otherwise(F.array().cast("array<string>")))
+    rows = labelled.select("doc_id", "text", F.explode(folders).alias("folder"))
+    at = shared_path(spark, "dumps")
+    write_archives(rows.select(F.concat("folder", F.lit("/"), "doc_id", F.lit(".bytes")).alias("entry"), F.col("text").cast("binary").alias("content")).repartition(4, "entry"), at)
+    return at
+
+
 @query("archive_entry_match", """SELECT d.doc_id::VARCHAR AS id, 'x/' || d.doc_id || '.bytes' AS declared, CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.doc_id % 10 = 0 THEN 'y/' || d.doc_id || '.bytes' ELSE 'x/' || d.doc_id || '.bytes' END AS entry,
 CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id % 10 = 0 THEN 'moved' ELSE 'matched' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def archive_entry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("doc_id"), F.lit(".bytes"))
-    i = F.col("doc_id").cast("string").alias("id")
-    declared = documents(spark, sf_dir).select(i, path("x").alias("declared"))
-    there = table(spark, sf_dir, "labels").select(i, F.when(F.col("doc_id") % 10 == 0, path("y")).otherwise(path("x")).alias("entry"))
-    return match_entries(declared, there)
+    """Declared entries against the directories of real archives; nothing is inflated."""
+    declared = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("x/"), F.col("doc_id"), F.lit(".bytes")).alias("declared"))
+    there = list_archives(spark, dump_archives(spark, sf_dir)).filter("entry NOT LIKE 'z/%'")
+    return match_entries(declared, there.select(F.regexp_extract("entry", r"([^/]+)\.bytes$", 1).alias("id"), "entry"))
+
+
+@query("archive_contents", """SELECT CASE WHEN d.doc_id % 10 = 0 THEN 'y/' ELSE 'x/' END || d.doc_id || '.bytes' AS entry, d.doc_id::VARCHAR AS sample_id, strlen(coalesce(text, '')) AS file_size, sha256(coalesce(text, '')) AS sha256 FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id
+UNION ALL SELECT 'z/' || d.doc_id || '.bytes', d.doc_id::VARCHAR, strlen(coalesce(text, '')), sha256(coalesce(text, '')) FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 7 = 0""")
+def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dumps written to archives and read back from their parts."""
+    rows = read_archives(spark, dump_archives(spark, sf_dir))
+    return rows.select("entry", "sample_id", "file_size", F.sha2("content", 256).alias("sha256"))
 
 
 def with_class_names(rows: DataFrame, labels: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -1,21 +1,17 @@
-"""Files in and out: tables, dumps and archives of dumps."""
+"""Files in and out: tables, dumps, reports and published tables."""
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hexdump import with_parsed
-
-SUFFIXES = (".bytes", ".asm")
+from .workspace import shared_path
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -62,66 +58,6 @@ def read_dumps(spark: SparkSession, path: str, dialect: str = "extract", pattern
     return with_parsed(rows, "content", {"parsed": dialect}).drop("content")
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["archive", "place", "entry", "sample_id", "kind", "file_size", "compress_size", "content"]
-    for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                for place, info in enumerate(z.infolist()):
-                    low = info.filename.lower()
-                    if info.is_dir() or not low.endswith(SUFFIXES) or ".." in info.filename.split("/"):
-                        continue
-                    stem = info.filename.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                    row = [path.as_py(), place, info.filename, stem, low.rsplit(".", 1)[-1], info.file_size, info.compress_size, z.read(info)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each dump or listing in the ZIP archives under a path, and ``duplicate`` for all but the first of a name and kind.
-
-    An archive is read by one task, an entry at a time; it must be below 2 GB, the most that one value holds. Folders, other suffixes and paths with .. are left out.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    schema = "archive string, place long, entry string, sample_id string, kind string, file_size long, compress_size long, content binary"
-    rows = files.mapInArrow(_entries, schema)
-    firsts = rows.groupBy("sample_id", "kind").agg(F.min(F.struct("archive", "place")).alias("first"))
-    return rows.join(firsts, ["sample_id", "kind"]).withColumn("duplicate", F.struct("archive", "place") != F.col("first")).drop("first")
-
-
-def strict_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``read_archives`` of dumps only; a name that comes twice raises when the rows are read."""
-    rows = read_archives(spark, path).filter("kind = 'bytes'")
-    once = F.when(F.col("duplicate"), F.raise_error(F.concat(F.lit("repeated entry "), "entry"))).otherwise(F.col("entry"))
-    return rows.withColumn("entry", once).drop("duplicate")
-
-
-def select_entries(rows: DataFrame, prefix: str = "", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """Entries below a folder with one of the suffixes."""
-    low = F.lower("entry")
-    wanted = [low.endswith(x) for x in suffixes]
-    any_of = wanted[0]
-    for w in wanted[1:]:
-        any_of = any_of | w
-    return rows.filter(F.col("entry").startswith(prefix) & any_of)
-
-
-def extract(rows: DataFrame, path: str) -> int:
-    """Write the entries that a table of extracted ones lacks, and return how many; one that is there with other content raises."""
-    spark = rows.sparkSession
-    wanted = rows.select("entry", "content", F.sha2("content", 256).alias("sha256"))
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        have = spark.read.parquet(path).select("entry", F.col("sha256").alias("have"))
-        both = wanted.join(have, "entry", "left")
-        if both.filter("have <> sha256").limit(1).count():
-            raise ValueError(f"{path} holds entries with other content")
-        wanted = both.filter("have IS NULL").drop("have")
-    n = wanted.count()
-    wanted.write.mode("append").parquet(path)
-    return n
-
-
 def write_samples(rows: DataFrame, path: str) -> None:
     """Samples by split and class, as folders that later reads prune by; an existing result is an error."""
     rows.write.mode("errorifexists").partitionBy("split", "class").parquet(path)
@@ -179,6 +115,13 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/versions/{read_report(spark, f'{path}/current.json')['version']}")
 
 
+def stored(rows: DataFrame, name: str, least_rows: int = 0) -> DataFrame:
+    """``rows`` published in the shared folder and read back: computed once, whatever reads them."""
+    at = shared_path(rows.sparkSession, name)
+    publish(rows, at, least_rows)
+    return read_published(rows.sparkSession, at)
+
+
 def write_features(path: str, tables: Mapping[str, DataFrame], summary: Mapping[str, object]) -> None:
     """A feature set: one Parquet table for each part (samples, sequences, entropy, ngram_1 ..., vocabularies) and its summary."""
     for name, rows in tables.items():

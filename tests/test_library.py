@@ -12,7 +12,7 @@ from bytemill.functions import bytestats, ranking
 from bytemill.functions.bytestats import Samples, from_values
 from bytemill.functions.hexdump import fixed_length, with_parsed
 from bytemill.operators import datasets, fusion, history, listing, metrics, profile, records, tables, verification
-from bytemill.sources import config, files
+from bytemill.sources import archives, config, files
 from bytemill.streaming import ingest
 
 DUMP = "10000000 7F 45 4C 46\n10000004 ?? xx 1\n10000008 C3"
@@ -196,7 +196,7 @@ def test_archives(spark, tmp_path):
         z.writestr("y/one.asm", "mov")
         z.writestr("readme.txt", "no")
         z.writestr("../two.bytes", "no")
-    rows = files.read_archives(spark, str(tmp_path)).collect()
+    rows = archives.read_archives(spark, str(tmp_path)).collect()
     assert sorted((r.entry, r.duplicate) for r in rows) == [("x/one.bytes", False), ("y/one.asm", False), ("y/one.bytes", True)]
 
 
@@ -228,16 +228,16 @@ def test_strict_reading_and_extracting(spark, tmp_path):
         z.writestr("in/one.bytes", "00401000 4D")
         z.writestr("in/two.bytes", "00401000 5A")
         z.writestr("out/three.bytes", "00401000 90")
-    rows = files.strict_archives(spark, str(tmp_path))
-    chosen = files.select_entries(rows, "in/", (".bytes",))
+    rows = archives.strict_archives(spark, str(tmp_path))
+    chosen = archives.select_entries(rows, "in/", (".bytes",))
     at = str(tmp_path / "out")
-    assert files.extract(chosen, at) == 2 and files.extract(rows, at) == 1 and files.extract(rows, at) == 0
+    assert archives.extract(chosen, at) == 2 and archives.extract(rows, at) == 1 and archives.extract(rows, at) == 0
     with pytest.raises(ValueError):
-        files.extract(chosen.withColumn("content", F.lit("x").cast("binary")), at)
+        archives.extract(chosen.withColumn("content", F.lit("x").cast("binary")), at)
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("again/one.bytes", "00401000 4D")
     with pytest.raises(Exception, match="repeated entry"):
-        files.strict_archives(spark, str(tmp_path)).collect()
+        archives.strict_archives(spark, str(tmp_path)).collect()
 
 
 def test_reports_and_features(spark, tmp_path):
