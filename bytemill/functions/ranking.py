@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import shared_path
+
 
 def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[Column | str]) -> DataFrame:
     """``rows`` with ``rank`` (from 1) and ``n_group`` in each group by ``order``.
@@ -20,6 +22,41 @@ def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[Column
     return placed.join(offsets, [*group, "bucket_"]).withColumn("rank", F.col("before_") + local).drop("bucket_", "before_")
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``rank`` (from 1) by the columns of ``order``, whatever their values are.
+
+    Spark deals the rows to tasks by sampled splitters, so outliers make no task larger; rows that are equal in ``order``
+    are dealt on by a hash of the row. Each task's rows are written with their places, once, and ranks are places after
+    the sums of the tasks before. Rows that are equal in all columns are spread by their place in the scan.
+    """
+    spark = rows.sparkSession
+    salts = [F.xxhash64(*rows.columns).alias("salt1_"), F.xxhash64(F.monotonically_increasing_id()).alias("salt2_")]
+    dealt = rows.select("*", *salts).repartitionByRange(*order, "salt1_", "salt2_").sortWithinPartitions(*order, "salt1_", "salt2_").drop("salt1_", "salt2_")
+    placed = dealt.withColumn("place_", F.monotonically_increasing_id())
+    at = shared_path(spark, "numbered")
+    placed.withColumns({"part_": F.shiftright("place_", 33), "place_": F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(at)
+    placed = spark.read.parquet(at)
+    counts = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    offsets = counts.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    return placed.join(F.broadcast(offsets), "part_").withColumn("rank", F.col("before_") + F.col("place_") + 1).drop("part_", "place_", "before_")
+
+
+def kth_largest(rows: DataFrame, column: str, k: int, ranges: int = 1024) -> int:
+    """The ``k``-th largest value of an integer column with ``k`` rows at least: counts of ranges, again and again within the one that holds it."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        width = -(-(high - low + 1) // ranges)
+        inside = rows.filter(F.col(column).between(low, high))
+        counts = inside.groupBy(F.expr(f"(CAST(`{column}` AS DECIMAL(38, 0)) - {low}) div {width}").alias("b")).agg(F.count("*").alias("n")).collect()
+        for b, n in sorted(((r.b, r.n) for r in counts), reverse=True):
+            if k <= n:
+                low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+                break
+            k -= n
+    return low
+
+
 def equal_ranges(value: Column, low: Column, high: Column, n: int = 1024) -> Column:
     """The number of the range of ``value`` among ``n`` equal ones between low and high."""
     share = F.coalesce(F.try_divide(value.cast("double") - low, (high - low).cast("double")), F.lit(0.0))

@@ -1,3 +1,3 @@
 """All operators; importing the package registers their queries."""
 
-from . import datasets, difference, fusion, history, listing, metrics, profile, records, tables, verification  # noqa: F401
+from . import datasets, difference, fusion, history, listing, metrics, profile, records, retention, tables, verification  # noqa: F401

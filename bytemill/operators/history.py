@@ -1,6 +1,6 @@
 """The classification history: pages, point lookups, tolerant detail decoding and retention plans.
 
-Parquet has no row delete, so retention gives the rows that stay, for a rewrite by the one writer.
+Retention as a query gives the rows that stay; ``retention`` deletes from a stored table.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import equal_ranges, ranked
+from ..functions.ranking import numbered
 from ..plans.catalog import query, table
 
 DEFAULT_PAGE = 20
@@ -99,10 +99,8 @@ def history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_next_ids(batch: DataFrame, order: str, last: int) -> DataFrame:
-    """``batch`` with ids after ``last``, in the order of a numeric column: counts of its ranges first, then ranks within a range."""
-    low, high = batch.agg(F.min(order), F.max(order)).first()
-    rows = ranked(batch, [], equal_ranges(F.col(order), F.lit(low or 0), F.lit(high or 0)), [order])
-    return rows.withColumn("id", (F.col("rank") + last).cast("long")).drop("rank", "n_group")
+    """``batch`` with ids after ``last``, in the order of a column, whatever its values are."""
+    return numbered(batch, [order]).withColumn("id", F.col("rank") + last).drop("rank")
 
 
 @query("history_next_ids", "SELECT item_id, (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY item_id) AS id FROM benchmark")
