@@ -57,30 +57,51 @@ def kth_largest(rows: DataFrame, column: str, k: int, ranges: int = 1024) -> int
     return low
 
 
-def equal_ranges(value: Column, low: Column, high: Column, n: int = 1024) -> Column:
-    """The number of the range of ``value`` among ``n`` equal ones between low and high."""
-    share = F.coalesce(F.try_divide(value.cast("double") - low, (high - low).cast("double")), F.lit(0.0))
-    return F.floor(F.least(F.lit(n - 1.0), share * n)).cast("long")
+#: A quantile sketch's error is the rows over this at most; a percentile is looked for within MARGIN times that, both ways.
+ACCURACY, MARGIN = 10_000, 4
 
 
 def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles by linear interpolation: key, n, mean and a column for each of ``shares``.
 
-    Counts of value ranges tell which ranges hold the places that are asked for; only the distinct values of those
-    ranges are put in order.
+    A mergeable sketch of each key gives bounds around each percentile, whatever the values are. A second pass counts
+    what lies below the bounds and puts only the distinct values between them in order. Nulls don't count.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    total = rows.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    placed = rows.join(total.select("k", "lo", "hi"), "k").select("k", "v", equal_ranges(F.col("v"), F.col("lo"), F.col("hi")).alias("b"))
-    running = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranges = placed.groupBy("k", "b").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(running(["k"], "b")))
-    asked = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in shares.items()))
-    places = total.select("k", F.explode(asked).alias("x")).select("k", "x.name", "x.at").withColumn("place", F.explode(F.array(F.floor("at"), F.ceil("at"))))
-    hit = places.join(ranges, "k").filter("place < upto AND place >= upto - c").select("k", "name", "at", "place", "b", (F.col("upto") - F.col("c")).alias("before"))
-    values = placed.join(hit.select("k", "b").distinct(), ["k", "b"]).groupBy("k", "b", "v").agg(F.count("*").alias("c"))
-    values = values.withColumn("upto", F.sum("c").over(running(["k", "b"], "v")))
-    found = hit.join(values, ["k", "b"]).filter("place - before < upto AND place - before >= upto - c")
-    low, high = F.min("v"), F.max("v")
-    share = F.first("at") - F.floor(F.first("at"))
-    wide = found.groupBy("k", "name").agg((low + (high - low) * share).alias("p")).groupBy("k").pivot("name", list(shares)).agg(F.first("p"))
-    return total.select("k", "n", "mean").join(wide, "k").withColumnRenamed("k", key)
+    off = MARGIN / ACCURACY
+    around = [x for q in shares.values() for x in (max(0.0, q - off), min(1.0, q + off))]
+    total = rows.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile_approx("v", around, ACCURACY).alias("bounds"))
+    total = total.withColumnRenamed("k", "key_")
+    near = rows.join(total.select("key_", "bounds"), F.col("k").eqNullSafe(F.col("key_"))).drop("key_")
+    bound = lambda i: (F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1])
+    # A sketch counts in whole rows, so the place may lie one row outside the bounds: the next values are kept too.
+    v, each_share = F.col("v"), range(len(shares))
+    below = {f"below{i}": F.count_if(v < bound(i)[0]) for i in each_share}
+    beside = {f"under{i}": F.max(F.when(v < bound(i)[0], v)) for i in each_share} | {f"over{i}": F.min(F.when(v > bound(i)[1], v)) for i in each_share}
+    inside = [v.between(*bound(i)) for i in each_share]
+    any_of = inside[0]
+    for x in inside[1:]:
+        any_of = any_of | x
+    # Values outside all bounds are counted at once, others by value: both combine before the shuffle.
+    at = F.when(any_of, F.col("v"))
+    counts = near.groupBy("k", at.alias("v")).agg(F.count("*").alias("c"), *(x.alias(name) for name, x in (below | beside).items()), F.first("bounds").alias("bounds"))
+    merged = {**{c: F.sum(c) for c in below}, **{c: (F.max if c.startswith("under") else F.min)(c) for c in beside}}
+    sums = counts.groupBy("k").agg(*(x.alias(c) for c, x in merged.items())).withColumnRenamed("k", "key1_")
+    values = counts.filter("v IS NOT NULL").select("k", "v", "c", "bounds")
+    each = values.select("k", "v", "c", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(i)) for i, x in enumerate(inside))))).alias("i"))
+    running = Window.partitionBy("k", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("upto", F.sum("c").over(running)).groupBy("k", "i").agg(F.array_sort(F.collect_list(F.struct("upto", "v"))).alias("found"))
+    wide = each.groupBy("k").pivot("i", list(each_share)).agg(F.first("found")).withColumnRenamed("k", "key2_")
+    out = total.join(sums, F.col("key_").eqNullSafe(F.col("key1_"))).join(wide, F.col("key_").eqNullSafe(F.col("key2_")))
+
+    def exact(i: int, q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        pick = lambda p: F.get(F.filter(F.col(str(i)), lambda x: x["upto"] + F.col(f"below{i}") > p), F.lit(0))["v"]
+        first, last = F.floor(place), F.ceil(place)
+        n_below, n_upto = F.col(f"below{i}"), F.col(f"below{i}") + F.element_at(F.col(str(i)), -1)["upto"]
+        low = F.when(first < n_below, F.col(f"under{i}")).otherwise(pick(first))
+        high = F.when(last < n_below, F.col(f"under{i}")).when(last >= n_upto, F.col(f"over{i}")).otherwise(pick(last))
+        sure = (first >= n_below - 1) & (first < n_upto) & (last <= n_upto)
+        return F.when(sure, low + (high - low) * (place - F.floor(place))).otherwise(F.raise_error(F.lit("a quantile sketch missed its error bound")).cast("double"))
+
+    return out.select(F.col("key_").alias(key), "n", "mean", *(exact(i, q).alias(name) for i, (name, q) in enumerate(shares.items())))

@@ -3,6 +3,7 @@
 import datetime
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,18 @@ def test_kth_largest(spark):
     made = spark.createDataFrame([(v,) for v in values], "v long")
     for k in (1, 2, 3, 50, 97, 98, 99, len(values)):
         assert ranking.kth_largest(made, "v", k, ranges=10) == sorted(values, reverse=True)[k - 1]
+
+
+def test_percentiles_under_skew(spark):
+    """Outliers, half of the values equal, groups of one: what sorting gives."""
+    rng = np.random.default_rng(6)
+    data = {"a": [1e12, *rng.normal(size=3000)], "b": [7.0] * 3000 + list(rng.normal(size=3000)), "c": [-5.0], "d": list(rng.permutation(5000) ** 3.0), None: [1.0, 2.0]}
+    made = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None)], "k string, v double").repartition(8)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    out = ranking.percentiles(made, "k", "v", shares)
+    got = {r.k: r for r in out.collect()}
+    for k, x in data.items():
+        assert got[k].n == len(x)
+        for name, q in shares.items():
+            assert np.isclose(got[k][name], np.percentile(x, 100 * q), rtol=1e-12), (k, name)
+    assert ranking.percentiles(made.limit(0), "k", "v", shares).count() == 0
