@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .apportion import split_sizes
 from .bytestats import Bytes, Samples, binary_column, owners, plain_text
 from .ranking import ranked
 
@@ -41,15 +42,17 @@ def samples(spark: SparkSession, sf_dir: str, hidden: bool = True) -> Samples:
 
 
 def splits(spark: SparkSession, sf_dir: str, seed: str = "42") -> DataFrame:
-    """doc_id, class, split: by the order of a seeded hash within each class, 70 % train, 15 % val, the rest test.
+    """doc_id, class, split: by the order of a seeded hash within each class, 70 % train, 15 % val, 15 % test, in sizes that
+    add up over the classes (see ``split_sizes``).
 
     Ranks come from the counts of 4,096 hash prefixes a class, so no task holds a class.
     """
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256)
     d = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"), key.alias("key"))
     r = ranked(d, ["class"], F.substring("key", 1, 3), ["key", "doc_id"])
-    train, val = F.floor(F.col("n_group") * 70 / 100), F.floor(F.col("n_group") * 15 / 100)
-    split = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test")
+    sizes = split_sizes(d.groupBy("class").agg(F.count("*").alias("n"))).drop("n")
+    r = r.join(F.broadcast(sizes), "class")  # CLASSES rows
+    split = F.when(F.col("rank") <= F.col("n_train"), "train").when(F.col("rank") <= F.col("n_train") + F.col("n_val"), "val").otherwise("test")
     return r.select("doc_id", "class", split.alias("split"))
 
 
@@ -61,6 +64,10 @@ b AS (SELECT doc_id, p, h, CASE WHEN (doc_id * 31 + p) % 17 = 0 OR (doc_id * 31
 """
 SQL_SPLITS = """
 s0 AS (SELECT doc_id, (doc_id % 9 + 1)::INT AS class, sha256('42:' || doc_id) AS k FROM documents),
-s1 AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY k, doc_id) AS r, count(*) OVER (PARTITION BY class) AS n FROM s0),
-s AS (SELECT doc_id, class, CASE WHEN r <= floor(n * 70 / 100) THEN 'train' WHEN r <= floor(n * 70 / 100) + floor(n * 15 / 100) THEN 'val' ELSE 'test' END AS split FROM s1)
+z0 AS (SELECT class, count(*) AS c, sum(count(*)) OVER ()::BIGINT AS n, ceil(0.3 * sum(count(*)) OVER ())::BIGINT AS h FROM s0 GROUP BY class),
+z1 AS (SELECT *, c * (n - h) // n + (row_number() OVER (ORDER BY c * (n - h) % n DESC, class) <= n - h - sum(c * (n - h) // n) OVER ())::INT AS tr FROM z0),
+z2 AS (SELECT *, c - tr AS r, h - ceil(0.5 * h)::BIGINT AS v FROM z1),
+z AS (SELECT class, tr, r * v // h + (row_number() OVER (ORDER BY r * v % h DESC, class) <= v - sum(r * v // h) OVER ())::INT AS va FROM z2),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY k, doc_id) AS r FROM s0),
+s AS (SELECT doc_id, class, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'val' ELSE 'test' END AS split FROM s1 JOIN z USING (class))
 """

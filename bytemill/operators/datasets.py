@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hexdump import with_parsed
-from ..functions.ranking import ranked
+from ..functions.ranking import numbered, ranked
 from ..functions.standins import SQL_BYTES, SQL_SPLITS, documents, splits
 from ..plans.catalog import query, table
 from .profile import dumps
@@ -19,14 +21,95 @@ BATCH = 32
 
 def batches(rows: DataFrame, id_col: str, class_col: str, size: int = BATCH, seed: int | None = None) -> DataFrame:
     """``rows`` with label (class - 1) and batch numbers from 0: in the order of a seeded hash of the id, or of the id's
-    text without a seed. Ranks come from counts of hash or text prefixes, so no task holds all rows."""
+    text without a seed. Ranks come from counts of hash prefixes, or of ranges that Spark samples; no task holds all rows."""
     name = F.col(id_col).cast("string")
-    key = name if seed is None else F.sha2(F.concat(F.lit(f"{seed}:"), name), 256)
-    placed = ranked(rows.withColumn("order_", key), [], F.substring("order_", 1, 3), ["order_"])
+    if seed is None:
+        placed = numbered(rows.withColumn("order_", name), ["order_"])
+    else:
+        placed = ranked(rows.withColumn("order_", F.sha2(F.concat(F.lit(f"{seed}:"), name), 256)), [], F.substring("order_", 1, 3), ["order_"])
     out = placed.withColumns({"label": F.col(class_col) - 1, "batch": F.floor((F.col("rank") - 1) / size)})
     return out.drop("order_", "rank", "n_group")
 
 
+#: A prime below 2 ** 31, so that products of two numbers below it fit 64 bits; rounds of a permutation; steps of a walk.
+PRIME, ROUNDS, WALK = 2147483647, 4, 40
+
+
+def epoch_keys(seed: int, epoch: int) -> list[tuple[int, int, int]]:
+    """The numbers of each round of an epoch's permutation."""
+    digits = [int.from_bytes(hashlib.sha256(f"{seed}:{epoch}:{r}:{k}".encode()).digest()[:4], "big") % (PRIME - 1) + 1 for r in range(ROUNDS) for k in range(3)]
+    return [tuple(digits[3 * r : 3 * r + 3]) for r in range(ROUNDS)]
+
+
+def epoch_place(number: Column, n: int, seed: int, epoch: int) -> Column:
+    """Where row ``number`` (0 .. n - 1) stands in an epoch: a keyed permutation, by arithmetic on the row alone.
+
+    Two halves of the number are mixed in turns (a Feistel network over a * b >= n places); what falls on n or beyond,
+    one in sqrt(n) at most, is mixed again until it doesn't. A number outside 0 .. n - 1 raises.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    keys = epoch_keys(seed, epoch)
+
+    def mixed(x: Column) -> Column:
+        long = lambda v: F.lit(v).cast("long")
+        low = F.pmod(x, long(b))
+        halves = F.struct(F.floor((x - low) / b).cast("long").alias("l"), low.alias("r"))  # exact below 2 ** 53 rows
+        rounds = F.array(*(F.struct(long(p).alias("p"), long(q).alias("q"), long(s).alias("s"), F.lit(i % 2 == 0).alias("left")) for i, (p, q, s) in enumerate(keys)))
+
+        def turn(h: Column, k: Column) -> Column:
+            half = F.pmod(F.when(k["left"], h["r"]).otherwise(h["l"]), long(PRIME))
+            f = F.pmod(F.pmod(half * half, long(PRIME)) * k["p"] + half * k["q"] + k["s"], long(PRIME))
+            return F.struct(F.when(k["left"], F.pmod(h["l"] + f, long(a))).otherwise(h["l"]).alias("l"), F.when(k["left"], h["r"]).otherwise(F.pmod(h["r"] + f, long(b))).alias("r"))
+
+        return F.aggregate(rounds, halves, turn, lambda h: h["l"] * b + h["r"])
+
+    inside = F.when(number.between(0, n - 1), number.cast("long")).otherwise(F.raise_error(F.lit("a row number from 0 to n - 1 is expected")).cast("long"))
+    steps = F.sequence(F.lit(1), F.lit(min(WALK, a)))
+    found = F.aggregate(steps, mixed(inside), lambda x, _: F.when(x < n, x).otherwise(mixed(x)))
+    return F.when(found < n, found).otherwise(F.raise_error(F.lit("a walk of the permutation was too long")).cast("long"))
+
+
+def row_numbers(rows: DataFrame) -> tuple[DataFrame, int]:
+    """A table of Parquet files with ``number``, 0 .. n - 1 in the order of files and their rows, and n.
+
+    Only the files' lengths are gathered; no row is moved. One row for each file comes to the driver and goes to all tasks.
+    """
+    spark = rows.sparkSession
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("index_"))
+    lengths = placed.groupBy("file_").agg((F.max("index_") + 1).alias("n")).orderBy("file_").collect()
+    before, begins = 0, []
+    for r in lengths:
+        begins.append((r.file_, before))
+        before += r.n
+    begins = spark.createDataFrame(begins, "file_ string, begin_ long")
+    return placed.join(F.broadcast(begins), "file_").withColumn("number", F.col("begin_") + F.col("index_")).drop("file_", "index_", "begin_"), before
+
+
+def epoch_batches(rows: DataFrame, number: str, n: int, size: int = BATCH, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """``rows`` with place and batch in an epoch: another order for each epoch, without a sort or a shuffle."""
+    return rows.withColumn("place", epoch_place(F.col(number), n, seed, epoch)).withColumn("batch", F.floor(F.col("place") / size))
+
+
+def _epoch_sql(epoch: int, seed: int) -> str:
+    f = lambda half, k: f"(((({half} % {PRIME}) * ({half} % {PRIME})) % {PRIME}) * {k[0]} + ({half} % {PRIME}) * {k[1]} + {k[2]}) % {PRIME}"
+    k = epoch_keys(seed, epoch)
+    mixed = f"""SELECT doc_id, n, a, b, l2 * b + r2 AS x FROM (SELECT *, (r1 + {f('l2', k[3])}) % b AS r2 FROM (SELECT *, (l1 + {f('r1', k[2])}) % a AS l2 FROM
+      (SELECT *, (r0 + {f('l1', k[1])}) % b AS r1 FROM (SELECT *, (l0 + {f('r0', k[0])}) % a AS l1 FROM (SELECT doc_id, n, a, b, x // b AS l0, x % b AS r0 FROM"""
+    return f"""w{epoch} AS ({mixed} d))))) UNION ALL {mixed} w{epoch} WHERE x >= n))))))"""
+
+
+@query("epoch_batches", f"""WITH RECURSIVE d0 AS (SELECT doc_id, doc_id AS x, (SELECT max(doc_id) + 1 FROM documents) AS n FROM documents), d1 AS (SELECT *, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM d0), d AS (SELECT *, (n + a - 1) // a AS b FROM d1),
+{_epoch_sql(0, 11)}, {_epoch_sql(1, 11)}
+SELECT 0 AS epoch, doc_id, x AS place, x // 32 AS batch FROM w0 WHERE x < n UNION ALL SELECT 1, doc_id, x, x // 32 FROM w1 WHERE x < n""")
+def epoch_batches_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two epochs; the id is the row number."""
+    d = documents(spark, sf_dir).select("doc_id")
+    n = (d.agg(F.max("doc_id")).first()[0] or 0) + 1
+    each = [epoch_batches(d, "doc_id", n, seed=11, epoch=e).select(F.lit(e).alias("epoch"), "doc_id", "place", "batch") for e in (0, 1)]
+    return each[0].unionByName(each[1])
+
+
 @query("dataset_batches", f"""WITH {SQL_SPLITS}, o AS (SELECT *, row_number() OVER (ORDER BY sha256('7:' || doc_id)) AS r FROM s WHERE split = 'train')
 SELECT doc_id, class - 1 AS label, (r - 1) // 32 AS batch FROM o""")
 def dataset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
