@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..functions.hexdump import with_parsed
 from .workspace import shared_path
@@ -93,20 +94,54 @@ def write_run(path: str, config: Mapping[str, object], history: DataFrame, metri
     write_report(spark, metrics, f"{path}/metrics.json")
 
 
+def _digest(columns: list[str]) -> list[Column]:
+    """A digest of rows in any order, as aggregates that add up over files: counts and sums of halves of row hashes."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    h = F.xxhash64(*cells, *(c.isNull() for c in cells)) if cells else F.lit(0).cast("long")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    add = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return [F.count(F.lit(1)).alias("n"), add(low).alias("low"), add(high).alias("high")]
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def _stage(rows: DataFrame, at: str) -> None:
+    rows.write.mode("errorifexists").parquet(at)
+
+
+def _file_digests(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """file (its name), n, low and high of each file of a table."""
+    return rows.groupBy(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file")).agg(*_digest(columns))
+
+
 def publish(rows: DataFrame, path: str, least_rows: int = 1, check: Callable[[DataFrame], bool] | None = None) -> int:
-    """A new version of a published table: written beside the others, read back, counted and checked, then named the
-    current one by replacing a small file at once. Readers of ``read_published`` see the old version or the new one."""
+    """A new version of a published table, in two phases.
+
+    First the rows are written beside the other versions; their count and a digest of their contents are observed while
+    they are. Then the files are read back: what they hold must be what was written, there must be enough rows, and
+    ``check`` must agree; else they are deleted and ValueError raised. Only then the version is named the current one, by
+    replacing a small file at once, together with a table of its files' counts and digests. Readers of
+    ``read_published`` see the old version or the new one.
+    """
     spark = rows.sparkSession
     version = uuid.uuid4().hex
     at = f"{path}/versions/{version}"
-    rows.write.mode("errorifexists").parquet(at)
-    staged = spark.read.parquet(at)
-    n = staged.count()
-    if n < least_rows or (check is not None and not check(staged)):
-        where, fs = _path(spark, at)
-        fs.delete(where, True)
-        raise ValueError(f"{n} rows written (at least {least_rows} expected), or the check failed")
-    write_report(spark, {"version": version, "rows": n}, f"{path}/current.json")
+    columns = [f.name for f in rows.schema if _hashable(f.dataType)]
+    seen = Observation()
+    _stage(rows.observe(seen, *_digest(columns)), at)
+    staged = spark.read.schema(rows.schema).parquet(at)
+    _file_digests(staged, columns).write.parquet(f"{path}/files/{version}")
+    found = spark.read.parquet(f"{path}/files/{version}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "low", "high"))).first()
+    n = found.n
+    if found.asDict() != seen.get or n < least_rows or (check is not None and not check(staged)):
+        for where, fs in (_path(spark, at), _path(spark, f"{path}/files/{version}")):
+            fs.delete(where, True)
+        raise ValueError(f"{n} rows read back of {seen.get['n']} written (at least {least_rows} expected), or their contents or the check differ")
+    write_report(spark, {"version": version, "rows": n, "columns": columns}, f"{path}/current.json")
     return n
 
 
@@ -115,6 +150,17 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/versions/{read_report(spark, f'{path}/current.json')['version']}")
 
 
+def verify_published(spark: SparkSession, path: str) -> DataFrame:
+    """(file, fault) of the current version's files that are missing, extra, or changed since they were published."""
+    now = read_report(spark, f"{path}/current.json")
+    known = spark.read.parquet(f"{path}/files/{now['version']}")
+    found = _file_digests(read_published(spark, path), now["columns"]).select(F.col("file").alias("file_"), F.struct("n", "low", "high").alias("now"))
+    # Files without rows are in neither.
+    both = known.select("file", F.struct("n", "low", "high").alias("then")).join(found, F.col("file") == F.col("file_"), "full_outer")
+    fault = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "extra").when(F.col("now") != F.col("then"), "changed")
+    return both.select(F.coalesce("file", "file_").alias("file"), fault.alias("fault")).filter("fault IS NOT NULL")
+
+
 def stored(rows: DataFrame, name: str, least_rows: int = 0) -> DataFrame:
     """``rows`` published in the shared folder and read back: computed once, whatever reads them."""
     at = shared_path(rows.sparkSession, name)

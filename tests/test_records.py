@@ -1,16 +1,21 @@
 """Plans of the verifiers, and scores of groups without variance."""
 
-from bytemill.operators import fusion, records
+import os
 
+import pytest
 
-def test_a_submission_reads_the_bytes_once(spark):
-    """All checks read written tables: no byte kernel is left in the plan of the report."""
-    plan = records.submission_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+from bytemill.operators import fusion, submission
+from bytemill.sources import files
+
+
+def test_a_submission_reads_written_tables(spark):
+    """No byte kernel is left in the plan of the report."""
+    plan = submission.submission_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "FlatMap" not in plan
 
 
 def test_every_planted_kind_of_fault_is_told(spark):
-    told = {r.check: r.n for r in records.submission_report(spark, "/root/testdata/sf0.01").collect()}
+    told = {r.check: r.n for r in submission.submission_report(spark, "/root/testdata/sf0.01").collect()}
     for name in ("record_pixel_sha256", "quality_reason", "quality_unknown_ratio", "collection_missing_file", "dataset_mask", "dataset_repeated_id", "dataset_null_id", "unsafe_id"):
         assert told[name] > 0, name
     assert told["quality_head_unknown_ratio"] == told["missing_id"] == 0
@@ -22,3 +27,45 @@ def test_scores_of_groups_without_variance():
     assert flat == 1e-6
     assert fusion.adaptive_weights({"a": flat, "b": flat}, "variance_proportional") == {"a": 0.5, "b": 0.5}
     assert fusion.adaptive_weights({"a": flat, "b": 3 * flat}, "variance_proportional") == {"a": 0.25, "b": 0.75}
+
+
+def parts(at):
+    return sorted(os.path.join(d, f) for d, _, names in os.walk(at) for f in names if f.startswith("part-") and "/versions/" in d)
+
+
+def test_a_corrupted_staged_file_is_refused(spark, tmp_path, monkeypatch):
+    """Files that lose, change or repeat rows between their writing and their reading back are never published."""
+    at = str(tmp_path / "t")
+    rows = spark.range(100).selectExpr("id", "id % 3 = 0 AS b", "array(id, null) AS a", "map('k', id) AS m", "CAST(null AS string) AS s").repartition(4)
+    assert files.publish(rows, at) == 100 and files.verify_published(spark, at).count() == 0
+    stage = files._stage
+    for fault in ("lost", "changed", "repeated"):
+
+        def staged(table, where, fault=fault):
+            stage(table, where)
+            if fault == "lost":
+                os.remove(parts(where)[0])
+            else:
+                one = spark.read.parquet(parts(where)[0]).limit(5).cache()
+                (one.selectExpr("id + 1 AS id", "b", "a", "m", "s") if fault == "changed" else one).write.mode("append").parquet(where)
+
+        monkeypatch.setattr(files, "_stage", staged)
+        with pytest.raises(ValueError, match="read back"):
+            files.publish(rows, at)
+        assert files.read_published(spark, at).count() == 100 and len({os.path.dirname(p) for p in parts(at)}) == 1
+    monkeypatch.setattr(files, "_stage", stage)
+    assert files.publish(rows.limit(0), at, least_rows=0) == 0 and files.verify_published(spark, at).count() == 0
+
+
+def test_published_files_are_known_by_their_contents(spark, tmp_path):
+    at = str(tmp_path / "t")
+    files.publish(spark.range(100).repartition(4), at)
+    lost, changed = parts(at)[:2]
+    os.remove(lost)
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "other"))
+    other = next(f for f in os.listdir(tmp_path / "other") if f.startswith("part-"))
+    os.replace(tmp_path / "other" / other, changed)
+    os.remove(os.path.join(os.path.dirname(changed), f".{os.path.basename(changed)}.crc"))
+    spark.range(2).coalesce(1).write.mode("append").parquet(os.path.dirname(changed))
+    told = {r.file: r.fault for r in files.verify_published(spark, at).collect()}
+    assert told.pop(os.path.basename(lost)) == "missing" and told.pop(os.path.basename(changed)) == "changed" and list(told.values()) == ["extra"]
