@@ -136,10 +136,10 @@ SETTINGS = {"dataset": "documents", "method": "equal-position-bin known-byte mea
 
 
 def stored_collection(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The stand-ins' manifest, images and masks, written and read back; the bytes are read once for the images."""
-    g = stored(grids(samples(spark, sf_dir), SIDE).select(F.col("doc_id").cast("string").alias("id"), "pixel", "mask"), "grids")
-    manifest = stored(records(spark, sf_dir), "records")
-    placed = g.join(manifest.select("id", "image_path", "mask_path"), "id")
+    """The stand-ins' manifest, images and masks, written and read back; the bytes are read once for all of them."""
+    g = stored(grids(samples(spark, sf_dir), SIDE), "grids")
+    manifest = stored(records(spark, sf_dir, g), "records")
+    placed = g.withColumn("id", F.col("doc_id").cast("string")).join(manifest.select("id", "image_path", "mask_path"), "id")
     return {"manifest": manifest, "images": placed.select("id", F.col("image_path").alias("path"), F.col("pixel").alias("data")), "masks": placed.select("id", F.col("mask_path").alias("path"), F.col("mask").alias("data"))}
 
 
@@ -163,7 +163,10 @@ SELECT 'unexpected_path' AS "check", 0 AS n UNION ALL SELECT 'repeated_path', 0
 UNION ALL SELECT 'wrong_size', count(*) FILTER (n <> 1024) FROM bad UNION ALL SELECT 'hash_mismatch', count(*) FILTER (h <> pixel_sha256) FROM bad""")
 def image_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored collection with lost, blackened, cut and extra images against its manifest."""
-    found = stored_collection(spark, sf_dir)
+    return check_images(stored_collection(spark, sf_dir))
+
+
+def check_images(found: Mapping[str, DataFrame]) -> DataFrame:
     return inspect_images(found["manifest"], stored(damaged_images(found["images"]), "images"), "image_path", "data", "pixel_sha256", "images")
 
 
@@ -199,7 +202,11 @@ def _same_sql() -> str:
 @query("report_verify", f"WITH {SQL_IMAGES} {_same_sql()}")
 def report_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored report, some blocks of which were replaced, against one computed from a collection that was damaged since."""
-    found = stored_collection(spark, sf_dir)
+    return check_report(stored_collection(spark, sf_dir))
+
+
+def check_report(found: Mapping[str, DataFrame]) -> DataFrame:
+    spark = found["manifest"].sparkSession
     report = image_report(found["manifest"], found["images"], found["masks"], SETTINGS)
     path = f"{shared_path(spark, 'report')}.json"
     write_report(spark, report, path)

@@ -4,21 +4,21 @@ import os
 
 import pytest
 
-from bytemill.operators import fusion, submission
+from bytemill.operators import collection, fusion, records, submission
 from bytemill.sources import files
 
 
-def test_a_submission_reads_written_tables(spark):
-    """No byte kernel is left in the plan of the report."""
-    plan = submission.submission_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInArrow" not in plan and "FlatMap" not in plan
-
-
-def test_every_planted_kind_of_fault_is_told(spark):
+def test_a_submission(spark, monkeypatch):
+    """Every planted kind of fault is told; one grid kernel serves the manifest, the images, the masks and all that is checked of them."""
+    calls = []
+    grids = collection.grids
+    monkeypatch.setattr(collection, "grids", lambda *a: (calls.append(a), grids(*a))[1])
+    monkeypatch.setattr(records, "grids", lambda *a: pytest.fail("the bytes are read again"))
     told = {r.check: r.n for r in submission.submission_report(spark, "/root/testdata/sf0.01").collect()}
-    for name in ("record_pixel_sha256", "quality_reason", "quality_unknown_ratio", "collection_missing_file", "dataset_mask", "dataset_repeated_id", "dataset_null_id", "unsafe_id"):
+    assert len(told) > 100 and len(calls) == 1
+    for name in ("record_pixel_sha256", "quality_reason", "quality_unknown_ratio", "collection_missing_file", "dataset_mask", "dataset_repeated_id", "dataset_null_id", "unsafe_id", "image_hash_mismatch", "report_output.split_counts", "source_mismatch"):
         assert told[name] > 0, name
-    assert told["quality_head_unknown_ratio"] == told["missing_id"] == 0
+    assert told["quality_head_unknown_ratio"] == told["missing_id"] == told["report_method"] == 0
 
 
 def test_scores_of_groups_without_variance():
