@@ -17,7 +17,6 @@ Tokens are two characters of 0-9, A-F, a-f; looser spellings that a general inte
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -26,65 +25,99 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import let
-from .bytestats import binary_column
+from .bytestats import binary_column, slices
 
 DIALECTS = ("profile", "extract", "train", "serve", "image")
 _BY_LINE = ("extract", "train", "serve")
 PARSED = "struct<values:array<int>,n_total:int,n_known:int,n_unknown:int,n_invalid:int,rejected:boolean>"
-# What an address looks like, and what stands for an unknown byte.
-_ADDRESS = re.compile(rb"[0-9a-fA-F]{8}")
-_STRIP_ADDRESS = re.compile(rb"(?m)^[0-9a-fA-F]{8}[ \t]+")
-_SOLID = re.compile(rb"(?:[0-9a-fA-F]{2}|\?\?)*")
+# White space between tokens; hexadecimal digits; what stands for an unknown byte.
+_IS_WHITE, _IS_HEX = np.zeros(256, bool), np.zeros(256, bool)
+_IS_WHITE[list(b" \t\n\r\x0b\x0c")] = True
+_IS_HEX[list(b"0123456789abcdefABCDEF")] = True
+_UNKNOWN_PAIR, _ADDRESS = b"??", 8
 UNKNOWN, INVALID = -1, -2
-_CODES = {f"{a}{b}".encode(): int(a + b, 16) for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF"} | {b"??": UNKNOWN}
 _PAIRS = np.full(1 << 16, INVALID, np.int16)
-for _pair, _code in _CODES.items():
-    _PAIRS[_pair[0] << 8 | _pair[1]] = _code
-
-
-def _pairs(solid: bytes) -> np.ndarray:
-    """Codes of a text without white space, two characters at a time; an odd last one is invalid."""
-    two = np.frombuffer(solid[: len(solid) // 2 * 2], np.uint8).reshape(-1, 2).astype(np.int64)
-    codes = _PAIRS[two[:, 0] << 8 | two[:, 1]]
-    return np.append(codes, np.int16(INVALID)) if len(solid) % 2 else codes
-
-
-def token_codes(raw: bytes, dialect: str) -> np.ndarray:
-    """A dump's tokens as byte values, UNKNOWN or INVALID."""
-    raw = raw.replace(b"\r\n", b"\n")
+for _a in b"0123456789abcdefABCDEF":
+    for _b in b"0123456789abcdefABCDEF":
+        _PAIRS[_a << 8 | _b] = int(bytes((_a, _b)), 16)
+_PAIRS[_UNKNOWN_PAIR[0] << 8 | _UNKNOWN_PAIR[1]] = UNKNOWN
+
+
+def _line_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    starts = np.zeros(len(data) + 1, bool)
+    starts[1:] = data == 10
+    starts[offs[:-1]] = True
+    return starts[:-1]
+
+
+def _words(data: np.ndarray, offs: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of all texts begin and end, and whose they are."""
+    inside = ~white
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    opens = inside & np.concatenate([[True], white[:-1]]) | inside & edge[:-1]
+    closes = inside & np.concatenate([white[1:], [True]]) | inside & edge[1:]
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(offs, starts, side="right") - 1
+
+
+def _word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    padded = np.append(data, 0).astype(np.int64)
+    return np.where(ends - starts == 2, _PAIRS[padded[starts] << 8 | padded[starts + 1]], np.int16(INVALID))
+
+
+def token_codes(data: np.ndarray, offs: np.ndarray, dialect: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the dumps ``data[offs[i]:offs[i + 1]]`` as byte values, UNKNOWN or INVALID, and whose they are, in order."""
+    if not len(data):
+        return np.zeros(0, np.int16), np.zeros(0, np.int64)
+    white = _IS_WHITE[data]
+    lines = _line_starts(data, offs)
+    digits = np.append(0, np.cumsum(_IS_HEX[data]))
     if dialect in _BY_LINE:
-        tokens: list[bytes] = []
-        for line in raw.split(b"\n"):
-            words = line.split()
-            if words and _ADDRESS.fullmatch(words[0]):
-                words = words[1:]
-            tokens += words
-    else:
-        words = _STRIP_ADDRESS.sub(b"", raw).split()
-        solid = b"".join(words)
-        if dialect == "image" or _SOLID.fullmatch(solid):
-            return _pairs(solid)
-        tokens = words
-    return np.fromiter((_CODES.get(t, INVALID) for t in tokens), np.int16, len(tokens))
-
-
-def _parsed(column: pa.Array, dialect: str) -> pa.StructArray:
-    data, offs = binary_column(column)
-    raw = data.tobytes()
-    kept, counts = [], np.zeros((len(offs) - 1, 5), np.int32)
-    rejected = np.zeros(len(offs) - 1, bool)
-    for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
-        codes = token_codes(raw[a:b], dialect)
-        unknown, invalid = int((codes == UNKNOWN).sum()), int((codes == INVALID).sum())
-        known = len(codes) - unknown - invalid
-        rejected[i] = {"train": invalid > 0 or not known, "serve": invalid > 0 or not len(codes), "image": invalid > 0 or not len(codes)}.get(dialect, False)
-        codes = codes[codes != INVALID] if dialect == "profile" else codes
-        kept.append(codes)
-        counts[i, :4] = len(codes), known, unknown, invalid
-    flat = np.concatenate([np.zeros(0, np.int16), *kept]).astype(np.int32)
-    bounds = pa.array(np.concatenate([[0], np.cumsum(counts[:, 0])]), pa.int32())
-    values = pa.ListArray.from_arrays(bounds, pa.array(flat, mask=flat < 0))
-    return pa.StructArray.from_arrays([values, *(pa.array(counts[:, k]) for k in range(4)), pa.array(rejected)], ["values", "n_total", "n_known", "n_unknown", "n_invalid", "rejected"])
+        starts, ends, owner = _words(data, offs, white)
+        line = np.cumsum(lines)[starts] if len(starts) else starts
+        first = np.ones(len(starts), bool)
+        first[1:] = line[1:] != line[:-1]
+        kept = ~(first & (ends - starts == _ADDRESS) & (digits[ends] - digits[starts] == _ADDRESS))
+        return _word_codes(data, starts[kept], ends[kept]), owner[kept]
+    # An address at a line's beginning, with a blank behind it, counts as white space.
+    at = np.flatnonzero(lines)
+    stop = offs[np.searchsorted(offs, at, side="right")]
+    at = at[at + _ADDRESS < stop]
+    at = at[(digits[at + _ADDRESS] - digits[at] == _ADDRESS) & np.isin(data[at + _ADDRESS], (32, 9))]
+    white = white.copy()
+    white[(at[:, None] + np.arange(_ADDRESS)).ravel()] = True
+    solid = np.flatnonzero(~white)
+    owner = np.searchsorted(offs, solid, side="right") - 1
+    begin = np.searchsorted(solid, offs)
+    even = (np.arange(len(solid)) - begin[owner]) % 2 == 0
+    high, who = solid[even], owner[even]
+    low = np.flatnonzero(even) + 1
+    whole = low < begin[who + 1]
+    low = np.where(whole, solid[np.minimum(low, max(0, len(solid) - 1))], 0)
+    pairs = np.where(whole, _PAIRS[data[high].astype(np.int64) << 8 | data[low]], np.int16(INVALID))
+    if dialect == "image":
+        return pairs, who
+    spoilt = np.bincount(who[pairs == INVALID], minlength=len(offs) - 1) > 0
+    starts, ends, word_owner = _words(data, offs, white)
+    by_word = spoilt[word_owner]
+    starts, ends, word_owner = starts[by_word], ends[by_word], word_owner[by_word]
+    whose = np.concatenate([who[~spoilt[who]], word_owner])
+    order = np.argsort(whose, kind="stable")
+    return np.concatenate([pairs[~spoilt[who]], _word_codes(data, starts, ends)])[order], whose[order]
+
+
+def _parsed(data: np.ndarray, offs: np.ndarray, dialect: str) -> pa.StructArray:
+    codes, owner = token_codes(data, offs, dialect)
+    n = len(offs) - 1
+    total, unknown, invalid = (np.bincount(owner[m], minlength=n) for m in (slice(None), codes == UNKNOWN, codes == INVALID))
+    known = total - unknown - invalid
+    rejected = {"train": (invalid > 0) | (known == 0), "serve": (invalid > 0) | (total == 0), "image": (invalid > 0) | (total == 0)}.get(dialect, np.zeros(n, bool))
+    if dialect == "profile":
+        codes, total = codes[codes != INVALID], total - invalid
+    values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(total)), pa.int32()), pa.array(codes.astype(np.int32), mask=codes < 0))
+    counts = [pa.array(x.astype(np.int32)) for x in (total, known, unknown, invalid)]
+    return pa.StructArray.from_arrays([values, *counts, pa.array(rejected)], ["values", "n_total", "n_known", "n_unknown", "n_invalid", "rejected"])
 
 
 def with_parsed(rows: DataFrame, text: str, dialects: Mapping[str, str]) -> DataFrame:
@@ -98,8 +131,8 @@ def with_parsed(rows: DataFrame, text: str, dialects: Mapping[str, str]) -> Data
             raise ValueError(f"unknown dialect {d!r}: choose from {DIALECTS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = {name: _parsed(batch.column(text), d) for name, d in dialects.items()}
+        for batch, data, offs in slices(batches, lambda part: binary_column(part.column(text)), text):
+            new = {name: _parsed(data, offs, d) for name, d in dialects.items()}
             yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
 
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
