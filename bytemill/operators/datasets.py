@@ -13,6 +13,7 @@ from ..functions.hexdump import with_parsed
 from ..functions.ranking import numbered, ranked
 from ..functions.standins import SQL_BYTES, SQL_SPLITS, documents, splits
 from ..plans.catalog import query, table
+from ..sources.files import stored
 from .profile import dumps
 from .verification import normalize_bool
 
@@ -159,18 +160,36 @@ def source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_sources(d, "text", pinned.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("t")).alias("expected")), "doc_id")
 
 
+#: Digests that a manifest may expect of a dump: of its text, of its tokens set end to end in capitals, and of its bytes with 0 for unknown ones.
+DIGESTS = ("raw_sha256", "token_sha256", "normalized_sha256")
+
+
+def dump_digests(dump: str) -> dict[str, Column]:
+    """The digests of a dump column; the last is null where the tokens are no bytes."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(dump, "\r\n", "\n"), r"(?m)^[0-9a-fA-F]{8}[ \t]+", ""), r"[ \t\n\r\x0B\f]+", "")
+    tokens = F.upper(bare)
+    return {"raw_sha256": F.sha2(dump, 256), "token_sha256": F.sha2(tokens, 256), "normalized_sha256": F.sha2(F.unhex(F.replace(tokens, F.lit("??"), F.lit("00"))), 256)}
+
+
 def parse_expected(rows: DataFrame, dump: str, expected: Mapping[str, str]) -> DataFrame:
-    """Dumps parsed by the image dialect, and whether their counts are those that a manifest expects (name of the count: its column)."""
+    """Dumps parsed by the image dialect, and whether their counts and digests are those that a manifest expects (name of the
+    count or of one of DIGESTS: its column)."""
     out = with_parsed(rows, dump, {"parsed": "image"})
-    same = [F.col(f"parsed.{count}") == F.col(column) for count, column in expected.items()]
+    digests = dump_digests(dump)
     ok = ~F.col("parsed.rejected")
-    for s in same:
-        ok = ok & F.coalesce(s, F.lit(False))
+    for name, column in expected.items():
+        found = digests[name] if name in DIGESTS else F.col(f"parsed.{name}")
+        ok = ok & F.coalesce(found == F.col(column), F.lit(False))
     return out.withColumn("as_expected", ok)
 
 
-@query("dump_expectations", f"""WITH {SQL_BYTES}, c AS (SELECT d.doc_id, count(b.p) AS n, count(*) FILTER ((b.doc_id * 31 + p) % 17 = 0) AS u, count(*) FILTER ((b.doc_id * 31 + p) % 17 <> 0 AND (b.doc_id * 31 + p) % 97 = 1) AS i
-FROM documents d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, n::INT AS n_total, u::INT AS n_unknown, i = 0 AND n > 0 AND doc_id % 4 <> 1 AS as_expected FROM c""")
+_DUMP_SQL = f"""{SQL_BYTES}, tk AS (SELECT doc_id, p, CASE WHEN (doc_id * 31 + p) % 17 = 0 THEN '??' WHEN (doc_id * 31 + p) % 97 = 1 THEN 'zz' ELSE h END AS t FROM b),
+ln AS (SELECT doc_id, l, lpad(to_hex(4198400 + l * 16), 8, '0') || ' ' || string_agg(t, ' ' ORDER BY p) AS line FROM (SELECT *, p // 16 AS l FROM tk) GROUP BY doc_id, l),
+rw AS (SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l), '') AS raw FROM documents d LEFT JOIN ln USING (doc_id) GROUP BY d.doc_id),
+ts AS (SELECT d.doc_id, coalesce(string_agg(upper(t), '' ORDER BY p), '') AS tokens, count(t) AS n, count(*) FILTER (t = '??') AS u, count(*) FILTER (t = 'zz') AS i FROM documents d LEFT JOIN tk USING (doc_id) GROUP BY d.doc_id)"""
+
+
+@query("dump_expectations", f"""WITH {_DUMP_SQL} SELECT doc_id, n::INT AS n_total, u::INT AS n_unknown, i = 0 AND n > 0 AND doc_id % 4 <> 1 AS as_expected FROM ts""")
 def dump_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth expectation is off by one."""
     sized = documents(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + F.when(F.col("doc_id") % 4 == 1, 1).otherwise(0)).alias("tokens"))
@@ -178,6 +197,18 @@ def dump_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "parsed.n_total", "parsed.n_unknown", "as_expected")
 
 
+@query("dump_digests", f"""WITH {_DUMP_SQL} SELECT doc_id, sha256(raw) AS raw_sha256, sha256(tokens) AS token_sha256, CASE WHEN i = 0 THEN sha256(unhex(replace(tokens, '??', '00'))) END AS normalized_sha256,
+i = 0 AND n > 0 AND doc_id % 5 NOT IN (1, 2, 3) AS as_expected FROM ts JOIN rw USING (doc_id)""")
+def dump_digests_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dumps against three digests of a stored manifest, of each of which some are wrong."""
+    digests = dump_digests("dump")
+    found = dumps(spark, sf_dir)
+    wrong = {name: F.when(F.col("doc_id") % 5 == k, "0").otherwise(digests[name]).alias(f"expected_{name}") for k, name in enumerate(DIGESTS, 1)}
+    manifest = stored(found.select("doc_id", *wrong.values()), "digests")
+    rows = parse_expected(found.join(manifest, "doc_id"), "dump", {name: f"expected_{name}" for name in DIGESTS})
+    return rows.select("doc_id", *(digests[name].alias(name) for name in DIGESTS), "as_expected")
+
+
 def integer_equal(value: Column, expected: Column) -> Column:
     """Whether a text or number is finite, whole and equal to the expected integer; null where it is not."""
     n = value.try_cast("double")

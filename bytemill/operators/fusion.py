@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query, table
+from ..sources.files import publish, published_facts, read_published
 
 #: Stand-in groups: places (from, to) in the embedding.
 GROUPS = {"byte_seq": (0, 40), "entropy": (40, 41), "ngram": (41, 64)}
@@ -31,13 +35,60 @@ def variance_score(variance: Sequence[float], eps: float = EPS) -> float:
     return math.log1p(max(sum(variance) / len(variance), 0.0)) + eps
 
 
-def column_stats(rows: DataFrame, vector: str) -> ColumnStats:
-    """Statistics of each place of an array column: one row for each place comes to the driver, whatever the input."""
-    cells = rows.select(F.posexplode(vector).alias("j", "x"))
-    got = cells.groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).orderBy("j").collect()
+def _place_sums(vector: str):
+    """Each task's n, least, largest, mean and sum of squared deviations of every place of an array column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            column = batch.column(vector)
+            lengths = pc.list_value_length(column).fill_null(0).to_numpy()
+            cells = column.flatten().cast(pa.float64())
+            j = np.arange(len(cells)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            here = cells.is_valid().to_numpy(zero_copy_only=False)
+            j, x = j[here], cells.fill_null(0).to_numpy()[here]
+            size = int(lengths.max(initial=0))
+            n = np.bincount(j, minlength=size)
+            mean = np.bincount(j, x, size) / np.maximum(n, 1)
+            low, high = np.full(size, np.inf), np.full(size, -np.inf)
+            np.minimum.at(low, j, x)
+            np.maximum.at(high, j, x)
+            new = np.stack([n, low, high, mean, np.bincount(j, (x - mean[j]) ** 2, size)])
+            state = new if state is None else _together(state, new)
+        if state is not None and state.shape[1]:
+            yield pa.RecordBatch.from_pydict({"size": [state.shape[1]], "state": [state.ravel().tolist()]})
+
+    return run
+
+
+def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The state of both parts' rows; a place that one lacks has no rows there."""
+    none = np.array([[0.0], [np.inf], [-np.inf], [0.0], [0.0]])
+    a, b = (np.concatenate([x, np.repeat(none, max(a.shape[1], b.shape[1]) - x.shape[1], axis=1)], axis=1) for x in (a, b))
+    n, gap = a[0] + b[0], b[3] - a[3]
+    share = b[0] / np.maximum(n, 1)
+    return np.stack([n, np.minimum(a[1], b[1]), np.maximum(a[2], b[2]), a[3] + gap * share, a[4] + b[4] + gap * gap * a[0] * share])
+
+
+def _merge_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            new = np.array(row["state"]).reshape(5, row["size"])
+            state = new if state is None else _together(state, new)
+    if state is not None:
+        yield pa.RecordBatch.from_pydict({"size": [state.shape[1]], "state": [state.ravel().tolist()]})
+
+
+def column_stats(rows: DataFrame, vector: str, parts: int = 16) -> ColumnStats:
+    """Statistics of each place of an array column, nulls left out: one row a task, merged in two levels; numbers for each place come to the driver."""
+    schema = "size long, state array<double>"
+    tasks = rows.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(_place_sums(vector), schema)
+    got = tasks.repartition(parts).mapInArrow(_merge_places, schema).repartition(1).mapInArrow(_merge_places, schema).first()
     if not got:
         raise ValueError(f"{vector} has no values")
-    return ColumnStats(*(tuple(float(r[c]) for r in got) for c in ("lo", "hi", "m", "v")))
+    n, low, high, mean, squares = np.array(got.state).reshape(5, got.size)
+    return ColumnStats(*(tuple(x.tolist()) for x in (low, high, mean, squares / np.maximum(n, 1))))
 
 
 def normalize(vector: Column, method: str = "none", stats: ColumnStats | None = None, expected: tuple[float, float] | None = None, scale: float | None = None) -> Column:
@@ -90,6 +141,18 @@ def fuse(rows: DataFrame, groups: Mapping[str, str], weights: Mapping[str, float
     return rows.withColumn(out, F.concat(*parts))
 
 
+def publish_fused(rows: DataFrame, groups: Mapping[str, str], sizes: Mapping[str, int], weights: Mapping[str, float], path: str, keep: Sequence[str] = ("id",)) -> int:
+    """Fused vectors with where each group stands in them and what it weighs, as one published set: readers see all of it or nothing."""
+    whole = fuse(rows, groups, weights).select(*keep, "fused")
+    facts = {"weights": dict(weights), "slices": {g: list(s) for g, s in slices(sizes).items()}, "size": sum(sizes.values())}
+    return publish(whole, path, check=lambda t: t.filter(F.size("fused") != facts["size"]).isEmpty(), facts=facts)
+
+
+def read_fused(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The fused vectors, and weights, slices and size."""
+    return read_published(spark, path), published_facts(spark, path)
+
+
 def _times(column: str, weight: float) -> Column:
     return F.transform(column, lambda x: x * weight)
 

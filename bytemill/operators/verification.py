@@ -27,6 +27,51 @@ def constant_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constant_columns(rows)
 
 
+def constant_report(rows: DataFrame, before: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(feature, value) of all constant columns but ``keys``, in place of what an earlier report said of the table's columns;
+    what it said of others stays. One pass over the table; values are text."""
+    columns = [c for c in rows.columns if c not in keys]
+    found = constant_columns(rows.select(*columns)).filter("constant").select(F.col("column").alias("feature"))
+    firsts = rows.agg(*(F.first(F.col(f"`{c}`").cast("string"), ignorenulls=True).alias(c) for c in columns))
+    values = firsts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for c in columns))).alias("x")).select("x.*")
+    now = found.join(values, "feature")
+    if before is None:
+        return now
+    kept = before.select("feature", "value").filter(~F.col("feature").isin(*rows.columns))
+    return kept.groupBy("feature").agg(F.max("value").alias("value")).unionByName(now)
+
+
+@query("constant_report", """SELECT 'one' AS feature, '1' AS value UNION ALL SELECT 'nothing', NULL UNION ALL SELECT 'gone', 'old'
+UNION ALL SELECT 'l_linenumber', any_value(l_linenumber)::VARCHAR FROM lineitem HAVING count(DISTINCT l_linenumber) = 1""")
+def constant_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier report that knows a column which is gone, and one that is constant no more."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1).alias("one"), F.lit(None).cast("int").alias("nothing"))
+    before = spark.createDataFrame([("gone", "old"), ("l_linenumber", "7"), ("one", "2")], "feature string, value string")
+    return constant_report(rows, before, ("l_orderkey",))
+
+
+def fill_hashes(rows: DataFrame, files: DataFrame, path: str, hash_: str, content: str = "content") -> DataFrame:
+    """``rows`` with the SHA-256 of the file at ``path`` where ``hash_`` is null or empty; a row whose file is missing then raises
+    when it is read. Contents are hashed only of files that rows without a hash name."""
+    if hash_ not in rows.columns:
+        rows = rows.withColumn(hash_, F.lit(None).cast("string"))
+    lacking = F.coalesce(F.col(hash_), F.lit("")) == ""
+    wanted = rows.filter(lacking).select(F.col(path).alias("path_")).distinct()
+    hashed = files.join(wanted, F.col("path") == F.col("path_"), "left_semi").select(F.col("path").alias("path_"), F.sha2(content, 256).alias("sha_"))
+    out = rows.join(hashed, F.col(path) == F.col("path_"), "left")
+    missing = F.raise_error(F.concat(F.lit("no file at "), F.coalesce(F.col(path), F.lit("null")))).cast("string")
+    return out.select(*(F.when(~lacking, F.col(c)).when(F.col("sha_").isNotNull(), F.col("sha_")).otherwise(missing).alias(c) if c == hash_ else F.col(c) for c in rows.columns))
+
+
+@query("fill_hashes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'known' ELSE sha256(coalesce(text, '')) END AS sha256 FROM documents")
+def fill_hashes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the documents lack their hash."""
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    rows = d.select("doc_id", F.concat(F.lit("d/"), "doc_id").alias("at"), F.when(F.col("doc_id") % 3 == 0, "known").when(F.col("doc_id") % 3 == 1, "").alias("sha256"))
+    return fill_hashes(rows, files, "at", "sha256").select("doc_id", "sha256")
+
+
 def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys found in more than one split; nulls are no key. One row a key; minima and maxima combine map-side."""
     g = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(split).alias("lo"), F.max(split).alias("hi"), F.count("*").alias("n"))

@@ -118,14 +118,14 @@ def _file_digests(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file")).agg(*_digest(columns))
 
 
-def publish(rows: DataFrame, path: str, least_rows: int = 1, check: Callable[[DataFrame], bool] | None = None) -> int:
+def publish(rows: DataFrame, path: str, least_rows: int = 1, check: Callable[[DataFrame], bool] | None = None, facts: Mapping[str, object] | None = None) -> int:
     """A new version of a published table, in two phases.
 
     First the rows are written beside the other versions; their count and a digest of their contents are observed while
     they are. Then the files are read back: what they hold must be what was written, there must be enough rows, and
     ``check`` must agree; else they are deleted and ValueError raised. Only then the version is named the current one, by
-    replacing a small file at once, together with a table of its files' counts and digests. Readers of
-    ``read_published`` see the old version or the new one.
+    replacing a small file at once, together with a table of its files' counts and digests; ``facts`` about the version
+    stand in that file, and so change with it. Readers of ``read_published`` see the old version or the new one.
     """
     spark = rows.sparkSession
     version = uuid.uuid4().hex
@@ -141,7 +141,7 @@ def publish(rows: DataFrame, path: str, least_rows: int = 1, check: Callable[[Da
         for where, fs in (_path(spark, at), _path(spark, f"{path}/files/{version}")):
             fs.delete(where, True)
         raise ValueError(f"{n} rows read back of {seen.get['n']} written (at least {least_rows} expected), or their contents or the check differ")
-    write_report(spark, {"version": version, "rows": n, "columns": columns}, f"{path}/current.json")
+    write_report(spark, {"version": version, "rows": n, "columns": columns, "facts": dict(facts or {})}, f"{path}/current.json")
     return n
 
 
@@ -150,6 +150,11 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/versions/{read_report(spark, f'{path}/current.json')['version']}")
 
 
+def published_facts(spark: SparkSession, path: str) -> dict:
+    """What was said about the current version of a published table."""
+    return read_report(spark, f"{path}/current.json")["facts"]
+
+
 def verify_published(spark: SparkSession, path: str) -> DataFrame:
     """(file, fault) of the current version's files that are missing, extra, or changed since they were published."""
     now = read_report(spark, f"{path}/current.json")

@@ -1,10 +1,12 @@
 """Plans of the verifiers, and scores of groups without variance."""
 
+import hashlib
 import os
 
+import numpy as np
 import pytest
 
-from bytemill.operators import collection, fusion, records, submission
+from bytemill.operators import collection, fusion, records, submission, verification
 from bytemill.sources import files
 
 
@@ -69,3 +71,35 @@ def test_published_files_are_known_by_their_contents(spark, tmp_path):
     spark.range(2).coalesce(1).write.mode("append").parquet(os.path.dirname(changed))
     told = {r.file: r.fault for r in files.verify_published(spark, at).collect()}
     assert told.pop(os.path.basename(lost)) == "missing" and told.pop(os.path.basename(changed)) == "changed" and list(told.values()) == ["extra"]
+
+
+def test_fused_sets_are_published_whole(spark, tmp_path):
+    at = str(tmp_path / "fused")
+    rows = spark.createDataFrame([("a", [1.0, 2.0], [3.0]), ("b", [4.0, 5.0], [6.0])], "id string, x array<double>, y array<double>")
+    assert fusion.publish_fused(rows, {"x": "x", "y": "y"}, {"x": 2, "y": 1}, {"x": 0.5, "y": 2.0}, at) == 2
+    table, facts = fusion.read_fused(spark, at)
+    assert {r.id: r.fused for r in table.collect()} == {"a": [0.5, 1.0, 6.0], "b": [2.0, 2.5, 12.0]}
+    assert facts == {"weights": {"x": 0.5, "y": 2.0}, "slices": {"x": [0, 2], "y": [2, 3]}, "size": 3}
+    with pytest.raises(ValueError):
+        fusion.publish_fused(rows, {"x": "x", "y": "y"}, {"x": 2, "y": 2}, {"x": 1.0, "y": 1.0}, at)
+    assert fusion.read_fused(spark, at)[1] == facts
+
+
+def test_column_statistics(spark):
+    """Places of ragged arrays with nulls, over many tasks, far from 0."""
+    rng = np.random.default_rng(3)
+    data = [[float(x) + 1e6 for x in rng.normal(size=rng.integers(0, 6))] for _ in range(500)] + [None, [None, 1e6]]
+    stats = fusion.column_stats(spark.createDataFrame([(x,) for x in data], "v array<double>").repartition(9), "v")
+    for j in range(5):
+        own = np.array([x[j] for x in data if x and len(x) > j and x[j] is not None])
+        assert np.allclose([stats.low[j], stats.high[j], stats.mean[j], stats.variance[j]], [own.min(), own.max(), own.mean(), own.var()], rtol=1e-9)
+    with pytest.raises(ValueError, match="no values"):
+        fusion.column_stats(spark.createDataFrame([], "v array<double>"), "v")
+
+
+def test_missing_files_have_no_hash(spark):
+    files_ = spark.createDataFrame([("a", b"x")], "path string, content binary")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, at string")
+    assert verification.fill_hashes(rows.filter("id = 1"), files_, "at", "h").first().h == hashlib.sha256(b"x").hexdigest()
+    with pytest.raises(Exception, match="no file at b"):
+        verification.fill_hashes(rows, files_, "at", "h").collect()
