@@ -23,6 +23,8 @@ _WHITE = "".join(map(chr, SEPARATORS))
 KEY = ("h1", "h2")
 #: Frequent keys (24 bytes each) that are sent to all tasks at most; parts of a key's documents beyond that.
 MOST_SENT, SALTS = 500_000, 32
+#: Parts of a document's lost keys.
+PARTS = 1024
 
 
 def line_key(line: Column) -> Column:
@@ -43,11 +45,19 @@ def _hashed(line: Column, least_chars: int) -> Column:
 
 def line_hashes(docs: DataFrame, least_chars: int = 40) -> DataFrame:
     """The distinct (doc_id, h1, h2) of all lines that are long enough."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), lambda x: _hashed(x, least_chars)), lambda k: k.isNotNull()))
+    keys = F.filter(F.transform(_lines(F.col("text")), lambda x: _hashed(x, least_chars)), lambda k: k.isNotNull())
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(keys).alias("k"))
     return rows.select("doc_id", "k.h1", "k.h2").distinct()
 
 
+def _part(h1: Column) -> Column:
+    return F.pmod(h1, F.lit(PARTS).cast("long"))
+
+
+def _holds(lost: Column, key: Column) -> Column:
+    return F.array_contains(F.element_at(lost, _part(key["h1"])), key)
+
+
 class LineRuns:
     """Levels of sorted runs in the shared folder, no key in two of them, and later batches' updates of their keys."""
 
@@ -119,12 +129,14 @@ def found_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
         runs.add(hashes.filter(F.col("batch") == b).drop("batch"))
     frequent = written(runs.frequent(least_docs), f"{at}-frequent")
     lost = _with_hot_keys(hashes.drop("batch"), frequent).filter("doc_id <> max_doc")
-    lost = written(lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("lost")), f"{at}-lost")
+    # A document's lost keys by PARTS parts of their hash, so that a line is compared with few of them.
+    parts = lost.repartition("doc_id").groupBy("doc_id", _part(F.col("h1")).alias("part")).agg(F.collect_list(F.struct(*KEY)).alias("keys"))
+    lost = written(parts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "keys"))).alias("lost")), f"{at}-lost")
     discard(spark, at, runs.path, f"{at}-frequent")
     # One plan at every size: a small table of losses would be sent to all tasks, a large one not.
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).join(lost.hint("merge"), F.col("id") == F.col("doc_id"), "left")
     lines = _lines(F.col("row.text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), _hashed(x, least_chars)), F.lit(False)))
+    kept = F.filter(lines, lambda x: ~F.coalesce(_holds(F.col("lost"), _hashed(x, least_chars)), F.lit(False)))
     rows = rows.withColumn("kept", F.when(F.col("lost").isNull(), lines).otherwise(kept))
     counts = F.size(lines).cast("long"), (F.size(lines) - F.size("kept")).cast("long")
     return rows.select("row", F.array_join("kept", "\n").alias("text"), counts[0].alias("n_lines"), counts[1].alias("n_dropped"))

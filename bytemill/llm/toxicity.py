@@ -159,6 +159,11 @@ class Model:
     slope: float = 1.0
     bias: float = -3.0
 
+    @property
+    def lengths(self) -> set[int]:
+        """How long the learnt beginnings are: a word is cut there only, however long it is."""
+        return {len(start) for start in self.starts}
+
     def finder(self) -> re.Pattern:
         whole = sorted({*self.words, *FILTH, *ACTS, *ENDS}, key=lambda w: (-len(w), w))
         begun = sorted(self.starts, key=lambda w: (-len(w), w))
@@ -167,7 +172,7 @@ class Model:
 
     def symbol(self, word: str) -> tuple[str, float]:
         """A word's class, and the weight that it has if the grammar makes it an insult; what is learnt goes first."""
-        weight = self.words.get(word) or max((self.starts.get(word[:k], 0.0) for k in range(3, len(word))), default=0.0)
+        weight = self.words.get(word) or max((self.starts.get(word[:k], 0.0) for k in self.lengths if k < len(word)), default=0.0)
         if weight:
             return INSULT, weight
         for name, words in CLASSES.items():
@@ -253,7 +258,7 @@ def _log_odds(toxic, clean, n_toxic, n_clean, spread: float = 1.5) -> float:
 
 def _cover(rows: list, weights: dict[str, float], n_toxic: int) -> dict[str, float]:
     """Greedy cover of the toxic documents: each pick explains the most documents that no pick explains yet."""
-    left = [(set(r.found) & weights.keys()) for r in rows if r.toxic == 1]
+    left = [set(r.found) & weights.keys() for r in rows]
     picks: dict[str, float] = {}
     least = max(2, n_toxic // 400)
     while True:
@@ -298,8 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counts = counts.filter("t >= 3").filter(F.col("t") * n_clean > 4 * F.col("c") * n_toxic)
     # Bounded by FIT_ROWS documents, like all that is collected here.
     weights = {r.f: w for r in counts.orderBy("f").collect() if (w := _log_odds(r.t, r.c, n_toxic, n_clean)) > 1.0}
-    names = F.array(*[F.lit(f) for f in weights]) if weights else F.array().cast("array<string>")
-    found = rows.filter("toxic = 1").select("toxic", F.array_intersect(_features(F.col("text")), names).alias("found")).collect()
+    names = docs.sparkSession.createDataFrame([(f,) for f in weights], "f string")
+    toxic = rows.filter("toxic = 1").select("h", F.explode(_features(F.col("text"))).alias("f"))
+    found = toxic.join(F.broadcast(names), "f").groupBy("h").agg(F.array_sort(F.collect_set("f")).alias("found")).orderBy("h").collect()
     picks = _cover(found, weights, n_toxic)
     model.words |= {f: max(w, 3.0) for f, w in picks.items() if not f.endswith("*")}
     model.starts = {f[:-1]: max(w, 3.0) for f, w in picks.items() if f.endswith("*")}

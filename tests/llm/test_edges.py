@@ -313,3 +313,28 @@ def test_pivotal_steps_keep_sums_and_expectations():
     assert ((draws > 0) & (draws < 1)).sum(axis=1).max() <= 1
     assert np.allclose(draws @ size, np.dot(size, part))
     assert np.abs(draws.mean(axis=0) - part).max() < 0.015
+
+
+def test_many_lost_lines(spark):
+    """100,000 frequent lines in each of five documents: time in proportion to the lines."""
+    import time
+
+    text = "\n".join(f"This is line number {i} of a text that comes five times" for i in range(100_000))
+    docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string").repartition(5)
+    began = time.time()
+    out = {r.doc_id: (r.n_dropped, r.n) for r in lines.drop_lines(docs).select("doc_id", "n_dropped", F.char_length("text").alias("n")).collect()}
+    assert out == {i: (100_000, 0) for i in range(4)} | {4: (0, len(text))}
+    assert time.time() - began < 60
+
+
+def test_one_very_long_word():
+    """A word of 1 MB beside an insult costs what its letters cost."""
+    import time
+
+    from bytemill.llm import toxicity
+
+    model = toxicity.Model(starts={"wret": 5.0, "despica": 4.0})
+    reader = toxicity.Reader(model)
+    began = time.time()
+    assert reader.evidence("you idiot " + "x" * 1_000_000)[0] > 0 and time.time() - began < 2
+    assert model.symbol("despicable")[1] == 4.0 and model.symbol("wret")[1] == 0.0
