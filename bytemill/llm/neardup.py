@@ -8,7 +8,9 @@ apart by 64-bit hashes.
 2. First round: tokens are ordered by a sketch of their document counts, rare first. A pair that links shares one of the
    first n - ceil(0.8 n) + 1 tokens of either set. Sets none of whose are shared, by sizes that can link, are settled.
 3. Second round, for the others: the exact number of sets that hold a token orders it, whatever the size of the input.
-   Tokens of one set alone drop out, and with them all sets that have too many of those to link.
+   Tokens of one set alone drop out, and with them all sets that have too many of those to link. Tokens whose counter in
+   the sketch is crowded (it is an upper bound of their count) are not counted but stand last in the order, so that a
+   shingle of half of all documents is dealt to many tasks; the order stays one for all sets, so the filter stays exact.
 4. Sets that share one of the first tokens in this order, by sizes that can link, fall into one block, by links to the
    first of them only, never pair by pair. A block that fits a tile is settled where its members meet. Of larger ones,
    the most typical member is compared with all others; those that link with it need no comparison with each other.
@@ -41,6 +43,8 @@ NUM, DEN, SHINGLE = 80, 100, 5
 SKETCH_BITS, CHUNKS, TILE, TILE_TOKENS, COLUMNS = 22, 64, 512, 1 << 20, 4096
 #: Bits of the filter that picks documents for the second round (8 MB); counts of a token that are told apart.
 FILTER_BITS, MOST_COUNTED = 26, 4096
+#: A counter of the sketch is crowded above MOST_COUNTED and CROWDED times the mean of all counters.
+CROWDED = 16
 _FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -233,8 +237,17 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _second_tokens(passing: np.ndarray, bits: int = FILTER_BITS):
-    """All tokens of the documents that the filter lets through, with their set's key."""
+def crowded_counters(classes: np.ndarray, least: int) -> np.ndarray:
+    """Packed bits of the sketch's counters that stand above ``least`` and CROWDED times their mean."""
+    mean = float(np.mean(np.exp2(np.arange(256) / 8)[classes])) - 1
+    return np.packbits(classes > min(int(8 * np.log2(max(least, CROWDED * mean) + 1)), 249))
+
+
+def _second_tokens(passing: np.ndarray, crowded: np.ndarray, bits: int = FILTER_BITS):
+    """All tokens of the documents that the filter lets through, with their set's key.
+
+    ``salt``: 0, or a hash of the key where the token's counter is crowded.
+    """
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,13 +257,19 @@ def _second_tokens(passing: np.ndarray, bits: int = FILTER_BITS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in pieces(chosen(batches), 3 << 20):
             size, keys, h = _fresh_sets(data, offs)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(keys, size))], ["token", "key"])
+            slot, owner = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.repeat(keys, size)
+            many = crowded[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
+            salt = np.where(many == 1, (owner & 0x7FFF) + 1, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(owner)], ["token", "salt", "key"])
 
     return run
 
 
 def _with_counts(most: int):
-    """Of (token, key) sorted by token: (key, df, token) of the tokens that several sets hold; df counts to ``most``."""
+    """Of (token, salt, key) sorted by token: (key, df, token) of the tokens that several sets hold; df counts to ``most``.
+
+    Rows with a salt are not counted: their df is ``most``.
+    """
 
     def row(token, key, df):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.broadcast_to(df, len(key)).astype(np.int32)), pa.array(token)], ["key", "df", "token"])
@@ -268,7 +287,10 @@ def _with_counts(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, flooded = (np.zeros(0, np.int64),) * 2, None
         for batch in batches:
-            token, key = (np.append(k, batch.column(c).to_numpy()) for k, c in zip(kept, ("token", "key"), strict=True))
+            token, salt, key = (batch.column(c).to_numpy() for c in ("token", "salt", "key"))
+            if salt.any():
+                yield row(token[salt > 0], key[salt > 0], most)
+            token, key = np.append(kept[0], token[salt == 0]), np.append(kept[1], key[salt == 0])
             if not len(token):
                 continue
             if flooded is not None:
@@ -441,8 +463,9 @@ def _candidate_sets(docs: DataFrame, classes: np.ndarray, sets: DataFrame, at: s
     heads = written(sets.join(touched, F.col("s1") == F.col("key")).select("key", "id", "n"), f"{at}/heads")
 
     passing = id_filter(heads.select(F.xxhash64("id").alias("h")))
-    second = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_second_tokens(passing), "token long, key long")
-    counted = second.repartition("token").sortWithinPartitions("token").mapInArrow(_with_counts(MOST_COUNTED), "key long, df int, token long")
+    crowded = crowded_counters(classes, MOST_COUNTED)
+    second = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_second_tokens(passing, crowded), "token long, salt int, key long")
+    counted = second.repartition("token", "salt").sortWithinPartitions("token").mapInArrow(_with_counts(MOST_COUNTED), "key long, df int, token long")
     rows = counted.withColumn("id", F.lit(None).cast("long")).unionByName(heads.select("key", F.lit(0).alias("df"), F.col("n").alias("token"), "id"))
     rows = rows.repartition("key").sortWithinPartitions("key", "df", "token")
     found = rows.mapInArrow(_assembled, "key long, id long, n long, rare long, typical double, tokens binary")

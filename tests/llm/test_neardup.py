@@ -105,3 +105,30 @@ def test_common_tokens_are_counted_to_a_bound_only(spark, monkeypatch):
 def test_second_round_reads_whole_sets_whatever_the_filter(spark, monkeypatch):
     monkeypatch.setattr(neardup, "id_filter", lambda ids, bits=26: np.full(1 << 20, -1, np.int64))
     check(spark, corpus(seed=12)[:120])
+
+
+def test_shingles_that_most_sets_hold_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_COUNTED", 100)
+    rng = np.random.default_rng(13)
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = []
+    for k in range(5000):
+        own = [f"w{rng.integers(0, 10**7)}" for _ in range(30)] if k % 2 == 0 else edited(rng, own, int(k % 4 == 1))
+        rows.append((k, " ".join(own) + (f" {common}" if k % 10 else "")))
+    sets = {i: set(zip(*(t.split()[j : len(t.split()) - 4 + j] for j in range(5)), strict=True)) for i, t in rows}
+    want = {i: (len(s), i) for i, s in sets.items()}
+    for i in range(0, 5000, 2):  # only neighbours share more than the common passage
+        a, b = sets[i], sets[i + 1]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want[i + 1] = (len(b), i)
+    assert 1000 < sum(i != c for i, (_, c) in want.items()) < 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()} == want
+
+    chunks = docs.mapInArrow(neardup._signatures, "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary").filter("chunk IS NOT NULL").select("chunk", "counts")
+    crowded = neardup.crowded_counters(neardup.count_classes(chunks), 100)
+    assert 8 <= np.unpackbits(crowded).sum() <= 40
+    everything = np.full(1 << 20, -1, np.int64)
+    tokens = docs.selectExpr("text", "xxhash64(doc_id) AS h").mapInArrow(neardup._second_tokens(everything, crowded), "token long, salt int, key long")
+    assert tokens.groupBy("token").count().agg({"count": "max"}).first()[0] > 4000
+    assert tokens.groupBy("token", "salt").count().agg({"count": "max"}).first()[0] < 100
