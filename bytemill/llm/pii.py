@@ -37,6 +37,8 @@ _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Digits and letters up to f, both of them and many: a key or a digest, whatever its shape.
+_HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{12,}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -87,7 +89,7 @@ _FORMS = {
     "phone": ("{+d (ddd) ddd-dddd}", "{(ddd) ddd-dddd}", "{ddd-ddd-dddd}", "{+dd ddd ddddddd}", "{+dd dd dddd dddd}", "{ddd.ddd.dddd}", "{ddd-ddd-dddd}", "{dd dd dd dd dd}", "{0dd ddddddd}", "{0ddd ddddddd}"),
     "id": ("{ddd-dd-dddd}",),
 }
-_PLAIN = ("dddd", "dd", "d", "dd.dd", "d,ddd", "dddd-dd-dd", "dd:dd", "w-d", "dd%", "$dd", "d.d", "wdd", "dd/dd/dddd", "version d.d", "w = dd", "xxxxxxxx", "w at w", "w dot w", "ddd ddd", "dd dd", "dd dd dd", "dddd dddd", "ddd ddd ddd", "dddddd", "d.d.d", '"xxxxxxxxxxxxxxxx"', "w###", "w%%%", "|", "dddddddddddddddd", "dddddddddddddddd", "dddddddddddddddddd", "xxxxxxxxxxxxxxxxxxxxxxxx")
+_PLAIN = ("dddd", "dd", "d", "dd.dd", "d,ddd", "dddd-dd-dd", "dd:dd", "w-d", "dd%", "$dd", "d.d", "wdd", "dd/dd/dddd", "version d.d", "w = dd", "xxxxxxxx", "w at w", "w dot w", "ddd ddd", "dd dd", "dd dd dd", "dddd dddd", "ddd ddd ddd", "dddddd", "d.d.d", '"xxxxxxxxxxxxxxxx"', "w###", "w%%%", "|", "dddddddddddddddd", "dddddddddddddddd", "dddddddddddddddddd", "xxxxxxxxxxxxxxxxxxxxxxxx", 'w = "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"', 'w: xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx', "dddddddddddddddd", "dddddddddddddddd w###", "w### dddddddddddddddd w###")
 _CUES = {
     "email": ("mail", "write to", "contact", "kontakt", "correo", "courriel"), "ip": ("from", "address", "host", "server"), "card": ("card", "number", "pay with", "karte", "carte", "tarjeta"),
     "phone": ("call", "phone", "tel", "nummer ist", "appelez le", "llame al", "telefon", "numéro"), "id": ("ssn", "id"),
@@ -159,6 +161,8 @@ def features(word: str) -> tuple[str, ...]:
     found = [f"shape={core}", f"short={re.sub(r'9+', '9', core)}", f"first={core[:1]}", f"last={core[-1:]}", f"digits={min(core.count('9'), 20)}"]
     if core.count("9") == len(core) >= 13:
         found.append(f"luhn={luhn(low)}")
+    if _HEX.fullmatch(low):
+        found.append("hex")
     if low in _CUE_WORDS or word.lower() in _CUE_WORDS:
         found.append(f"cue={low}")
     if s != core:

@@ -91,3 +91,14 @@ def test_long_words(word):
     data = np.frombuffer(f"call {word} (415) 555-2671".encode(), np.uint8)
     spans = list(pii.Decoder(pii.trained()).spans(data, np.array([0, len(data)])))
     assert all(0 <= a < b <= len(data) for _, _, a, b in spans)
+
+
+def test_digests_and_numbers_without_a_cue_stay_out():
+    rng, decoder = np.random.default_rng(8), pii.Decoder(pii.trained())
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    decoys = []
+    for k in range(300):
+        number = next(x for x in iter(lambda: digits(16), None) if not luhn(x))
+        decoys += [f'the word. token = "{rng.bytes(20).hex()}" and then', f"Onto !! WORD!! {number} !! NEXT!! word", f"a line of words {number} goes on. It ends"]
+    data = np.frombuffer("\n".join(decoys).encode(), np.uint8)
+    assert len(list(decoder.spans(data, np.array([0, len(data)])))) <= 9  # 1 %
