@@ -6,12 +6,10 @@ stage's documents. All but the last keep the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from bytemill.llm import lines, mixing, neardup, quality, sampling
-from bytemill.llm.common import ensure_checkpoint_dir
+from bytemill.llm.common import discard, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next one."""
-    at = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder before the next one.
+
+    Once a stage's documents are written, those of the stage before it are deleted: two copies at most stand at once.
+    """
+    at, before = scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
