@@ -18,6 +18,7 @@ Tokens are two characters of 0-9, A-F, a-f; looser spellings that a general inte
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from .bytestats import binary_column, slices
 
 DIALECTS = ("profile", "extract", "train", "serve", "image")
 _BY_LINE = ("extract", "train", "serve")
-PARSED = "struct<values:array<int>,n_total:int,n_known:int,n_unknown:int,n_invalid:int,rejected:boolean>"
+_COUNTS = ("n_total", "n_known", "n_unknown", "n_invalid")
+COUNTED = f"struct<{','.join(f'{c}:int' for c in _COUNTS)},rejected:boolean>"
+PARSED = COUNTED.replace("<", "<values:array<int>,", 1)
 # White space between tokens; hexadecimal digits; what stands for an unknown byte.
 _IS_WHITE, _IS_HEX = np.zeros(256, bool), np.zeros(256, bool)
 _IS_WHITE[list(b" \t\n\r\x0b\x0c")] = True
@@ -44,99 +47,155 @@ _PAIRS[_UNKNOWN_PAIR[0] << 8 | _UNKNOWN_PAIR[1]] = UNKNOWN
 
 
 def _line_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    starts = np.zeros(len(data) + 1, bool)
-    starts[1:] = data == 10
-    starts[offs[:-1]] = True
-    return starts[:-1]
+    """Where the lines of all texts begin, in order; the place behind the last text may be one of them."""
+    return np.unique(np.concatenate([offs[:-1], np.flatnonzero(data == 10) + 1]))
 
 
-def _words(data: np.ndarray, offs: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of all texts begin and end, and whose they are."""
+def _all_hex(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the 8 characters from each place on are hexadecimal digits."""
+    return _IS_HEX[data[at[:, None] + np.arange(_ADDRESS)]].all(axis=1)
+
+
+def _words(data: np.ndarray, offs: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts begin and end."""
     inside = ~white
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    opens = inside & np.concatenate([[True], white[:-1]]) | inside & edge[:-1]
-    closes = inside & np.concatenate([white[1:], [True]]) | inside & edge[1:]
-    starts = np.flatnonzero(opens)
-    return starts, np.flatnonzero(closes) + 1, np.searchsorted(offs, starts, side="right") - 1
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= white[:-1]
+    closes[:-1] &= white[1:]
+    # A text's edges are edges of words.
+    full = offs[:-1] < offs[1:]
+    first, last = offs[:-1][full], offs[1:][full] - 1
+    opens[first], closes[last] = inside[first], inside[last]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def _codes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return _PAIRS[high.astype(np.uint16) << 8 | low]
 
 
 def _word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    padded = np.append(data, 0).astype(np.int64)
-    return np.where(ends - starts == 2, _PAIRS[padded[starts] << 8 | padded[starts + 1]], np.int16(INVALID))
+    codes = _codes(data[starts], data[np.minimum(starts + 1, len(data) - 1)])
+    codes[ends - starts != 2] = INVALID
+    return codes
+
+
+class _Tokens:
+    """The tokens of a slice of dumps ``data[offs[i]:offs[i + 1]]``, as codes and the bounds of each dump's codes. Dialects
+    that find the same tokens share them."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.data, self.offs = data, offs
+
+    @cached_property
+    def _white(self) -> np.ndarray:
+        return _IS_WHITE[self.data]
+
+    @cached_property
+    def _lines(self) -> np.ndarray:
+        return _line_starts(self.data, self.offs)
+
+    @cached_property
+    def by_line(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words without the addresses that begin lines."""
+        starts, ends = _words(self.data, self.offs, self._white)
+        long = np.flatnonzero(ends - starts == _ADDRESS)
+        line = self._lines[np.searchsorted(self._lines, starts[long], side="right") - 1]
+        first = (long == 0) | (starts[long - 1] < line)
+        address = long[first]
+        kept = np.ones(len(starts), bool)
+        kept[address[_all_hex(self.data, starts[address])]] = False
+        starts, ends = starts[kept], ends[kept]
+        return _word_codes(self.data, starts, ends), np.searchsorted(starts, self.offs)
+
+    @cached_property
+    def _unaddressed(self) -> np.ndarray:
+        """White space, and addresses at a line's beginning with a blank behind them."""
+        at = self._lines[self._lines < len(self.data)]
+        stop = self.offs[np.searchsorted(self.offs, at, side="right")]
+        at = at[at + _ADDRESS < stop]
+        at = at[np.isin(self.data[at + _ADDRESS], (32, 9))]
+        at = at[_all_hex(self.data, at)]
+        white = self._white.copy()
+        white[(at[:, None] + np.arange(_ADDRESS)).ravel()] = True
+        return white
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All characters but white space, two by two; a last one without another is no token."""
+        solid = np.flatnonzero(~self._unaddressed)
+        begin = np.searchsorted(solid, self.offs)
+        odd = np.diff(begin) % 2
+        filled = np.insert(self.data[solid], begin[1:][odd == 1], 0)
+        return _codes(filled[::2], filled[1::2]), (begin + np.append(0, np.cumsum(odd))) // 2
+
+    @cached_property
+    def by_pair_or_word(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of dumps whose pairs are all tokens, the words of the others."""
+        pairs, bounds = self.pairs
+        spoilt = _count(pairs == INVALID, bounds) > 0
+        if not spoilt.any():
+            return pairs, bounds
+        starts, ends = _words(self.data, self.offs, self._unaddressed)
+        words, at = _word_codes(self.data, starts, ends), np.searchsorted(starts, self.offs)
+        if spoilt.all():
+            return words, at
+        sizes = np.where(spoilt, np.diff(at), np.diff(bounds))
+        parts = [words[at[i] : at[i + 1]] if bad else pairs[bounds[i] : bounds[i + 1]] for i, bad in enumerate(spoilt)]
+        return np.concatenate(parts), np.append(0, np.cumsum(sizes))
+
+    def of(self, dialect: str) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.data):
+            return np.zeros(0, np.int16), np.zeros(len(self.offs), np.int64)
+        return self.by_line if dialect in _BY_LINE else self.pairs if dialect == "image" else self.by_pair_or_word
+
+
+def _count(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many marks stand between each two bounds."""
+    return np.diff(np.searchsorted(np.flatnonzero(marks), bounds))
 
 
 def token_codes(data: np.ndarray, offs: np.ndarray, dialect: str) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of the dumps ``data[offs[i]:offs[i + 1]]`` as byte values, UNKNOWN or INVALID, and whose they are, in order."""
-    if not len(data):
-        return np.zeros(0, np.int16), np.zeros(0, np.int64)
-    white = _IS_WHITE[data]
-    lines = _line_starts(data, offs)
-    digits = np.append(0, np.cumsum(_IS_HEX[data]))
-    if dialect in _BY_LINE:
-        starts, ends, owner = _words(data, offs, white)
-        line = np.cumsum(lines)[starts] if len(starts) else starts
-        first = np.ones(len(starts), bool)
-        first[1:] = line[1:] != line[:-1]
-        kept = ~(first & (ends - starts == _ADDRESS) & (digits[ends] - digits[starts] == _ADDRESS))
-        return _word_codes(data, starts[kept], ends[kept]), owner[kept]
-    # An address at a line's beginning, with a blank behind it, counts as white space.
-    at = np.flatnonzero(lines)
-    stop = offs[np.searchsorted(offs, at, side="right")]
-    at = at[at + _ADDRESS < stop]
-    at = at[(digits[at + _ADDRESS] - digits[at] == _ADDRESS) & np.isin(data[at + _ADDRESS], (32, 9))]
-    white = white.copy()
-    white[(at[:, None] + np.arange(_ADDRESS)).ravel()] = True
-    solid = np.flatnonzero(~white)
-    owner = np.searchsorted(offs, solid, side="right") - 1
-    begin = np.searchsorted(solid, offs)
-    even = (np.arange(len(solid)) - begin[owner]) % 2 == 0
-    high, who = solid[even], owner[even]
-    low = np.flatnonzero(even) + 1
-    whole = low < begin[who + 1]
-    low = np.where(whole, solid[np.minimum(low, max(0, len(solid) - 1))], 0)
-    pairs = np.where(whole, _PAIRS[data[high].astype(np.int64) << 8 | data[low]], np.int16(INVALID))
-    if dialect == "image":
-        return pairs, who
-    spoilt = np.bincount(who[pairs == INVALID], minlength=len(offs) - 1) > 0
-    starts, ends, word_owner = _words(data, offs, white)
-    by_word = spoilt[word_owner]
-    starts, ends, word_owner = starts[by_word], ends[by_word], word_owner[by_word]
-    whose = np.concatenate([who[~spoilt[who]], word_owner])
-    order = np.argsort(whose, kind="stable")
-    return np.concatenate([pairs[~spoilt[who]], _word_codes(data, starts, ends)])[order], whose[order]
-
-
-def _parsed(data: np.ndarray, offs: np.ndarray, dialect: str) -> pa.StructArray:
-    codes, owner = token_codes(data, offs, dialect)
-    n = len(offs) - 1
-    total, unknown, invalid = (np.bincount(owner[m], minlength=n) for m in (slice(None), codes == UNKNOWN, codes == INVALID))
+    codes, bounds = _Tokens(data, offs).of(dialect)
+    return codes, np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
+
+
+def _parsed(tokens: _Tokens, dialect: str, values: bool) -> pa.StructArray:
+    codes, bounds = tokens.of(dialect)
+    unknown, invalid = (_count(codes == x, bounds) for x in (UNKNOWN, INVALID))
+    total = np.diff(bounds)
     known = total - unknown - invalid
-    rejected = {"train": (invalid > 0) | (known == 0), "serve": (invalid > 0) | (total == 0), "image": (invalid > 0) | (total == 0)}.get(dialect, np.zeros(n, bool))
+    rejected = {"train": (invalid > 0) | (known == 0), "serve": (invalid > 0) | (total == 0), "image": (invalid > 0) | (total == 0)}.get(dialect, np.zeros(len(total), bool))
     if dialect == "profile":
-        codes, total = codes[codes != INVALID], total - invalid
-    values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(total)), pa.int32()), pa.array(codes.astype(np.int32), mask=codes < 0))
-    counts = [pa.array(x.astype(np.int32)) for x in (total, known, unknown, invalid)]
-    return pa.StructArray.from_arrays([values, *counts, pa.array(rejected)], ["values", "n_total", "n_known", "n_unknown", "n_invalid", "rejected"])
+        total = total - invalid
+    fields = {name: pa.array(x.astype(np.int32)) for name, x in zip(_COUNTS, (total, known, unknown, invalid), strict=True)} | {"rejected": pa.array(rejected)}
+    if values:
+        kept = codes[codes != INVALID] if dialect == "profile" else codes
+        fields = {"values": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(total)), pa.int32()), pa.array(kept.astype(np.int32), mask=kept < 0))} | fields
+    return pa.StructArray.from_arrays([*fields.values()], [*fields])
 
 
-def with_parsed(rows: DataFrame, text: str, dialects: Mapping[str, str]) -> DataFrame:
+def with_parsed(rows: DataFrame, text: str, dialects: Mapping[str, str], values: bool = True, keep: bool = True) -> DataFrame:
     """``rows`` with a struct for each of ``dialects`` (name of the column: dialect), from a text or binary column.
 
     A struct holds ``values`` (array of int, null where unknown), n_total (its length; dropped tokens are not in it),
-    n_known, n_unknown, n_invalid and rejected. A null text is an empty one.
+    n_known, n_unknown, n_invalid and rejected. A null text is an empty one. Without ``values`` the structs have no array,
+    and without ``keep`` the text is dropped, so neither leaves the Python worker.
     """
     for d in dialects.values():
         if d not in DIALECTS:
             raise ValueError(f"unknown dialect {d!r}: choose from {DIALECTS}")
+    kept = [f for f in rows.schema if keep or f.name != text]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, lambda part: binary_column(part.column(text)), text):
-            new = {name: _parsed(data, offs, d) for name, d in dialects.items()}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
+            tokens = _Tokens(data, offs)
+            new = {name: _parsed(tokens, d, values) for name, d in dialects.items()}
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], [*names, *new])
 
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(run, ", ".join([*own, *(f"`{name}` {PARSED}" for name in dialects)]))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    return rows.mapInArrow(run, ", ".join([*own, *(f"`{name}` {PARSED if values else COUNTED}" for name in dialects)]))
 
 
 def fixed_length(values: Column, length: int, pad: int = 0, keep: str = "head") -> Column:

@@ -17,6 +17,8 @@ from ..plans.catalog import query
 
 #: The reference settings: values of a sequence, grams of a vocabulary by n.
 LENGTH, TOP = 1024, {1: 256, 2: 1024, 3: 1024}
+#: Bytes of a line of a dump.
+LINE = 16
 
 
 def profiles(rows: Samples) -> DataFrame:
@@ -73,17 +75,27 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digits = np.frombuffer(b"0123456789ABCDEF", np.uint8)
     for batch, data, known, offs in bytestats.slices(batches, bytestats.plain_text, "text"):
-        row = bytestats.owners(offs)
-        place = batch.column("doc_id").to_numpy()[row] * 31 + np.arange(len(data)) - offs[row]
-        cells = np.full((len(data), 3), 32, np.uint8)
-        cells[:, 0], cells[:, 1] = digits[data >> 4], digits[data & 15]
-        cells[place % 97 == 1, :2] = ord("z")
-        cells[place % 17 == 0, :2] = ord("?")
-        text = []
-        for a, b in zip(offs[:-1], offs[1:], strict=True):
-            lines = (f"{0x401000 + at - a:08X} {cells[at : min(at + 16, b)].tobytes()[:-1].decode()}" for at in range(a, b, 16))
-            text.append("\n".join(lines))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "dump"])
+        n = np.diff(offs)
+        column = np.arange(len(data)) - np.repeat(offs[:-1], n)
+        place = column + np.repeat(batch.column("doc_id").to_numpy() * 31, n)
+        high, low = digits[data >> 4], digits[data & 15]
+        high[place % 97 == 1] = low[place % 97 == 1] = ord("z")
+        high[place % 17 == 0] = low[place % 17 == 0] = ord("?")
+        # A line is an address and a blank, then two digits and a blank for each byte; its last blank is a line feed, but for the text's last line.
+        lines = (n + LINE - 1) // LINE
+        begin = np.append(0, np.cumsum(9 * lines + 3 * n))
+        text = np.full(begin[-1], 32, np.uint8)
+        at = np.repeat(begin[:-1], n) + 9 * (column // LINE + 1) + 3 * column
+        text[at], text[at + 1] = high, low
+        line = np.arange(lines.sum()) - np.repeat(np.cumsum(lines) - lines, lines)
+        head = np.repeat(begin[:-1], lines) + line * (9 + 3 * LINE)
+        for k in range(8):
+            text[head + k] = digits[(0x401000 + LINE * line) >> 4 * (7 - k) & 15]
+        text[head[line > 0] - 1] = 10
+        ends = np.maximum(begin[1:] - 1, begin[:-1])
+        raw = text.tobytes()
+        dumps = [raw[a:b] for a, b in zip(begin[:-1], ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dumps, pa.binary()).cast(pa.string())], ["doc_id", "dump"])
 
 
 _COUNTS = f"""WITH {SQL_BYTES}, c AS (SELECT d.doc_id, count(b.p) AS n, count(*) FILTER ((b.doc_id * 31 + p) % 17 = 0) AS u,
@@ -93,7 +105,7 @@ count(*) FILTER ((b.doc_id * 31 + p) % 17 <> 0 AND (b.doc_id * 31 + p) % 97 = 1)
 @query("token_counters", f"""{_COUNTS} SELECT doc_id, n::INT AS n_total, (n - u - i)::INT AS n_known, u::INT AS n_unknown, i::INT AS n_invalid,
 round(CASE WHEN n = 0 THEN 0 ELSE u / n END, 9) AS unknown_ratio FROM c""")
 def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_parsed(dumps(spark, sf_dir), "dump", {"x": "extract"}).select("doc_id", "x.n_total", "x.n_known", "x.n_unknown", "x.n_invalid")
+    rows = with_parsed(dumps(spark, sf_dir), "dump", {"x": "extract"}, values=False, keep=False).select("doc_id", "x.n_total", "x.n_known", "x.n_unknown", "x.n_invalid")
     return rows.withColumn("unknown_ratio", F.round(F.coalesce(F.try_divide("n_unknown", "n_total"), F.lit(0.0)), 9))
 
 
@@ -101,8 +113,8 @@ def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, dialect, (CASE WHEN dialect = 'profile' THEN n - i ELSE n END)::INT AS n_total, (n - u - i)::INT AS n_known, i::INT AS n_invalid,
 CASE dialect WHEN 'train' THEN i > 0 OR n - u - i = 0 WHEN 'serve' THEN i > 0 OR n = 0 WHEN 'image' THEN i > 0 OR n = 0 ELSE false END AS rejected FROM c, k""")
 def token_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dialects in one pass over the text."""
-    parsed = with_parsed(dumps(spark, sf_dir), "dump", {d: d for d in DIALECTS})
+    """All dialects in one pass over the text; only counts leave it."""
+    parsed = with_parsed(dumps(spark, sf_dir), "dump", {d: d for d in DIALECTS}, values=False, keep=False)
     counts = [F.struct(F.lit(d).alias("dialect"), f"{d}.n_total", f"{d}.n_known", f"{d}.n_invalid", f"{d}.rejected") for d in DIALECTS]
     return parsed.select("doc_id", F.explode(F.array(*counts)).alias("r")).select("doc_id", "r.*")
 
