@@ -171,16 +171,15 @@ def dump_digests(dump: str) -> dict[str, Column]:
     return {"raw_sha256": F.sha2(dump, 256), "token_sha256": F.sha2(tokens, 256), "normalized_sha256": F.sha2(F.unhex(F.replace(tokens, F.lit("??"), F.lit("00"))), 256)}
 
 
-def parse_expected(rows: DataFrame, dump: str, expected: Mapping[str, str]) -> DataFrame:
+def parse_expected(rows: DataFrame, dump: str, manifest: DataFrame, key: str, expected: Mapping[str, str]) -> DataFrame:
     """Dumps parsed by the image dialect, and whether their counts and digests are those that a manifest expects (name of the
-    count or of one of DIGESTS: its column)."""
-    out = with_parsed(rows, dump, {"parsed": "image"})
-    digests = dump_digests(dump)
+    count or of one of DIGESTS: the manifest's column). Counts and digests are joined with the manifest, never the dumps."""
+    digests = {name: digest for name, digest in dump_digests(dump).items() if name in expected}
+    found = with_parsed(rows.withColumns(digests), dump, {"parsed": "image"}, values=False, keep=False)
     ok = ~F.col("parsed.rejected")
     for name, column in expected.items():
-        found = digests[name] if name in DIGESTS else F.col(f"parsed.{name}")
-        ok = ok & F.coalesce(found == F.col(column), F.lit(False))
-    return out.withColumn("as_expected", ok)
+        ok = ok & F.coalesce(F.col(name if name in DIGESTS else f"parsed.{name}") == F.col(column), F.lit(False))
+    return found.join(manifest, key).withColumn("as_expected", ok)
 
 
 _DUMP_SQL = f"""{SQL_BYTES}, tk AS (SELECT doc_id, p, CASE WHEN (doc_id * 31 + p) % 17 = 0 THEN '??' WHEN (doc_id * 31 + p) % 97 = 1 THEN 'zz' ELSE h END AS t FROM b),
@@ -193,7 +192,7 @@ ts AS (SELECT d.doc_id, coalesce(string_agg(upper(t), '' ORDER BY p), '') AS tok
 def dump_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth expectation is off by one."""
     sized = documents(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + F.when(F.col("doc_id") % 4 == 1, 1).otherwise(0)).alias("tokens"))
-    rows = parse_expected(dumps(spark, sf_dir).join(sized, "doc_id"), "dump", {"n_total": "tokens"})
+    rows = parse_expected(dumps(spark, sf_dir), "dump", sized, "doc_id", {"n_total": "tokens"})
     return rows.select("doc_id", "parsed.n_total", "parsed.n_unknown", "as_expected")
 
 
@@ -205,8 +204,8 @@ def dump_digests_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dumps(spark, sf_dir)
     wrong = {name: F.when(F.col("doc_id") % 5 == k, "0").otherwise(digests[name]).alias(f"expected_{name}") for k, name in enumerate(DIGESTS, 1)}
     manifest = stored(found.select("doc_id", *wrong.values()), "digests")
-    rows = parse_expected(found.join(manifest, "doc_id"), "dump", {name: f"expected_{name}" for name in DIGESTS})
-    return rows.select("doc_id", *(digests[name].alias(name) for name in DIGESTS), "as_expected")
+    rows = parse_expected(found, "dump", manifest, "doc_id", {name: f"expected_{name}" for name in DIGESTS})
+    return rows.select("doc_id", *DIGESTS, "as_expected")
 
 
 def integer_equal(value: Column, expected: Column) -> Column:

@@ -4,7 +4,19 @@ import numpy as np
 import pytest
 
 from bytemill.functions import hexdump
-from bytemill.operators import profile
+from bytemill.operators import datasets, profile
+
+
+def joined(rows):
+    """The names of all columns that come into a join."""
+    found, nodes = set(), [rows._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            found |= {kid.output().apply(i).name() for kid in kids for i in range(kid.output().size())}
+        nodes += kids
+    return found
 
 
 def test_dialects_share_their_tokens(monkeypatch):
@@ -36,3 +48,10 @@ def test_dumps_of_any_length(spark, n, tmp_path):
     cells = ["??" if (62 + i) % 17 == 0 else "zz" if (62 + i) % 97 == 1 else "61" if i % 2 == 0 else "62" for i in range(2 * n)]
     assert told[2] == "\n".join(f"{0x401000 + i:08X} {' '.join(cells[i : i + 16])}" for i in range(0, 2 * n, 16))
     assert told[1] == "" and told[3] == "00401000 63"
+
+
+@pytest.mark.parametrize("query", [datasets.dump_digests_query, datasets.dump_expectations])
+def test_no_dump_is_joined(spark, query):
+    """A dump is more than three times its document: only its counts and digests go through a shuffle."""
+    names = joined(query(spark, "/root/testdata/sf0.001"))
+    assert "doc_id" in names and not names & {"dump", "text"}
