@@ -41,14 +41,17 @@ def samples(spark: SparkSession, sf_dir: str, hidden: bool = True) -> Samples:
     return Samples(rows, _hidden if hidden else plain_text, "text", ("doc_id", "class"))
 
 
+def _split_key(seed: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256)
+
+
 def splits(spark: SparkSession, sf_dir: str, seed: str = "42") -> DataFrame:
     """doc_id, class, split: by the order of a seeded hash within each class, 70 % train, 15 % val, 15 % test, in sizes that
     add up over the classes (see ``split_sizes``).
 
     Ranks come from the counts of 4,096 hash prefixes a class, so no task holds a class.
     """
-    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256)
-    d = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"), key.alias("key"))
+    d = documents(spark, sf_dir).select("doc_id", sample_class().alias("class"), _split_key(seed).alias("key"))
     r = ranked(d, ["class"], F.substring("key", 1, 3), ["key", "doc_id"])
     sizes = split_sizes(d.groupBy("class").agg(F.count("*").alias("n"))).drop("n")
     r = r.join(F.broadcast(sizes), "class")  # CLASSES rows
@@ -56,6 +59,16 @@ def splits(spark: SparkSession, sf_dir: str, seed: str = "42") -> DataFrame:
     return r.select("doc_id", "class", split.alias("split"))
 
 
+def with_split(rows: DataFrame, spark: SparkSession, sf_dir: str, seed: str = "42") -> DataFrame:
+    """Rows of doc_id and class, of any width, with their split: ``splits`` cuts each class's order at two places, and these
+    (CLASSES rows) are sent to the rows. Rows without an id have no class and are dropped, as by a join."""
+    at = F.struct(_split_key(seed).alias("key"), "doc_id")
+    last = lambda split: F.max(F.when(F.col("split") == split, at)).alias(f"last_{split}")
+    cuts = splits(spark, sf_dir, seed).groupBy("class").agg(last("train"), last("val"))
+    split = F.when(at <= F.col("last_train"), "train").when(at <= F.col("last_val"), "val").otherwise("test")
+    return rows.join(F.broadcast(cuts), "class").select(*rows.columns, split.alias("split"))
+
+
 #: b: one row for each byte (doc_id, p, v); v is null where unknown or invalid.
 SQL_BYTES = """
 x AS (SELECT doc_id, regexp_extract_all(hex(coalesce(text, '')), '..') AS x FROM documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.bytestats import Bytes, Samples, binary_column
 from ..functions.measures import IMAGES, MOMENTS, RANGE, Measure, measure
-from ..functions.standins import samples
+from ..functions.standins import samples, with_split
 from ..plans.catalog import query
 from ..sources.files import stored, update_report, write_report
 from ..sources.workspace import shared_path
 from .difference import fingerprints
 from .profile import grids
-from .records import SQL_RECORDS, inspect_collection, records
+from .records import SQL_RECORDS, counted, image_path, inspect_collection, records
 from .verification import collisions
 
 SIDE = 32
@@ -61,8 +62,8 @@ def image_report(manifest: DataFrame, images: DataFrame, masks: DataFrame, setti
     ).first()
     count = lambda by: {str(r[0]): r[1] for r in manifest.groupBy(by).count().orderBy(by).collect()}
     pixels, mask = (measure(binary_samples(x, "data"), measures) for x in (images, masks))
-    known = images.join(manifest.select("image_path", "class", "split"), F.col("path") == F.col("image_path"))
-    same = collisions(known.withColumn("hash", F.sha2("data", 256)), "hash").first()
+    hashed = images.select("path", F.sha2("data", 256).alias("hash"))
+    same = collisions(hashed.join(manifest.select("image_path", "class", "split"), F.col("path") == F.col("image_path")), "hash").first()
     return {
         "dataset": settings["dataset"], "method": settings["method"], "method_version": settings["method_version"],
         "verification": {"passed": True, "verified_samples": row.samples, "expected_samples": row.samples, "image_count": pixels["images"], "mask_count": mask["images"], "errors": []},
@@ -137,10 +138,13 @@ SETTINGS = {"dataset": "documents", "method": "equal-position-bin known-byte mea
 
 def stored_collection(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The stand-ins' manifest, images and masks, written and read back; the bytes are read once for all of them."""
-    g = stored(grids(samples(spark, sf_dir), SIDE), "grids")
-    manifest = stored(records(spark, sf_dir, g), "records")
-    placed = g.withColumn("id", F.col("doc_id").cast("string")).join(manifest.select("id", "image_path", "mask_path"), "id")
-    return {"manifest": manifest, "images": placed.select("id", F.col("image_path").alias("path"), F.col("pixel").alias("data")), "masks": placed.select("id", F.col("mask_path").alias("path"), F.col("mask").alias("data"))}
+    plain = samples(spark, sf_dir)
+    g = grids(replace(plain, rows=with_split(plain.rows, spark, sf_dir), keys=(*plain.keys, "split")), SIDE)
+    # Every path follows from its row, so no image is ever joined or shuffled: only counts and hashes are.
+    files = counted(g, "class", "split", "pixel", "mask").withColumns({"image_path": image_path("images"), "mask_path": image_path("masks")}).drop("class", "split")
+    g = stored(files, "grids")
+    manifest = stored(records(spark, sf_dir, g.drop("pixel", "mask", "image_path", "mask_path")), "records")
+    return {"manifest": manifest, "images": g.select("id", F.col("image_path").alias("path"), F.col("pixel").alias("data")), "masks": g.select("id", F.col("mask_path").alias("path"), F.col("mask").alias("data"))}
 
 
 def damaged_images(images: DataFrame) -> DataFrame:

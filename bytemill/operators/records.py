@@ -31,14 +31,19 @@ def image_path(root: str, suffix: str = ".png") -> Column:
     return F.concat_ws("/", F.lit(root), "split", F.concat(F.lit("class_"), F.col("class")), F.concat("id", F.lit(suffix)))
 
 
-def records(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
-    """One row for each sample: counts, ratio, hashes, paths and bin statistics, from one pass over its bytes (or from grids that are there)."""
-    g = (grids(samples(spark, sf_dir)) if g is None else g).select(
+def counted(g: DataFrame, *more: str) -> DataFrame:
+    """The counts, hashes and bin statistics of grids by id, and ``more`` of their columns."""
+    return g.select(
         F.col("doc_id").cast("string").alias("id"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("byte_token_count"),
         F.aggregate("n_known", F.lit(0).cast("long"), lambda a, x: a + x).alias("known_byte_count"), F.sha2("pixel", 256).alias("pixel_sha256"), F.sha2("mask", 256).alias("mask_sha256"),
         F.size(F.filter(F.zip_with("n", "n_known", lambda n, k: (n > 0) & (k == 0)), lambda x: x)).cast("long").alias("all_unknown_bins"),
-        F.size(F.filter("n", lambda n: n == 0)).cast("long").alias("empty_bins"), F.array_min("n").cast("long").alias("min_bin"), F.array_max("n").cast("long").alias("max_bin"),
+        F.size(F.filter("n", lambda n: n == 0)).cast("long").alias("empty_bins"), F.array_min("n").cast("long").alias("min_bin"), F.array_max("n").cast("long").alias("max_bin"), *more,
     )
+
+
+def records(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
+    """One row for each sample: counts, ratio, hashes, paths and bin statistics, from one pass over its bytes (or from counted grids that are there)."""
+    g = counted(grids(samples(spark, sf_dir))) if g is None else g
     s = splits(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "class", "split")
     raw = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw_sha256"))
     out = s.join(g, "id").join(raw, "id").withColumn("unknown_byte_count", F.col("byte_token_count") - F.col("known_byte_count"))

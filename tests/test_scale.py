@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from bytemill.functions import hexdump
-from bytemill.operators import datasets, profile
+from bytemill.functions import hexdump, standins
+from bytemill.operators import collection, datasets, profile
 
 
 def joined(rows):
@@ -55,3 +55,23 @@ def test_no_dump_is_joined(spark, query):
     """A dump is more than three times its document: only its counts and digests go through a shuffle."""
     names = joined(query(spark, "/root/testdata/sf0.001"))
     assert "doc_id" in names and not names & {"dump", "text"}
+
+
+def test_no_image_is_joined(spark, monkeypatch):
+    """Images and masks are read, hashed and measured where they lie: joins get hashes only."""
+    seen, collisions = [], collection.collisions
+    monkeypatch.setattr(collection, "collisions", lambda rows, key: (seen.append(joined(rows)), collisions(rows, key))[1])
+    found = collection.stored_collection(spark, "/root/testdata/sf0.001")
+    assert not joined(found["images"]) and not joined(found["masks"])
+    collection.image_report(found["manifest"], found["images"], found["masks"], collection.SETTINGS)
+    assert len(seen) == 1 and "path" in seen[0] and not seen[0] & {"data", "pixel", "mask"}
+    paths = found["images"].select("id", "path").join(found["manifest"], "id")
+    assert paths.filter("path = image_path").count() == paths.count() == found["manifest"].count() > 0
+
+
+def test_split_of_rows_in_place(spark):
+    """The cuts of each class give every row the split that its rank gives; a row without an id has none."""
+    at = "/root/testdata/sf0.01"
+    ids = standins.documents(spark, at).select("doc_id", standins.sample_class().alias("class"))
+    odd = spark.createDataFrame([(None, None)], ids.schema)
+    assert sorted(standins.with_split(ids.unionByName(odd), spark, at).collect()) == sorted(standins.splits(spark, at).select("doc_id", "class", "split").collect())
