@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,28 +22,43 @@ SECTIONS = ("header", ".text", ".data", ".rdata", ".bss", ".idata", ".edata", ".
 INSTRUCTION = r"(?m)^[^\r\n:]+:[0-9a-f]{8}[ \t]+(?:(?:[0-9a-f?]{2})[ \t]+)+([a-z][a-z0-9]*)\b"
 
 
-def _equals(value: str):
-    return lambda x: x == value
+def _counts(words: tuple[str, ...]):
+    """How often each of ``words`` is in an array: all of them in one pass, not a filter of the array for each."""
+
+    @F.arrow_udf("array<int>")
+    def run(found: pa.Array) -> pa.Array:
+        at = pc.index_in(found.flatten(), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy())
+        hit = ~np.isnan(at.astype(float))
+        counts = np.bincount(row[hit] * len(words) + at[hit].astype(np.int64), minlength=len(found) * len(words))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(words), pa.int32()), pa.array(counts.astype(np.int32)))
+
+    return lambda column: run(F.col(column))
 
 
 def profile(rows: DataFrame, text: str, mnemonics: tuple[str, ...] = MNEMONICS, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """``rows`` with line, instruction, proc and extrn counts, opcode counts and shares, and section line counts.
 
-    Shares are of all instructions, listed mnemonics or not. The text is matched once; counts come from the array.
+    Shares are of all instructions, listed mnemonics or not. The text is matched once for each of instructions, sections
+    and keywords, however many there are; counts come from the arrays.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    out = rows.withColumn("_low", low).withColumn("_ops", F.regexp_extract_all("_low", F.lit(INSTRUCTION), F.lit(1)))
+    # Names with a colon or white space may match where others do: each has a pattern of its own.
+    plain = tuple(dict.fromkeys(s for s in sections if re.fullmatch(r"[^\s:]+", s)))
+    begin = rf"(?m)^({'|'.join(rf'\Q{s}\E' for s in plain)}):"
+    arrays = {"_ops": (INSTRUCTION, 1), "_words": (r"\b(?:proc|extrn)\b", 0)} | ({"_sections": (begin, 1)} if plain else {})
+    out = rows.withColumn("_low", low).withColumns({c: F.regexp_extract_all("_low", F.lit(p), F.lit(group)) for c, (p, group) in arrays.items()})
+    lists = {"_ops": tuple(dict.fromkeys(mnemonics)), "_words": ("proc", "extrn"), "_sections": plain}
+    out = out.withColumns({f"_n{c}": _counts(lists[c])(c) for c in arrays if lists[c]})
+    n = lambda c, w: F.get(f"_n{c}", F.lit(lists[c].index(w)))
     breaks = F.char_length("_low") - F.char_length(F.replace("_low", F.lit("\n"), F.lit("")))
     open_line = (F.char_length("_low") > 0) & ~F.endswith("_low", F.lit("\n"))
-    found = {
-        "n_lines": breaks + open_line.cast("int"), "n_instructions": F.size("_ops"), "n_proc": F.regexp_count("_low", F.lit(r"\bproc\b")), "n_extrn": F.regexp_count("_low", F.lit(r"\bextrn\b")),
-    }
-    for m in mnemonics:
-        n = F.size(F.filter("_ops", _equals(m)))
-        found |= {f"opcode_count_{m}": n, f"opcode_freq_{m}": F.coalesce(F.try_divide(n, F.size("_ops")), F.lit(0.0))}
-    for s in sections:
-        found[f"section_lines_{s.lstrip('.')}"] = F.regexp_count("_low", F.lit(rf"(?m)^\Q{s}:\E"))
-    return out.withColumns(found).drop("_low", "_ops")
+    found = {"n_lines": breaks + open_line.cast("int"), "n_instructions": F.size("_ops"), "n_proc": n("_words", "proc"), "n_extrn": n("_words", "extrn")}
+    found |= {f"opcode_count_{m}": n("_ops", m) for m in mnemonics}
+    found |= {f"section_lines_{s.lstrip('.')}": n("_sections", s) if s in plain else F.regexp_count("_low", F.lit(rf"(?m)^\Q{s}:\E")) for s in sections}
+    freq = {f"opcode_freq_{m}": F.coalesce(F.try_divide(f"opcode_count_{m}", "n_instructions"), F.lit(0.0)) for m in mnemonics}
+    order = [*found][:4] + [f"opcode_{x}_{m}" for m in mnemonics for x in ("count", "freq")] + [f"section_lines_{s.lstrip('.')}" for s in sections]
+    return out.withColumns(found).withColumns(freq).select(*rows.columns, *dict.fromkeys(order))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from bytemill.functions import hexdump, standins
-from bytemill.operators import collection, datasets, profile
+from bytemill.operators import collection, datasets, listing, profile
 
 
 def joined(rows):
@@ -75,3 +75,14 @@ def test_split_of_rows_in_place(spark):
     ids = standins.documents(spark, at).select("doc_id", standins.sample_class().alias("class"))
     odd = spark.createDataFrame([(None, None)], ids.schema)
     assert sorted(standins.with_split(ids.unionByName(odd), spark, at).collect()) == sorted(standins.splits(spark, at).select("doc_id", "class", "split").collect())
+
+
+def test_a_listing_is_matched_three_times(spark):
+    """However many sections and mnemonics are counted; names that may match where others do are counted by themselves."""
+    text = ".text:00401000 8B EC mov eax\nheader:.text:\n.text:00401001 90 nop\nextrn proc proc\na:b:\n"
+    rows = spark.createDataFrame([(text,), (None,)], "t string")
+    plan = listing.profile(rows, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 3 and "regexp_count(" not in plan and "filter(" not in plan
+    row = listing.profile(rows, "t", ("mov", "nop"), (".text", "header", "a", "a:b")).first()
+    assert (row.n_proc, row.n_extrn, row.opcode_count_mov, row.opcode_freq_nop) == (2, 1, 1, 0.5)
+    assert (row.section_lines_text, row.section_lines_header, row["section_lines_a"], row["section_lines_a:b"]) == (2, 1, 1, 1)
